@@ -117,11 +117,28 @@ def averages(df):
     })
 
 
-@pack(52)
+@pack(71)
 def strategy_inputs(df):
-    """What the rule signals read: moving averages, RSI and ATR."""
+    """What the rule signals read: averages, RSI, ATR, deviation and funding z-scores."""
     df = df.withColumns({f"ma_{n}": full(F.avg, "close", n, W) for n in (20, 50)})
-    return atr(rsi(df))
+    df = df.withColumn("_dev", c("close") - c("ma_20"))
+    df = df.withColumn("dev_z", div("_dev", full(F.stddev_samp, "_dev", 20, W)))
+    if "funding_rate" in df.columns:
+        mean, spread = full(F.avg, "funding_rate", 30, W), full(F.stddev_samp, "funding_rate", 30, W)
+        df = df.withColumn("funding_z_score", div(c("funding_rate") - mean, spread))
+    else:
+        df = df.withColumn("funding_z_score", F.lit(None).cast("double"))
+    return atr(rsi(df)).drop("_dev")
+
+
+@pack(80)
+def scores(df):
+    """Deterministic long and short scores from the z-score of 12-bar momentum."""
+    df = df.withColumn("_m", log_ratio("close", lag("close", 12, W)))
+    df = df.withColumn("_z", zscore("_m", 48, W))
+    return df.withColumns({
+        "long_prob": 1 / (1 + F.exp(-c("_z"))), "short_prob": 1 / (1 + F.exp(c("_z"))),
+    }).drop("_m", "_z")
 
 
 @pack(16)

@@ -15,6 +15,7 @@ def local_session(cpus: str = "8", shuffle_partitions: int = 8) -> SparkSession:
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("barloom")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -31,11 +32,23 @@ def ensure_utc(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors see; a temporary one only where the cluster names none."""
+    named = spark.conf.get(CHECKPOINT_CONF, None)
+    if named:
+        return named
+    current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if current.isDefined():
+        return current.get()
+    folder = tempfile.mkdtemp(prefix="barloom-")
+    spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names; a temporary one only where unset."""
-    spark = df.sparkSession
-    context = spark.sparkContext
+    """Reliable checkpoint in the shared folder, written once and read by every later job."""
+    context = df.sparkSession.sparkContext
+    folder = shared_folder(df.sparkSession)
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get(CHECKPOINT_CONF, None) or tempfile.mkdtemp(prefix="barloom-ckpt-")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
