@@ -18,6 +18,7 @@ from barloom.operators import trades as T
 from barloom.operators.chunks import HOURLY, Span, chunked, clean
 from barloom.operators.features import LOOKBACK, atr, scores
 from barloom.operators.ranks import quantiles
+from barloom.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -97,9 +98,9 @@ CONFIG = [*RUN[1:], "kelly", "vol_scale"]
 def sweep_trades(bars: DataFrame, grid: Grid, span: Span = HOURLY) -> DataFrame:
     """Every trade of every configuration, with compounded capital and the drawdown stop applied."""
     hold = max(grid.holds)
-    frame = scored_frame(bars, hold, span)
+    frame = cut_lineage(scored_frame(bars, hold, span))
     slim = frame.select("symbol", "long_prob", "short_prob", "atr_pct")
-    entries = entry_signals(frame, score_thresholds(slim, grid.percentiles), grid)
+    entries = cut_lineage(entry_signals(frame, score_thresholds(slim, grid.percentiles), grid))
 
     exit_rows = [(tp, sl, m, t, h, f, fee, slip)
                  for tp, sl in grid.barriers for m, t in grid.exits for h in grid.holds for f, fee, slip in grid.fees]
@@ -114,8 +115,8 @@ def sweep_trades(bars: DataFrame, grid: Grid, span: Span = HOURLY) -> DataFrame:
     exits = T.resolve_exits(candidates).select(
         "symbol", "entry_rn", "side", "ts", "atr_pct", "entry_price", "atr_entry", "cost", "bars_held", "reason",
         "gross_ret", "funding_ret", "tp_mult", "sl_mult", "exit_mode", "trail_mult", "hold", "fee_tier")
-    runs = entries.select("symbol", "entry_rn", "side", "percentile", "direction", "hours").join(
-        exits, ["symbol", "entry_rn", "side"])
+    runs = cut_lineage(entries.select("symbol", "entry_rn", "side", "percentile", "direction", "hours").join(
+        exits, ["symbol", "entry_rn", "side"]))
     taken = T.one_at_a_time(runs, RUN, hold, grid.cooldown).where("bars_held is not null")
 
     median = quantiles(slim, "atr_pct", {"atr_median": 0.5}, ["symbol"])
@@ -126,7 +127,7 @@ def sweep_trades(bars: DataFrame, grid: Grid, span: Span = HOURLY) -> DataFrame:
     sized = sized.withColumn("share", T.risk_fraction(risk)).withColumn(
         "growth", c("share") * (c("gross_ret") + c("funding_ret") - c("cost")))
     key = ["symbol", *CONFIG]
-    curve = T.trade_equity(sized, "growth", key, grid.capital)
+    curve = cut_lineage(T.trade_equity(cut_lineage(sized), "growth", key, grid.capital))
     curve = curve.withColumn("pnl", c("capital") - c("capital") / (1 + c("growth")))
     return clean(T.stop_at_drawdown(curve, key, capital=grid.capital))
 

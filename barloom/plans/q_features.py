@@ -20,7 +20,7 @@ def packed(name, pack, base="bars", steps=(), body=None, ints="", nums="", keys=
 
     @query(name, text)
     def run(spark, folder):
-        bars = B.bars_1h(spark, folder)
+        bars = B.stored_bars(spark, folder)
         return report(X.features(bars, pack), "symbol", "ts", *[k for k in keys.split() if k != "symbol"],
                       *ints.split(), *nums.split())
 
@@ -137,7 +137,7 @@ packed("channels", X.channels, steps=[("h", alias({
     ("out_", alias({"obv_ma": full("avg", "obv", 20), "obv_trend": f"coalesce(obv > {full('avg', 'obv', 20)}, false)::INT"}, "o")),
     out=cols("out_", ints="obv_trend", nums="obv vpt:2 obv_ma")))
 def obv_vpt(spark, folder):
-    return report(X.on_balance(B.bars_1h(spark, folder)), "symbol", "ts", "obv_trend", "obv", "vpt:2", "obv_ma")
+    return report(X.on_balance(B.stored_bars(spark, folder)), "symbol", "ts", "obv_trend", "obv", "vpt:2", "obv_ma")
 
 
 FR48 = f"OVER ({P} ROWS BETWEEN 47 PRECEDING AND CURRENT ROW)"
@@ -291,7 +291,7 @@ ENT = [RET, ("e", alias({"vals": f"list(r) FILTER (WHERE r IS NOT NULL) OVER ({P
 
 @query("entropy_48", sql("bars", *ENT, out=cols("out_", nums="return_entropy_48")))
 def entropy_48(spark, folder):
-    return report(X.return_entropy(B.bars_1h(spark, folder)), "symbol", "ts", "return_entropy_48")
+    return report(X.return_entropy(B.stored_bars(spark, folder)), "symbol", "ts", "return_entropy_48")
 
 
 _L = list(range(2, 21))
@@ -307,4 +307,4 @@ HUR = [("n", alias({"rn": f"row_number() OVER ({P}) - 1", **{f"d{k}": f"close -
 
 @query("hurst_100", sql("bars", *HUR, out=cols("out_", nums="hurst_exp")))
 def hurst_100(spark, folder):
-    return report(X.hurst_exponent(B.bars_1h(spark, folder)), "symbol", "ts", "hurst_exp")
+    return report(X.hurst_exponent(B.stored_bars(spark, folder)), "symbol", "ts", "hurst_exp")

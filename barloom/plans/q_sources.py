@@ -10,6 +10,7 @@ from barloom.operators.studies import daily_frame
 from barloom.plans.registry import query, report
 from barloom.plans.sqltext import P, cols, lag, sql
 from barloom.sources import bars as B
+from barloom.session import cut_lineage
 from barloom.sources import files as S
 
 OHLCV = "open high low close volume"
@@ -34,7 +35,7 @@ def bars_4h(spark, folder):
 
 @query("bars_1h_to_daily", sql("ticks", resampled("1 day"), out=cols("out_", nums=OHLCV)))
 def bars_daily(spark, folder):
-    return report(B.rebar(B.bars_1h(spark, folder), "1 day"), "symbol", "ts", *OHLCV.split())
+    return report(B.rebar(B.stored_bars(spark, folder), "1 day"), "symbol", "ts", *OHLCV.split())
 
 
 @query("daily_bars", sql("daily", out=cols("daily", nums=OHLCV8)))
@@ -46,7 +47,7 @@ def daily_bars(spark, folder):
   UNION ALL SELECT symbol, ts, close, volume, 1 FROM (SELECT symbol, ts, (high + low) / 2 AS close, volume FROM bars) WHERE hour(ts) % 3 = 0"""),
     out=cols("out_", ints="source", nums="close volume")))
 def source_union(spark, folder):
-    bars = B.bars_1h(spark, folder)
+    bars = B.stored_bars(spark, folder)
     first = bars.where(F.hour("ts") % 3 != 0).select("symbol", "ts", "close", "volume", F.lit(0).alias("source"))
     second = bars.select("symbol", "ts", ((F.col("high") + F.col("low")) / 2).alias("close"), "volume", F.lit(1).alias("source"))
     return report(A.merge_sources([first, second]), "symbol", "ts", "source", "close", "volume")
@@ -65,7 +66,7 @@ def duplicate_drop(spark, folder):
 @query("last_n_bars", sql("bars", ("out_", """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS p FROM bars) WHERE p <= 100"""),
     out=cols("out_", nums=OHLCV)))
 def last_n_bars(spark, folder):
-    return report(A.newest_rows(B.bars_1h(spark, folder), 100), "symbol", "ts", *OHLCV.split())
+    return report(A.newest_rows(B.stored_bars(spark, folder), 100), "symbol", "ts", *OHLCV.split())
 
 
 @query("timestamp_repair", sql("bars", ("n", f"SELECT *, row_number() OVER ({P}) - 1 AS rn FROM bars"),
@@ -74,7 +75,7 @@ def last_n_bars(spark, folder):
     ("out_", "SELECT b.symbol, n.ts AS true_ts, b.rb AS rn, b.close FROM b JOIN o ON b.symbol = o.symbol JOIN n ON n.symbol = b.symbol AND n.rn = b.rb + o.off"),
     out=cols("out_", ts="true_ts", ints="rn", nums="close")))
 def timestamp_repair(spark, folder):
-    bars = B.bars_1h(spark, folder)
+    bars = B.stored_bars(spark, folder)
     tail = A.clean_numbered(bars).where("rn >= 37").drop("rn").withColumn("ts", F.col("ts") + F.expr("INTERVAL 5 HOURS"))
     return report(A.repair_stamps(tail.select("symbol", "ts", "close"), bars), "symbol", "true_ts", "rn", "close")
 
@@ -82,7 +83,7 @@ def timestamp_repair(spark, folder):
 @query("time_zones", sql("bars", ("out_", """SELECT symbol, ts, ts - INTERVAL 5 HOURS AS eastern, epoch_ms(ts) AS ms, make_timestamp(epoch_ms(ts) * 1000) AS back FROM bars"""),
     out=cols("out_", ts="ts eastern back", ints="ms")))
 def time_zones(spark, folder):
-    bars = B.bars_1h(spark, folder)
+    bars = B.stored_bars(spark, folder)
     return report(bars.select(
         "symbol", "ts", F.from_utc_timestamp("ts", "America/New_York").alias("eastern"),
         F.unix_millis("ts").alias("ms"), F.timestamp_millis(F.unix_millis("ts")).alias("back")))
@@ -90,7 +91,7 @@ def time_zones(spark, folder):
 
 @query("kline_json_pages", sql("bars", out=cols("bars", nums=OHLCV)))
 def kline_json(spark, folder):
-    return report(S.parse_klines(S.kline_pages(B.bars_1h(spark, folder))))
+    return report(S.parse_klines(S.kline_pages(B.stored_bars(spark, folder))))
 
 
 @query("funding_json_pages", sql("funding", out=cols("funding", nums="funding_rate:9")))
@@ -102,7 +103,7 @@ def funding_json(spark, folder):
 @query("parquet_roundtrip", sql("bars", out=cols("bars", nums=OHLCV, where="symbol <> 'view' AND ts >= TIMESTAMP '2024-01-10'")))
 def parquet_roundtrip(spark, folder):
     path = S.fresh_path(spark, "bars")
-    S.write_bars(B.bars_1h(spark, folder), path)
+    S.write_bars(B.stored_bars(spark, folder), path)
     kept = S.read_bars(spark, path).where("symbol <> 'view' and month >= '2024-01' and ts >= timestamp'2024-01-10'")
     return report(kept, "symbol", "ts", *OHLCV.split())
 
@@ -110,7 +111,7 @@ def parquet_roundtrip(spark, folder):
 @query("csv_roundtrip", sql("bars", out=cols("bars", nums=OHLCV)))
 def csv_roundtrip(spark, folder):
     path = S.fresh_path(spark, "csv")
-    S.write_csv(B.bars_1h(spark, folder), path)
+    S.write_csv(B.stored_bars(spark, folder), path)
     return report(S.read_csv(spark, path, S.BAR_SCHEMA))
 
 
@@ -118,7 +119,7 @@ def csv_roundtrip(spark, folder):
     out=cols("out_", ts="", ints="n", nums="top volume")))
 def json_roundtrip(spark, folder):
     path = S.fresh_path(spark, "json")
-    bars = B.bars_1h(spark, folder)
+    bars = B.stored_bars(spark, folder)
     stats = F.struct(F.count(F.lit(1)).alias("n"), F.max("high").alias("top"), F.sum("volume").alias("volume"))
     S.write_json(bars.groupBy("symbol").agg(stats.alias("stats")), path)
     back = S.read_json(spark, path, "symbol string, stats struct<n: bigint, top: double, volume: double>")
@@ -134,10 +135,10 @@ def asof_funding(spark, folder):
 
 def bars_with_funding(spark, folder):
     """Hourly bars with the as-of funding rate and open interest."""
-    ticks = B.hourly_counts(spark, folder)
+    ticks = cut_lineage(B.hourly_counts(spark, folder))
     interest = A.prefix(A.with_time_chunk(ticks), {"open_interest": ("sum", "n_ticks")}).select("symbol", "ts", F.col("open_interest").cast("bigint").alias("open_interest"))
     sparse = B.funding(spark, folder).unionByName(interest, allowMissingColumns=True)
-    return A.asof(B.bars_1h(spark, folder), sparse, ["funding_rate", "open_interest"])
+    return cut_lineage(A.asof(B.stored_bars(spark, folder), cut_lineage(sparse), ["funding_rate", "open_interest"]))
 
 
 @query("reindex_ffill", sql("bars", ("g", """SELECT s.symbol, h.ts FROM (SELECT symbol, min(ts) AS a, max(ts) AS b FROM bars GROUP BY 1) s,
@@ -145,7 +146,7 @@ def bars_with_funding(spark, folder):
     ("out_", "SELECT g.symbol, g.ts, b.close FROM g ASOF LEFT JOIN bars b ON g.symbol = b.symbol AND g.ts >= b.ts"),
     out=cols("out_", nums="close")))
 def reindex_ffill(spark, folder):
-    bars = B.bars_1h(spark, folder)
+    bars = B.stored_bars(spark, folder)
     edges = bars.groupBy("symbol").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
     grid = edges.select("symbol", F.explode(F.sequence("a", "b", F.expr("INTERVAL 1 HOUR"))).alias("ts"))
     return report(A.asof(grid, bars, ["close"]), "symbol", "ts", "close")
@@ -155,7 +156,7 @@ def reindex_ffill(spark, folder):
     ("out_", f"SELECT *, last_value(fr IGNORE NULLS) OVER ({P} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS funding_rate FROM j"),
     out=cols("out_", nums="close funding_rate:9")))
 def join_then_fill(spark, folder):
-    bars = B.bars_1h(spark, folder).select("symbol", "ts", "close")
+    bars = B.stored_bars(spark, folder).select("symbol", "ts", "close")
     return report(A.join_then_fill(bars, B.funding(spark, folder), ["funding_rate"]), "symbol", "ts", "close", "funding_rate:9")
 
 
@@ -163,7 +164,7 @@ def join_then_fill(spark, folder):
     ("out_", "SELECT b.symbol, b.ts, b.close, l.fwd FROM bars b JOIN l USING (symbol, ts)"), out=cols("out_", nums="close fwd")))
 def column_concat(spark, folder):
     from barloom.operators.features import W
-    bars = B.bars_1h(spark, folder)
+    bars = B.stored_bars(spark, folder)
     label = clean(chunked(bars, after=4).withColumn("fwd", F.lead("close", 4).over(W()) / F.col("close") - 1)).select("symbol", "ts", "fwd")
     return report(bars.join(label, ["symbol", "ts"]), "symbol", "ts", "close", "fwd")
 
@@ -175,7 +176,7 @@ DOWN_DAYS = ("dn", f"SELECT symbol, ts AS d, close < {lag('close')} AS down FROM
     out=cols("out_", nums=OHLCV)))
 def semi_join_days(spark, folder):
     from barloom.operators.features import W
-    bars = B.bars_1h(spark, folder)
+    bars = B.stored_bars(spark, folder)
     day = B.rebar(bars, "1 day")
     down = clean(chunked(day, before=1, span=DAILY).withColumn("down", F.col("close") < F.lag("close", 1).over(W())))
     days = down.where("down").select("symbol", F.col("ts").alias("day"))
@@ -185,7 +186,7 @@ def semi_join_days(spark, folder):
 @query("anti_join_blackout", sql("daily", ("out_", "SELECT * FROM daily WHERE NOT (month(ts) IN (1, 4, 7, 10) AND day(ts) BETWEEN 10 AND 27)"),
     out=cols("out_", nums=OHLCV8)))
 def anti_join_blackout(spark, folder):
-    days = B.daily(spark, folder)
+    days = B.stored_daily(spark, folder)
     return report(days.withColumn("day", F.to_date("ts")).join(A.blackout_days(days), "day", "left_anti"), "symbol", "ts", *OHLCV8.split())
 
 
@@ -193,7 +194,7 @@ def anti_join_blackout(spark, folder):
     ("out_", "SELECT d.symbol, d.ts, w.wr AS prev_week_ret FROM daily d LEFT JOIN w ON d.symbol = w.symbol AND date_trunc('week', d.ts)::TIMESTAMP = w.wk + INTERVAL 7 DAYS"),
     out=cols("out_", nums="prev_week_ret")))
 def week_to_week(spark, folder):
-    return report(A.previous_week(B.daily(spark, folder)), "symbol", "ts", "prev_week_ret")
+    return report(A.previous_week(B.stored_daily(spark, folder)), "symbol", "ts", "prev_week_ret")
 
 
 @query("forward_bars", sql("bars", ("n", f"SELECT *, row_number() OVER ({P}) AS rn FROM bars"),
@@ -202,7 +203,7 @@ def week_to_week(spark, folder):
 def forward_bars(spark, folder):
     from barloom.functions.rolling import ahead
     from barloom.operators.features import W
-    df = chunked(B.bars_1h(spark, folder), after=5).withColumn("_next", F.collect_list("close").over(ahead(W, 5)))
+    df = chunked(B.stored_bars(spark, folder), after=5).withColumn("_next", F.collect_list("close").over(ahead(W, 5)))
     df = clean(df.where("_own").select("symbol", "ts", "close", F.posexplode("_next").alias("k", "later")))
     return report(df.select("symbol", "ts", (F.col("k") + 1).alias("k"), (F.col("later") / F.col("close") - 1).alias("ret")))
 
@@ -213,7 +214,7 @@ def forward_bars(spark, folder):
     out=cols("out_", nums="entry exit ret")))
 def intraday_pairs(spark, folder):
     at = lambda h: F.max(F.when(F.hour("ts") == h, F.col("close")))
-    pairs = B.bars_1h(spark, folder).where(F.hour("ts").isin(9, 10)).groupBy("symbol", F.date_trunc("day", "ts").alias("day")).agg(
+    pairs = B.stored_bars(spark, folder).where(F.hour("ts").isin(9, 10)).groupBy("symbol", F.date_trunc("day", "ts").alias("day")).agg(
         at(9).alias("entry"), at(10).alias("exit")).where("entry is not null and exit is not null")
     return report(pairs.select("symbol", F.col("day").alias("ts"), "entry", "exit", (F.col("exit") / F.col("entry") - 1).alias("ret")))
 
@@ -225,5 +226,5 @@ def intraday_pairs(spark, folder):
     out=cols("out_", keys="symbol regime", nums="sl_pct tp_pct")))
 def regime_levels(spark, folder):
     levels = spark.createDataFrame([("bull", 2.0, 6.0), ("bear", 1.5, 3.0), ("sideways", 1.0, 2.0)], "regime string, sl_pct double, tp_pct double")
-    rows = A.regime_levels(daily_frame(B.daily(spark, folder)), levels)
+    rows = A.regime_levels(daily_frame(B.stored_daily(spark, folder)), levels)
     return report(rows, "symbol", "regime", "ts", "sl_pct", "tp_pct")

@@ -15,6 +15,7 @@ from barloom.plans.q_labels import EXC
 from barloom.plans.q_sources import bars_with_funding
 from barloom.plans.registry import query, report
 from barloom.plans.sqltext import P, cols, full, lag, lead, sql
+from barloom.session import cut_lineage
 from barloom.sources import bars as B
 
 STRAT = [
@@ -47,7 +48,7 @@ NAMES = " ".join([*RULES, "combined"])
 
 
 def strategy_frame(spark, folder):
-    return X.features(bars_with_funding(spark, folder), X.strategy_inputs)
+    return cut_lineage(X.features(bars_with_funding(spark, folder), X.strategy_inputs))
 
 
 @query("strategy_signals", sql("bars_f", *STRAT, SIG, SIG2, out=cols("sig2", ints=NAMES)))
@@ -64,7 +65,7 @@ def strategy_sql_rule(spark, folder):
 
 def curve(spark, folder, rule=G.ma_trend):
     df = strategy_frame(spark, folder).withColumn("signal", rule())
-    return T.signal_backtest(df)
+    return cut_lineage(T.signal_backtest(df))
 
 
 def backtest_steps(source="sig2", signal="ma_trend", p=P, key="symbol"):
@@ -137,7 +138,7 @@ def strategy_compare(spark, folder):
     rules = F.array(*[F.struct(F.lit(n).alias("strategy"), r().alias("signal")) for n, r in G.strategies().items()])
     runs = df.select("symbol", "ts", "open", F.explode(rules).alias("_r")).select("symbol", "ts", "open", "_r.*")
     key = ("symbol", "strategy")
-    positions = T.signal_backtest(runs, key=key)
+    positions = cut_lineage(T.signal_backtest(cut_lineage(runs), key=key))
     stats = T.performance(T.drawdowns(positions, key=key), T.position_trades(positions, key=key), key=key)
     base = stats.where("strategy = 'ma_trend'").select("symbol", F.col("sharpe").alias("_base"))
     out = stats.join(base, "symbol", "left").withColumn("sharpe_gain", c("sharpe") - c("_base"))
@@ -185,7 +186,7 @@ def exits_sql(tp, sl, hold, mode, trail):
 def exits_df(bars, pct, grid_row, direction="both"):
     tp, sl, hold, mode, trail = grid_row
     grid = S.Grid(percentiles=(pct,), directions=(direction,), hours=(("allhours", -1, -1),))
-    frame = S.scored_frame(bars, hold)
+    frame = cut_lineage(S.scored_frame(bars, hold))
     slim = frame.select("symbol", "long_prob", "short_prob")
     entries = S.entry_signals(frame, S.score_thresholds(slim, (pct,)), grid)
     entries = entries.withColumns({
@@ -199,7 +200,7 @@ for _name, _row in {"barrier_exits": (2.0, 1.0, 12, "fixed", 1.0), "trailing_exi
     @query(_name, sql("bars", *score_steps(), *entries_sql(0.2), *exits_sql(*_row),
                       out=cols("ex", keys="symbol reason", ints="side bars_held", nums="entry_price exit_price gross_ret")))
     def barrier_exits(spark, folder, row=_row):
-        return report(exits_df(B.bars_1h(spark, folder), 0.2, row), "symbol", "reason", "ts", "side", "bars_held", "entry_price", "exit_price", "gross_ret")
+        return report(exits_df(B.stored_bars(spark, folder), 0.2, row), "symbol", "reason", "ts", "side", "bars_held", "entry_price", "exit_price", "gross_ret")
 
 
 PICK = ("pick", """SELECT symbol, min(rn) AS rn FROM ex GROUP BY 1 UNION ALL
@@ -215,7 +216,7 @@ def recursive(text):
 @query("one_position", recursive(sql("bars", *score_steps(), *entries_sql(0.2), *exits_sql(2.0, 1.0, 12, "fixed", 1.0), *PORT,
     out=cols("tk", keys="symbol reason", ints="side bars_held", nums="gross_ret"))))
 def one_position(spark, folder):
-    exits = exits_df(B.bars_1h(spark, folder), 0.2, (2.0, 1.0, 12, "fixed", 1.0))
+    exits = cut_lineage(exits_df(B.stored_bars(spark, folder), 0.2, (2.0, 1.0, 12, "fixed", 1.0)))
     kept = T.one_at_a_time(exits, ["symbol"], 12).where("bars_held is not null")
     return report(kept, "symbol", "reason", "ts", "side", "bars_held", "gross_ret")
 
@@ -299,7 +300,7 @@ def grid_sql(key):
 @query("sltp_grid", sql("bars", EXC, *grid_sql(""), out=cols("gr", keys="", ts="", ints=GRID_INTS, nums=GRID_NUMS)))
 def sltp_grid(spark, folder):
     from barloom.operators.labels import excursions
-    return report(T.sltp_grid(excursions(B.bars_1h(spark, folder)), SL_RANGE, TP_RANGE), *GRID_INTS.split(), *GRID_NUMS.split())
+    return report(T.sltp_grid(excursions(B.stored_bars(spark, folder)), SL_RANGE, TP_RANGE), *GRID_INTS.split(), *GRID_NUMS.split())
 
 
 VOLQ = [("ra", alias({"tr": TR}, "bars")), ("rb", alias({"ap": f"{full('avg', 'tr', 14)} / close * 100"}, "ra")),
@@ -311,6 +312,6 @@ VOLQ = [("ra", alias({"tr": TR}, "bars")), ("rb", alias({"ap": f"{full('avg', 't
     out=cols("out_", keys="regime", ts="", ints="total_trades wins losses", nums="sl_pct tp_pct win_rate profit_factor expectancy")))
 def sltp_by_vol(spark, folder):
     from barloom.operators.labels import excursions
-    bars = X.features(B.bars_1h(spark, folder), X.atr)
+    bars = X.features(B.stored_bars(spark, folder), X.atr)
     best = T.best_by_regime(T.sltp_grid(T.volatility_buckets(excursions(bars)), SL_RANGE, TP_RANGE, ["regime"]))
     return report(best, "regime", "total_trades", "wins", "losses", "sl_pct", "tp_pct", "win_rate", "profit_factor", "expectancy")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,9 +47,12 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder, written once and read by every later job."""
-    context = df.sparkSession.sparkContext
-    folder = shared_folder(df.sparkSession)
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    """Write once to the shared folder and go on from the written table.
+
+    Later steps read a step several times (totals, then rows). Without the cut each reading would
+    re-run the whole history, scanning the ticks again; executors may be lost, the table stays.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/step-{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom.operators.chunks import seconds
-from barloom.session import ensure_utc
+from barloom.session import cut_lineage, ensure_utc
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -49,6 +49,15 @@ def bars_1h(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def stored_bars(spark: SparkSession, folder: str) -> DataFrame:
+    """Hourly bars written once: the tick scan runs a single time however often bars are read."""
+    return cut_lineage(bars_1h(spark, folder))
+
+
+def stored_daily(spark: SparkSession, folder: str) -> DataFrame:
+    return cut_lineage(daily(spark, folder))
+
+
 def rebar(bars: DataFrame, width: str) -> DataFrame:
     """Coarser bars from finer ones: first open, last close, extremes, summed volume."""
     return (
