@@ -296,3 +296,60 @@ def best_by_regime(grid: DataFrame) -> DataFrame:
     order = F.struct("expectancy", (-c("sl_pct")).alias("a"), (-c("tp_pct")).alias("b"))
     rest = [x for x in grid.columns if x != "regime"]
     return grid.groupBy("regime").agg(F.max_by(F.struct(*rest), order).alias("_r")).select("regime", "_r.*")
+
+
+# --- other exits and account reports --------------------------------------------------------
+
+def hysteresis(df: DataFrame, stop: float = 0.05, target: float = 0.10, leave: float = 0.45, hold: int = 24) -> DataFrame:
+    """Exit at stop, target, a weak score or the time limit, whichever bar comes first."""
+    low, high = c("close") * (1 - stop), c("close") * (1 + target)
+
+    def outcome(x, i):
+        why = (F.when(x["low"] <= low, "SL").when(x["high"] >= high, "TP").when(x["p"] < leave, "SIGNAL").when(i + 1 >= hold, "TIMEOUT"))
+        price = F.when(x["low"] <= low, low).when(x["high"] >= high, high).otherwise(x["close"])
+        return F.struct(why.alias("reason"), price.alias("price"), (i + 1).alias("k"))
+
+    df = df.withColumn("_all", F.transform("_next", outcome))
+    df = df.withColumn("_x", F.filter("_all", lambda x: x["reason"].isNotNull())).where(F.size("_x") > 0)
+    first = F.element_at("_x", 1)
+    return df.select("symbol", "ts", first["reason"].alias("reason"), first["k"].alias("bars_held"), (first["price"] / c("close") - 1).alias("gross_ret"))
+
+
+def with_partial(df: DataFrame, share: float = 0.5) -> DataFrame:
+    """Resolve exits where ``share`` leaves at +``trail_mult`` ATR and the stop moves to the entry.
+
+    Such a trade is a break-even trade plus, when the level was reached before the exit, the gain of
+    the part that left there.
+    """
+    s, entry, level = c("side"), c("entry_price"), c("entry_price") + c("side") * c("trail_mult") * c("atr_entry")
+    reached = F.transform("_future", lambda b: s * (F.when(s > 0, b["high"]).otherwise(b["low"]) - level) >= 0)
+    df = df.withColumn("_at", F.array_position(reached, True))
+    df = resolve_exits(df.withColumn("exit_mode", F.lit("breakeven")))
+    # the bar that ends the trade is tested before the partial exit
+    taken = (c("_at") > 0) & (c("_at") < c("bars_held"))
+    part = s * (level - entry) / entry
+    return df.withColumns({
+        "partial_taken": flag(taken), "total_ret": F.when(taken, share * part + (1 - share) * c("gross_ret")).otherwise(c("gross_ret")),
+    }).drop("_at")
+
+
+def longest_runs(trades: DataFrame, order: str = "entry_rn") -> DataFrame:
+    """Longest winning and losing run of trades per symbol, from the last trade of the other kind."""
+    df = trades.withColumn("_chunk", F.floor(c(order) / F.lit(ROWS_PER_PART)).cast("bigint"))
+    won = c("pnl") > 0
+    df = prefix(df, {"_i": ("sum", F.lit(1))}, order=order)
+    df = prefix(df, {"_lw": ("last", F.when(won, c("_i"))), "_ll": ("last", F.when(~won, c("_i")))}, order=order)
+    return df.groupBy("symbol").agg(
+        F.max(F.when(won, c("_i") - F.coalesce("_ll", F.lit(0))).otherwise(0)).alias("longest_win"),
+        F.max(F.when(won, 0).otherwise(c("_i") - F.coalesce("_lw", F.lit(0)))).alias("longest_loss"))
+
+
+def account_rules(trades: DataFrame, capital: float = 25_000.0, max_trailing: float = 1000.0) -> DataFrame:
+    """Day-based account limits: trailing end-of-day drawdown, best-day share, worst day, trade count."""
+    days = trades.groupBy("symbol", F.date_trunc("day", "ts").alias("day")).agg(F.sum("pnl").alias("pnl"), F.count(F.lit(1)).alias("n"))
+    df = days.withColumn("_chunk", F.year("day").cast("bigint"))
+    df = prefix(df, {"_sum": ("sum", "pnl")}, order="day").withColumn("balance", capital + c("_sum"))
+    df = prefix(df, {"_peak": ("max", "balance")}, order="day").withColumn("trail", F.greatest("_peak", F.lit(capital)) - c("balance"))
+    return df.groupBy("symbol").agg(
+        F.count(F.lit(1)).alias("days"), F.max("trail").alias("max_trailing_dd"), F.try_divide(F.max("pnl"), F.sum("pnl")).alias("best_day_share"),
+        F.min("pnl").alias("worst_day"), F.max("n").alias("most_trades"), (F.max("trail") <= max_trailing).alias("within_drawdown"))

@@ -50,7 +50,7 @@ def trades_sql(source="rf", rules=R.DAILY_RULES):
 EQ = [("eq", "SELECT *, 25000 * product(1 + size / 100 * pnl_pct / 100) OVER (PARTITION BY symbol, rule ORDER BY ts, leg) AS equity FROM tr_"),
       ("pk", "SELECT *, equity - equity / (1 + size / 100 * pnl_pct / 100) AS pnl, greatest(25000, max(equity) OVER (PARTITION BY symbol, rule ORDER BY ts, leg)) AS peak FROM eq"),
       ("st_", """SELECT symbol, rule, count(*) AS n_trades, avg((pnl_pct > 0)::INT) * 100 AS win_rate, avg(pnl_pct) AS avg_pnl, sum(pnl) FILTER (WHERE pnl_pct > 0) / nullif(abs(sum(pnl) FILTER (WHERE NOT pnl_pct > 0)), 0) AS profit_factor,
-  max((peak - equity) / peak * 100) AS max_dd, ln(arg_max(equity, ts * 1)) AS log_final, avg(pnl_pct) / nullif(stddev_samp(pnl_pct) / sqrt(count(*)), 0) AS t_stat FROM (SELECT * REPLACE (epoch(ts)::BIGINT * 1000 + leg AS ts) FROM pk) GROUP BY 1, 2""")]
+  ln(1 + max((peak - equity) / peak * 100)) AS log_dd, ln(abs(arg_max(equity, ts * 1))) AS log_final, avg(pnl_pct) / nullif(stddev_samp(pnl_pct) / sqrt(count(*)), 0) AS t_stat FROM (SELECT * REPLACE (epoch(ts)::BIGINT * 1000 + leg AS ts) FROM pk) GROUP BY 1, 2""")]
 
 
 def frame(spark, folder):
@@ -69,10 +69,10 @@ def stats(spark, folder):
     return R.rule_stats(cut_lineage(R.rule_equity(trades)))
 
 
-@query("daily_rule_stats", sql("daily vix", *FRAME, *trades_sql(), *EQ, out=cols("st_", keys="symbol rule", ts="", ints="n_trades", nums="win_rate avg_pnl:5 profit_factor max_dd log_final:5 t_stat")))
+@query("daily_rule_stats", sql("daily vix", *FRAME, *trades_sql(), *EQ, out=cols("st_", keys="symbol rule", ts="", ints="n_trades", nums="win_rate avg_pnl:5 profit_factor log_dd log_final:5 t_stat")))
 def daily_rule_stats(spark, folder):
-    df = stats(spark, folder).withColumn("log_final", F.ln("final_equity"))
-    return report(df, "symbol", "rule", "n_trades", "win_rate", "avg_pnl:5", "profit_factor", "max_dd", "log_final:5", "t_stat")
+    df = stats(spark, folder).withColumns({"log_final": F.ln(F.abs("final_equity")), "log_dd": F.ln(1 + c("max_dd"))})
+    return report(df, "symbol", "rule", "n_trades", "win_rate", "avg_pnl:5", "profit_factor", "log_dd", "log_final:5", "t_stat")
 
 
 @query("viable_rules", sql("daily vix", *FRAME, *trades_sql(), *EQ, ("good", "SELECT * FROM st_ WHERE profit_factor > 1 AND avg_pnl > 0 AND abs(t_stat) > 1.65 AND n_trades > 20"),
