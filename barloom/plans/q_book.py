@@ -27,7 +27,7 @@ def snapshots(spark, folder):
     mids = ticks.groupBy("symbol", "ts").agg((F.avg("price") * 10).alias("mid"))
     rows = levels.join(mids, ["symbol", "ts"])
     size = {-1: c("qty"), 1: (c("qty") * 7) % 101}
-    side = lambda s: F.sort_array(F.collect_list(F.struct("i", (c("mid") * (1 + s * 0.002 * c("i"))).alias("price"), size[s].alias("qty"))))
+    side = lambda s: F.sort_array(F.collect_list(F.struct("i", (c("mid") * F.exp(s * 0.002 * c("i"))).alias("price"), size[s].alias("qty"))))
     strip = lambda xs: F.transform(xs, lambda x: F.struct(x["price"].alias("price"), x["qty"].alias("qty")))
     return rows.groupBy("symbol", "ts").agg(side(-1).alias("b"), side(1).alias("a")).select(
         "symbol", "ts", strip(c("b")).alias("bids"), strip(c("a")).alias("asks"))
@@ -35,7 +35,7 @@ def snapshots(spark, folder):
 
 BOOK = [("tk", "SELECT symbol, date_trunc('hour', ts) AS ts, ord, price, qty FROM ticks"),
         ("lv", f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol, ts ORDER BY ord DESC) AS i, avg(price) OVER (PARTITION BY symbol, ts) * 10 AS mid FROM tk) WHERE i <= {LEVELS}"),
-        ("bk", "SELECT symbol, ts, i, qty, (qty * 7) % 101 AS aq, mid * (1 - 0.002::DOUBLE * i) AS bp, mid * (1 + 0.002::DOUBLE * i) AS ap, (mid * (1 - 0.002::DOUBLE) + mid * (1 + 0.002::DOUBLE)) / 2 AS m FROM lv")]
+        ("bk", "SELECT symbol, ts, i, qty, (qty * 7) % 101 AS aq, mid * exp(-0.002::DOUBLE * i) AS bp, mid * exp(0.002::DOUBLE * i) AS ap, (mid * exp(-0.002::DOUBLE) + mid * exp(0.002::DOUBLE)) / 2 AS m FROM lv")]
 
 
 def booked(name, exprs, ints="", nums=""):
@@ -61,7 +61,7 @@ for n in (5, 10, 20):
                  f"ob_imbalance_pct_{n}": f"coalesce(({b} - {a}) / nullif({b} + {a}, 0) * 100, 0)", f"ob_imbalance_ratio_{n}": f"coalesce({b} / nullif({a}, 0), 1)",
                  f"ob_bid_vwap_{n}": f"coalesce(sum(bp * qty) FILTER (WHERE i <= {n}) / nullif({b}, 0), 0)",
                  f"ob_ask_vwap_{n}": f"coalesce(sum(ap * aq) FILTER (WHERE i <= {n}) / nullif({a}, 0), 0)"})
-booked("book_imbalance", _imb, nums=" ".join(n + (":8" if "vwap" in n else "") for n in _imb))
+booked("book_imbalance", _imb, nums=" ".join(_imb))
 _dep = {}
 for p in (0.5, 1.0, 2.0):
     t = f"{int(p * 100)}bp"

@@ -274,7 +274,7 @@ def partial_exits(spark, folder):
     return report(T.with_partial(df, 0.5), "symbol", "ts", "reason", "bars_held", "partial_taken", "total_ret")
 
 
-@query("session_vwap", sql("bars", ("o_", """SELECT symbol, ts, sum(tp * volume) OVER w / nullif(sum(volume) OVER w, 0) AS vwap, sqrt(greatest(0, sum(tp * tp * volume) OVER w / nullif(sum(volume) OVER w, 0) - (sum(tp * volume) OVER w / nullif(sum(volume) OVER w, 0)) ^ 2)) AS sigma
+@query("session_vwap", sql("bars", ("o_", """SELECT symbol, ts, sum(tp * volume) OVER w / nullif(sum(volume) OVER w, 0) AS vwap, CASE WHEN sum(volume) OVER w > 0 THEN sqrt(greatest(0, sum(tp * tp * volume) OVER w / nullif(sum(volume) OVER w, 0) - (sum(tp * volume) OVER w / nullif(sum(volume) OVER w, 0)) ^ 2)) END AS sigma
   FROM (SELECT *, (high + low + close) / 3 AS tp FROM bars) WINDOW w AS (PARTITION BY symbol, date_trunc('day', ts) ORDER BY ts)"""),
     ("out_", "SELECT *, vwap + sigma AS up1, vwap - 2 * sigma AS down2 FROM o_"), out=cols("out_", nums="vwap sigma:4 up1:4 down2:4")))
 def session_vwap(spark, folder):
@@ -309,9 +309,9 @@ def expanding_stats(spark, folder):
     **{f"funding_cum_{n}": roll("sum", "funding_rate", n) for n in (8, 24, 72)},
     "funding_mr": f"-(funding_rate - {full('avg', 'funding_rate', 168)}) / ({full('stddev_samp', 'funding_rate', 168)} + 1e-10)",
     "funding_accel": full("avg", "dfr", 8), "funding_change_24": f"funding_rate - {lag('funding_rate', 24)}", "oi_change_24": f"open_interest - {lag('open_interest', 24)}"}, "d")),
-    out=cols("out_", ints="oi_change_24", nums="funding_cum_8:9 funding_cum_24:9 funding_cum_72:9 funding_mr funding_accel:9 funding_change_24:9")))
+    out=cols("out_", ints="oi_change_24", nums="funding_cum_8:9 funding_cum_24:9 funding_cum_72:9 funding_mr funding_accel:12 funding_change_24:9")))
 def funding_features(spark, folder):
-    return report(X.features(bars_with_funding(spark, folder), X.funding_features), "symbol", "ts", "oi_change_24", "funding_cum_8:9", "funding_cum_24:9", "funding_cum_72:9", "funding_mr", "funding_accel:9", "funding_change_24:9")
+    return report(X.features(bars_with_funding(spark, folder), X.funding_features), "symbol", "ts", "oi_change_24", "funding_cum_8:9", "funding_cum_24:9", "funding_cum_72:9", "funding_mr", "funding_accel:12", "funding_change_24:9")
 
 
 @query("null_policy", sql("bars", ("n_", f"SELECT symbol, ts, CASE WHEN volume > 0 THEN close / volume END AS x FROM bars"), ("out_", f"SELECT symbol, ts, coalesce(last_value(x IGNORE NULLS) OVER ({P} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS filled FROM n_"), out=cols("out_", nums="filled")))
