@@ -118,7 +118,7 @@ def position_size(balance: Column, price: Column, confidence: Column, risk: floa
     """Risk-based size scaled by confidence tier, capped, rounded down to 3 places."""
     tier = F.when(confidence >= 0.70, 1.0).when(confidence >= 0.60, 0.7).when(confidence >= 0.55, 0.5).otherwise(0.3)
     value = F.least(balance * risk / stop * tier, F.lit(max_usd), balance * max_exposure)
-    return floor_places(value / price)
+    return floor_places(F.try_divide(value, price))
 
 
 def stop_target(price: Column, long_side: Column, atr_share: Column, regime: Column) -> tuple:

@@ -80,7 +80,7 @@ def weekly_returns(daily: DataFrame) -> DataFrame:
     """Open-to-close return of every calendar week (keyed by its Monday)."""
     week = F.date_trunc("week", "ts")
     return daily.groupBy("symbol", week.alias("week")).agg(
-        (F.max_by("close", "ts") / F.min_by("open", "ts") - 1).alias("week_ret"))
+        (F.try_divide(F.max_by("close", "ts"), F.min_by("open", "ts")) - 1).alias("week_ret"))
 
 
 def previous_week(daily: DataFrame) -> DataFrame:

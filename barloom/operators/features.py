@@ -270,7 +270,7 @@ def moments(df):
 
 @pack(24)
 def garman_klass(df):
-    hl, co = F.ln(c("high") / c("low")), F.ln(c("close") / c("open"))
+    hl, co = log_ratio("high", "low"), log_ratio("close", "open")
     day = F.lit(0.5) * hl * hl - F.lit(2 * math.log(2) - 1) * co * co
     mean = full(F.avg, day, 24, W)
     return df.withColumn("gk_volatility", F.when(mean >= 0, F.sqrt(mean)))

@@ -77,8 +77,8 @@ def excursions(bars: DataFrame, horizon: int = 24, span: Span = HOURLY) -> DataF
     frame = ahead(W, horizon)
     whole = F.count("close").over(frame) == horizon
     return clean(df.withColumns({
-        "mae": F.when(whole, (F.min("low").over(frame) - c("close")) / c("close") * 100),
-        "mfe": F.when(whole, (F.max("high").over(frame) - c("close")) / c("close") * 100),
+        "mae": F.when(whole, div(F.min("low").over(frame) - c("close"), "close") * 100),
+        "mfe": F.when(whole, div(F.max("high").over(frame) - c("close"), "close") * 100),
     }))
 
 

@@ -164,7 +164,7 @@ def net_returns(df: DataFrame, slip: float = 0.0001) -> DataFrame:
     """Percent result of each trade with slippage on both fills."""
     s = c("side")
     paid, got = c("entry_price") * (1 + s * slip), c("exit_price") * (1 - s * slip)
-    return df.withColumn("pnl_pct", s * (got - paid) / paid * 100)
+    return df.withColumn("pnl_pct", div(s * (got - paid), paid) * 100)
 
 
 def rule_equity(trades: DataFrame, capital: float = 25_000.0, key=("symbol", "rule"), order=("ts", "leg")) -> DataFrame:
@@ -172,10 +172,10 @@ def rule_equity(trades: DataFrame, capital: float = 25_000.0, key=("symbol", "ru
     df = trades.withColumn("_chunk", bucket_of("ts", DAILY.bucket_seconds * DAILY.width))
     df = df.withColumn("_growth", 1 + c("size") / 100 * c("pnl_pct") / 100)
     df = T.running_product(df, "_growth", "_g", key=key, order=order)
-    df = df.withColumn("equity", capital * c("_g")).withColumn("pnl", c("equity") - c("equity") / c("_growth"))
+    df = df.withColumn("equity", capital * c("_g")).withColumn("pnl", c("equity") - div("equity", "_growth"))
     df = prefix(df, {"_peak": ("max", "equity")}, key=key, order=order)
     peak = F.greatest("_peak", F.lit(capital))
-    return clean(df.withColumn("dd_pct", (peak - c("equity")) / peak * 100))
+    return clean(df.withColumn("dd_pct", div(peak - c("equity"), peak) * 100))
 
 
 def rule_stats(trades: DataFrame, key=("symbol", "rule"), order=("ts", "leg")) -> DataFrame:
@@ -209,7 +209,7 @@ def kelly_sized(trades: DataFrame, warm_up: int = 10) -> DataFrame:
     w, l = F.coalesce("_w", F.lit(0.0)), F.coalesce("_l", F.lit(0.0))  # noqa: E741
     rate = div(w, w + l)
     payoff = div(c("_ws") / F.greatest(w, F.lit(1.0)), c("_ls") / F.greatest(l, F.lit(1.0)))
-    share = F.greatest(F.lit(0.02), F.least(rate - (1 - rate) / payoff, F.lit(0.15)))
+    share = F.greatest(F.lit(0.02), F.least(rate - div(1 - rate, payoff), F.lit(0.15)))
     return clean(df.withColumn("size", F.when((w + l >= warm_up) & (payoff > 0), share * 100).when((w + l >= warm_up) & (c("_ls") > 0), 2.0).otherwise(5.0)))
 
 
@@ -271,10 +271,10 @@ INTRADAY_RULES = [
     ("S11", "st <= -3", "pre_last", "at_1030", 1, "5"),
     ("S15", MW, "open_930", "at_1030", 1, "5"),
     ("S17", "vx < 20", "open_930", "at_1030", 1, "5"),
-    ("S18", "at_10 / open_930 - 1 < -0.003", "at_10", "day_end", 1, "5"),
+    ("S18", "at_10 < open_930 * 0.997", "at_10", "day_end", 1, "5"),
     ("S22", "pre_last > 0", "pre_last", "day_end", 1, "5"),
-    ("S23", "hour_end / open_930 - 1 > 0.005", "at_1030", "at_15", -1, "5"),
-    ("S23", "hour_end / open_930 - 1 < -0.005", "at_1030", "at_15", 1, "5"),
+    ("S23", "hour_end > open_930 * 1.005", "at_1030", "at_15", -1, "5"),
+    ("S23", "hour_end < open_930 * 0.995", "at_1030", "at_15", 1, "5"),
     ("S24", "pre_last > pre_first", "pre_last", "at_1030", 1, "5"),
     ("S24", "pre_last < pre_first", "pre_last", "at_1030", -1, "5"),
 ]

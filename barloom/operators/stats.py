@@ -35,7 +35,7 @@ def welch(df: DataFrame, value: str, event: str, by=()) -> DataFrame:
     out = df.where(c(value).isNotNull()).groupBy(*by).agg(
         F.count(x).alias("n_event"), F.avg(x).alias("m1"), F.var_samp(x).alias("v1"),
         F.count(value).alias("n_all"), F.avg(value).alias("m2"), F.var_samp(value).alias("v2"))
-    a, b = c("v1") / c("n_event"), c("v2") / c("n_all")
+    a, b = F.try_divide("v1", "n_event"), F.try_divide("v2", "n_all")
     return out.where("n_event > 1").select(
         *by, "n_event", "n_all", (c("m1") - c("m2")).alias("diff"), F.try_divide(c("m1") - c("m2"), F.sqrt(a + b)).alias("t_stat"),
         F.try_divide((a + b) * (a + b), a * a / (c("n_event") - 1) + b * b / (c("n_all") - 1)).alias("dof"))

@@ -126,7 +126,7 @@ def session_returns(bars: DataFrame) -> DataFrame:
     """First open to last close of every session of every day."""
     df = bars.withColumn("session", session_name()).where("session is not null")
     return df.groupBy("symbol", F.date_trunc("day", "ts").alias("day"), "session").agg(
-        (F.max_by("close", "ts") / F.min_by("open", "ts") - 1).alias("ret"))
+        (F.try_divide(F.max_by("close", "ts"), F.min_by("open", "ts")) - 1).alias("ret"))
 
 
 def entry_exit_horizons(bars: DataFrame, entry_hour: int = 9, horizons=(1, 2, 3, 4, 6)) -> DataFrame:

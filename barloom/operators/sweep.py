@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.functions.rolling import c, flag
+from barloom.functions.rolling import c, div, flag
 from barloom.operators import trades as T
 from barloom.operators.chunks import HOURLY, Span, chunked, clean
 from barloom.operators.features import LOOKBACK, atr, scores
@@ -128,7 +128,7 @@ def sweep_trades(bars: DataFrame, grid: Grid, span: Span = HOURLY) -> DataFrame:
         "growth", c("share") * (c("gross_ret") + c("funding_ret") - c("cost")))
     key = ["symbol", *CONFIG]
     curve = cut_lineage(T.trade_equity(cut_lineage(sized), "growth", key, grid.capital))
-    curve = curve.withColumn("pnl", c("capital") - c("capital") / (1 + c("growth")))
+    curve = curve.withColumn("pnl", c("capital") - div("capital", 1 + c("growth")))
     return clean(T.stop_at_drawdown(curve, key, capital=grid.capital))
 
 

@@ -156,7 +156,7 @@ def resolve_exits(df: DataFrame) -> DataFrame:
     return df.withColumns({
         "bars_held": held, "exit_price": c("_exit.price"), "reason": c("_exit.reason"),
     }).withColumn(
-        "gross_ret", s * (c("exit_price") - entry) / entry
+        "gross_ret", div(s * (c("exit_price") - entry), entry)
     ).withColumn(
         "funding_ret",
         -s * F.aggregate(F.slice("_future", 1, F.coalesce("bars_held", F.lit(0))), F.lit(0.0), lambda a, b: a + b["funding"])
@@ -212,7 +212,7 @@ def one_at_a_time(entries: DataFrame, key, max_hold: int, cooldown: int = 0) ->
 
 def risk_fraction(risk: Column, max_share: float = 0.25) -> Column:
     """Share of capital whose loss at the stop equals the risk, capped."""
-    distance = c("sl_mult") * c("atr_entry") / c("entry_price")
+    distance = div(c("sl_mult") * c("atr_entry"), "entry_price")
     return F.least(risk / F.greatest(distance, F.lit(1e-6)), F.lit(max_share))
 
 
@@ -223,7 +223,7 @@ def half_kelly(win_rate: Column, payoff: Column) -> Column:
 
 def volatility_scale(atr_pct: Column, median: Column) -> Column:
     """Smaller size when volatility is above its median, between half and double."""
-    return F.greatest(F.lit(0.5), F.least(F.lit(2.0), F.lit(1.0) / (atr_pct / (median + 1e-10))))
+    return F.greatest(F.lit(0.5), F.least(F.lit(2.0), F.coalesce(div(F.lit(1.0), atr_pct / (median + 1e-10)), F.lit(2.0))))
 
 
 def trade_equity(trades: DataFrame, growth: str, key, capital: float, order: str = "entry_rn") -> DataFrame:
@@ -312,7 +312,7 @@ def hysteresis(df: DataFrame, stop: float = 0.05, target: float = 0.10, leave: f
     df = df.withColumn("_all", F.transform("_next", outcome))
     df = df.withColumn("_x", F.filter("_all", lambda x: x["reason"].isNotNull())).where(F.size("_x") > 0)
     first = F.element_at("_x", 1)
-    return df.select("symbol", "ts", first["reason"].alias("reason"), first["k"].alias("bars_held"), (first["price"] / c("close") - 1).alias("gross_ret"))
+    return df.select("symbol", "ts", first["reason"].alias("reason"), first["k"].alias("bars_held"), (div(first["price"], "close") - 1).alias("gross_ret"))
 
 
 def with_partial(df: DataFrame, share: float = 0.5) -> DataFrame:
@@ -327,7 +327,7 @@ def with_partial(df: DataFrame, share: float = 0.5) -> DataFrame:
     df = resolve_exits(df.withColumn("exit_mode", F.lit("breakeven")))
     # the bar that ends the trade is tested before the partial exit
     taken = (c("_at") > 0) & (c("_at") < c("bars_held"))
-    part = s * (level - entry) / entry
+    part = div(s * (level - entry), entry)
     return df.withColumns({
         "partial_taken": flag(taken), "total_ret": F.when(taken, share * part + (1 - share) * c("gross_ret")).otherwise(c("gross_ret")),
     }).drop("_at")

@@ -29,7 +29,7 @@ def labeled_dataset(spark, folder):
     bars = B.stored_bars(spark, folder)
     df = X.chunked(bars, before=24, after=4)
     df = df.withColumns({"ma_20": full_(F.avg, "close", 20, X.W), "vol": full_(F.stddev_samp, "close", 24, X.W),
-                         "fwd_ret": F.ln(F.lead("close", 4).over(X.W()) / F.col("close"))})
+                         "fwd_ret": F.ln(F.try_divide(F.lead("close", 4).over(X.W()), F.col("close")))})
     df = X.clean(df).where("fwd_ret is not null").dropna(subset=["ma_20", "vol"])
     return report(df.withColumn("label", (F.col("fwd_ret") > 0).cast("int")), "symbol", "ts", "label", "close", "ma_20", "vol")
 
@@ -98,7 +98,7 @@ def move_targets(spark, folder):
     out=cols("out_", keys="regime", ts="", ints="n", nums="up_share")))
 def regime_target(spark, folder):
     df = X.chunked(B.stored_bars(spark, folder), before=24, after=4)
-    df = df.withColumns({"up4": F.lead("close", 4).over(X.W()) > F.col("close"), "m": F.col("close") / F.lag("close", 24).over(X.W()) - 1})
+    df = df.withColumns({"up4": F.lead("close", 4).over(X.W()) > F.col("close"), "m": F.try_divide(F.col("close"), F.lag("close", 24).over(X.W())) - 1})
     df = X.clean(df).where("up4 is not null and m is not null")
     return report(df.groupBy(F.when(F.col("m") > 0, "up").otherwise("down").alias("regime")).agg(
         F.count(F.lit(1)).alias("n"), F.avg(F.col("up4").cast("int")).alias("up_share")))

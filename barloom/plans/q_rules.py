@@ -156,9 +156,9 @@ def buy_hold(spark, folder):
     from barloom.operators.chunks import DAILY, prefix, with_time_chunk
     daily = B.stored_daily(spark, folder)
     first = daily.groupBy("symbol").agg(F.min_by("close", "ts").alias("_first"))
-    df = with_time_chunk(daily.join(first, "symbol").withColumn("growth", c("close") / c("_first")), DAILY)
-    df = prefix(df, {"peak": ("max", "growth")}).withColumn("dd", c("growth") / c("peak") - 1)
+    df = with_time_chunk(daily.join(first, "symbol").withColumn("growth", F.try_divide("close", "_first")), DAILY)
+    df = prefix(df, {"peak": ("max", "growth")}).withColumn("dd", F.try_divide("growth", "peak") - 1)
     out = df.groupBy("symbol").agg(
         F.ln(F.max_by("growth", "ts")).alias("log_growth"), (F.date_diff(F.max("ts"), F.min("ts")) / 365.25).alias("_y"),
         F.min("dd").alias("max_dd"), F.count(F.lit(1)).alias("n"))
-    return report(out.withColumn("cagr_log", c("log_growth") / c("_y")), "symbol", "n", "log_growth", "cagr_log", "max_dd")
+    return report(out.withColumn("cagr_log", F.try_divide("log_growth", "_y")), "symbol", "n", "log_growth", "cagr_log", "max_dd")

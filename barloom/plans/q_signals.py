@@ -56,7 +56,7 @@ def momentum_filter(spark, folder):
 def uncertainty_filter(spark, folder):
     df = chunked(B.stored_bars(spark, folder), before=25)
     df = clean(df.withColumns({"pred": div("close", lag_("close", 12, X.W)) - 1, "sd": full_(F.stddev_samp, "close", 24, X.W)})).where("sd > 0")
-    up, down = G.uncertainty_filter(c("pred"), 2 * F.ln(c("sd") / c("close")))
+    up, down = G.uncertainty_filter(c("pred"), 2 * F.ln(div("sd", "close")))
     return report(df.select("symbol", "ts", up.alias("lg"), down.alias("sh")))
 
 
@@ -134,7 +134,7 @@ def live_signal(spark, folder):
         "symbol", "ts", F.when(c("side") == 1, "BUY").when(c("side") == -1, "SELL").otherwise("HOLD").alias("action"),
         F.when(c("side") == 0, "none").when(strong, "high").otherwise("medium").alias("confidence"),
         level(-1.5).alias("stop_loss"), level(3.0).alias("take_profit"), level(-0.75).alias("trail"),
-        F.when(c("side") != 0, 250 / (1.5 * c("atr_14"))).alias("size")))
+        F.when(c("side") != 0, F.try_divide(F.lit(250.0), 1.5 * c("atr_14"))).alias("size")))
 
 
 @query("risk_levels", sql("bars", *score_steps(), ("a_", "SELECT *, atr_pct / 100 AS ash, CASE WHEN long_prob > 0.6 THEN 'bull' WHEN long_prob < 0.4 THEN 'bear' ELSE 'sideways' END AS regime, coalesce(long_prob >= 0.5, false) AS lg FROM s2 WHERE atr IS NOT NULL"),
@@ -206,7 +206,7 @@ def label_outcomes(spark, folder):
     """Label-driven backtest: every sixth hour is entered, the label decides the result."""
     from barloom.operators.labels import triple_barrier
     df = triple_barrier(B.stored_bars(spark, folder)).where("tb_label is not null and hour(ts) % 6 = 0")
-    move = F.when(c("tb_label") == 1, 2 * c("atr_14") / c("close")).when(c("tb_label") == -1, -c("atr_14") / c("close")).otherwise(0.0)
+    move = F.when(c("tb_label") == 1, 2 * div("atr_14", "close")).when(c("tb_label") == -1, -div("atr_14", "close")).otherwise(0.0)
     df = df.withColumns({"ret": move - 0.0006, "outcome": F.when(c("tb_label") == 1, "TP").when(c("tb_label") == -1, "SL").otherwise("TIMEOUT")})
     return report(df.groupBy("symbol", "outcome").agg(F.count(F.lit(1)).alias("n"), F.avg("ret").alias("avg_ret"), F.sum("ret").alias("total_ret")))
 
@@ -219,7 +219,7 @@ def mark_to_market(spark, folder):
     still = exits_df(bars, 0.2, (2.0, 1.0, 12, "fixed", 1.0)).where("bars_held is null")
     last = bars.groupBy("symbol").agg(F.max_by("close", "ts").alias("last_price"))
     return report(still.join(last, "symbol").groupBy("symbol").agg(
-        F.count(F.lit(1)).alias("n_open"), F.sum(c("side") * (c("last_price") - c("entry_price")) / c("entry_price")).alias("unrealized")))
+        F.count(F.lit(1)).alias("n_open"), F.sum(div(c("side") * (c("last_price") - c("entry_price")), "entry_price")).alias("unrealized")))
 
 
 @query("random_baseline")
@@ -318,7 +318,7 @@ def funding_features(spark, folder):
 def null_policy(spark, folder):
     from barloom.functions.rolling import finite
     from barloom.operators.chunks import with_time_chunk
-    raw = B.stored_bars(spark, folder).withColumn("x", finite(F.when(c("volume") == 0, F.lit(float("inf"))).otherwise(c("close") / F.when(c("volume") != 0, c("volume")))))
+    raw = B.stored_bars(spark, folder).withColumn("x", finite(F.when(c("volume") == 0, F.lit(float("inf"))).otherwise(div("close", "volume"))))
     return report(prefix(with_time_chunk(raw), {"filled": ("last", "x")}).select("symbol", "ts", F.coalesce("filled", F.lit(0.0)).alias("filled")))
 
 

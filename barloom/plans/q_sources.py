@@ -165,7 +165,7 @@ def join_then_fill(spark, folder):
 def column_concat(spark, folder):
     from barloom.operators.features import W
     bars = B.stored_bars(spark, folder)
-    label = clean(chunked(bars, after=4).withColumn("fwd", F.lead("close", 4).over(W()) / F.col("close") - 1)).select("symbol", "ts", "fwd")
+    label = clean(chunked(bars, after=4).withColumn("fwd", F.try_divide(F.lead("close", 4).over(W()), F.col("close")) - 1)).select("symbol", "ts", "fwd")
     return report(bars.join(label, ["symbol", "ts"]), "symbol", "ts", "close", "fwd")
 
 
@@ -205,7 +205,7 @@ def forward_bars(spark, folder):
     from barloom.operators.features import W
     df = chunked(B.stored_bars(spark, folder), after=5).withColumn("_next", F.collect_list("close").over(ahead(W, 5)))
     df = clean(df.where("_own").select("symbol", "ts", "close", F.posexplode("_next").alias("k", "later")))
-    return report(df.select("symbol", "ts", (F.col("k") + 1).alias("k"), (F.col("later") / F.col("close") - 1).alias("ret")))
+    return report(df.select("symbol", "ts", (F.col("k") + 1).alias("k"), (F.try_divide("later", "close") - 1).alias("ret")))
 
 
 @query("intraday_pairs", sql("bars", ("out_", """SELECT symbol, date_trunc('day', ts)::TIMESTAMP AS ts, max(close) FILTER (WHERE hour(ts) = 9) AS entry,
@@ -216,7 +216,7 @@ def intraday_pairs(spark, folder):
     at = lambda h: F.max(F.when(F.hour("ts") == h, F.col("close")))
     pairs = B.stored_bars(spark, folder).where(F.hour("ts").isin(9, 10)).groupBy("symbol", F.date_trunc("day", "ts").alias("day")).agg(
         at(9).alias("entry"), at(10).alias("exit")).where("entry is not null and exit is not null")
-    return report(pairs.select("symbol", F.col("day").alias("ts"), "entry", "exit", (F.col("exit") / F.col("entry") - 1).alias("ret")))
+    return report(pairs.select("symbol", F.col("day").alias("ts"), "entry", "exit", (F.try_divide("exit", "entry") - 1).alias("ret")))
 
 
 @query("regime_levels", sql("daily", ("f", f"SELECT *, close / {lag('close', 20)} - 1 AS m FROM daily"),

@@ -63,7 +63,7 @@ def stream_sessions(spark, folder):
 @query("stream_static_join", sql("bars", CLOSED, ("t_", "SELECT symbol, quantile_cont(abs((close - open) / open), 0.9) AS threshold FROM bars GROUP BY 1"),
     ("out_", "SELECT cb.symbol, cb.ts, (close - open) / open AS move, (abs((close - open) / open) > threshold)::INT AS alert FROM cb JOIN t_ USING (symbol)"), out=cols("out_", ints="alert", nums="move")))
 def stream_static_join(spark, folder):
-    moves = B.stored_bars(spark, folder).select("symbol", F.abs((c("close") - c("open")) / c("open")).alias("m"))
+    moves = B.stored_bars(spark, folder).select("symbol", F.abs(F.try_divide(c("close") - c("open"), c("open"))).alias("m"))
     limits = cut_lineage(quantiles(moves, "m", {"threshold": 0.9}, ["symbol"]))
     stream = J.table_stream(spark, bar_table(spark, folder), BAR_SCHEMA)
     path = J.run_to_table(J.with_thresholds(stream, limits), "alerts")
@@ -117,6 +117,6 @@ def stream_daily_guard(spark, folder):
 @query("stream_regimes")
 def stream_regimes(spark, folder):
     bars = J.table_stream(spark, bar_table(spark, folder), BAR_SCHEMA)
-    move = (c("close") - c("open")) / c("open")
+    move = F.try_divide(c("close") - c("open"), c("open"))
     rows = bars.withColumn("regime", F.when(move > 0.3, "bull").when(move < -0.3, "bear").otherwise("sideways"))
     return report(spark.read.parquet(J.run_to_table(J.steady_regimes(rows), "regimes")), "symbol", "ts", "regime", "steady_regime")

@@ -36,7 +36,7 @@ R1 = ("r1", alias({"ret": f"close / {lag('close')} - 1"}))
 
 def hourly(spark, folder):
     bars = B.stored_bars(spark, folder)
-    return cut_lineage(clean(chunked(bars, before=1).withColumn("ret", F.col("close") / F.lag("close").over(X.W()) - 1)))
+    return cut_lineage(clean(chunked(bars, before=1).withColumn("ret", F.try_divide("close", F.lag("close").over(X.W())) - 1)))
 
 
 @query("hour_effect", sql("bars", R1, ("h", "SELECT *, hour(ts - INTERVAL 5 HOURS) AS eastern_hour FROM r1"), stats_sql("h", "eastern_hour"),
@@ -51,7 +51,7 @@ D1 = ("d1", f"SELECT *, close / {lag('close')} - 1 AS ret FROM daily")
 
 def days(spark, folder):
     daily = B.stored_daily(spark, folder)
-    return cut_lineage(clean(chunked(daily, before=1, span=DAILY).withColumn("ret", F.col("close") / F.lag("close").over(X.W()) - 1)))
+    return cut_lineage(clean(chunked(daily, before=1, span=DAILY).withColumn("ret", F.try_divide("close", F.lag("close").over(X.W())) - 1)))
 
 
 @query("weekday_effect", sql("daily", D1, ("h", "SELECT *, isodow(ts) - 1 AS dow FROM d1"), stats_sql("h", "symbol, dow"),
@@ -91,7 +91,7 @@ def premarket_momentum(spark, folder):
     h = F.hour("ts")
     day = B.bars_1h(spark, folder).where(h.isin(4, 8, 12)).groupBy("symbol", F.date_trunc("day", "ts").alias("day")).agg(
         F.max(F.when(h == 4, c("open"))).alias("a"), F.max(F.when(h == 8, c("close"))).alias("b"), F.max(F.when(h == 12, c("close"))).alias("x"))
-    df = day.dropna(subset=["a", "b", "x"]).select(F.when(c("b") > c("a"), "up").otherwise("down").alias("direction"), (c("x") / c("b") - 1).alias("ret"))
+    df = day.dropna(subset=["a", "b", "x"]).select(F.when(c("b") > c("a"), "up").otherwise("down").alias("direction"), (F.try_divide("x", "b") - 1).alias("ret"))
     return stats_report(cut_lineage(df), "direction")
 
 
@@ -175,7 +175,7 @@ def volume_spike_study(spark, folder):
 def volume_events(spark, folder):
     from barloom.functions.rolling import div, full as full_
     df = chunked(B.stored_bars(spark, folder), before=20, after=4)
-    df = clean(df.withColumns({"vr": div("volume", full_(F.avg, "volume", 20, X.W)), "fwd": F.lead("close", 4).over(X.W()) / c("close") - 1}))
+    df = clean(df.withColumns({"vr": div("volume", full_(F.avg, "volume", 20, X.W)), "fwd": F.try_divide(F.lead("close", 4).over(X.W()), c("close")) - 1}))
     return A.welch(df.withColumn("event", F.coalesce(c("vr") > 1.5, F.lit(False))), "fwd", "event", ["symbol"])
 
 
@@ -319,7 +319,7 @@ REG = [("g0", f"SELECT *, close / {lag('close', 20)} - 1 AS m, close / {lag('clo
 def regimes(spark, folder):
     df = E.daily_frame(B.stored_daily(spark, folder))
     df = chunked(cut_lineage(df), before=1, after=1, span=DAILY)
-    return cut_lineage(clean(df.withColumns({"ret": c("close") / F.lag("close").over(X.W()) - 1, "nxt": F.lead("regime").over(X.W())})))
+    return cut_lineage(clean(df.withColumns({"ret": F.try_divide("close", F.lag("close").over(X.W())) - 1, "nxt": F.lead("regime").over(X.W())})))
 
 
 @query("regime_transition", sql("daily", *REG, ("t", "SELECT regime, nxt, count(*) AS n FROM g2 WHERE nxt IS NOT NULL GROUP BY 1, 2"),

@@ -25,7 +25,8 @@ def test_late_tick_is_dropped_and_bars_close_once(spark):
     stream = landed(spark, "late", [
         [tick("a", "2024-01-01 00:10", 1, 5.0), tick("a", "2024-01-01 00:50", 2, 7.0)],
         [tick("a", "2024-01-01 03:00", 3, 9.0)],
-        [tick("a", "2024-01-01 00:20", 4, 99.0), tick("a", "2024-01-01 06:00", 5, 1.0)],
+        [tick("a", "2024-01-01 06:00", 5, 1.0)],
+        [tick("a", "2024-01-01 00:20", 4, 99.0)],
     ])
     rows = spark.read.parquet(J.run_to_table(J.closed_bars(stream), "t")).orderBy("ts").collect()
     assert [(r["ts"].hour, r["high"]) for r in rows] == [(0, 7.0), (3, 9.0)]
