@@ -68,13 +68,13 @@ def daily_features(daily: DataFrame, vix: DataFrame, zero_policy: str = "up") ->
         "gap": (div("open", "prev_close") - 1) * 100, "day_ret": (div("close", "open") - 1) * 100,
         "sma_distance": (div("prev_close", lag("sma200", 1, W)) - 1) * 100,
     })
-    df = clean(df)
+    df = cut_lineage(clean(df))
     month = Window.partitionBy("symbol", F.date_trunc("month", "ts"))
     df = df.withColumns({
         "trading_day": F.row_number().over(month.orderBy("ts")),
         "trading_days_left": F.row_number().over(month.orderBy(F.desc("ts"))) - 1,
     })
-    return previous_week(df)
+    return previous_week(cut_lineage(df))
 
 
 def gap_study(daily: DataFrame, thresholds=(0.1, 0.25, 0.5, 1.0, 1.5, 2.0)) -> DataFrame:

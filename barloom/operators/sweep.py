@@ -100,12 +100,12 @@ def sweep_trades(bars: DataFrame, grid: Grid, span: Span = HOURLY) -> DataFrame:
     hold = max(grid.holds)
     frame = cut_lineage(scored_frame(bars, hold, span))
     slim = frame.select("symbol", "long_prob", "short_prob", "atr_pct")
-    entries = cut_lineage(entry_signals(frame, score_thresholds(slim, grid.percentiles), grid))
+    entries = cut_lineage(entry_signals(frame.drop("_future"), score_thresholds(slim, grid.percentiles), grid))
 
     exit_rows = [(tp, sl, m, t, h, f, fee, slip)
                  for tp, sl in grid.barriers for m, t in grid.exits for h in grid.holds for f, fee, slip in grid.fees]
-    candidates = entries.groupBy("symbol", "entry_rn", "side").agg(
-        *[F.first(x).alias(x) for x in ("ts", "close", "atr_14", "atr_pct", "_future")])
+    candidates = entries.select("symbol", "entry_rn", "side").distinct().join(
+        frame.select("symbol", "entry_rn", "ts", "close", "atr_14", "atr_pct", "_future"), ["symbol", "entry_rn"])
     candidates = candidates.withColumn("_x", _axis(
         exit_rows, ["tp_mult", "sl_mult", "exit_mode", "trail_mult", "hold", "fee_tier", "fee", "slip"])).select("*", "_x.*").drop("_x")
     candidates = candidates.withColumns({

@@ -58,9 +58,9 @@ def source_union(spark, folder):
     out=cols("out_", ints="first_ord last_ord", nums="first_price last_price")))
 def duplicate_drop(spark, folder):
     ticks = B.ticks(spark, folder).withColumn("ts", F.date_trunc("minute", "ts")).select("symbol", "ts", "ord", "price")
-    first = A.pick(ticks, ["symbol", "ts"], "ord", newest=False).toDF("symbol", "ts", "first_ord", "first_price")
-    last = A.pick(ticks, ["symbol", "ts"], "ord", newest=True).toDF("symbol", "ts", "last_ord", "last_price")
-    return report(first.join(last, ["symbol", "ts"]))
+    row = F.struct("ord", "price")
+    both = ticks.groupBy("symbol", "ts").agg(F.min_by(row, "ord").alias("first"), F.max_by(row, "ord").alias("last"))
+    return report(both.select("symbol", "ts", *[F.col(f"{k}.{x}").alias(f"{k}_{x}") for k in ("first", "last") for x in ("ord", "price")]))
 
 
 @query("last_n_bars", sql("bars", ("out_", """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS p FROM bars) WHERE p <= 100"""),
@@ -135,10 +135,10 @@ def asof_funding(spark, folder):
 
 def bars_with_funding(spark, folder):
     """Hourly bars with the as-of funding rate and open interest."""
-    ticks = cut_lineage(B.hourly_counts(spark, folder))
-    interest = A.prefix(A.with_time_chunk(ticks), {"open_interest": ("sum", "n_ticks")}).select("symbol", "ts", F.col("open_interest").cast("bigint").alias("open_interest"))
-    sparse = B.funding(spark, folder).unionByName(interest, allowMissingColumns=True)
-    return cut_lineage(A.asof(B.stored_bars(spark, folder), cut_lineage(sparse), ["funding_rate", "open_interest"]))
+    hourly = cut_lineage(B.hourly(spark, folder))
+    interest = A.prefix(A.with_time_chunk(hourly), {"open_interest": ("sum", "n_ticks")}).select("symbol", "ts", "open_interest")
+    sparse = cut_lineage(B.funding_from(hourly).unionByName(interest, allowMissingColumns=True))
+    return cut_lineage(A.asof(hourly.drop("n_ticks"), sparse, ["funding_rate", "open_interest"]))
 
 
 @query("reindex_ffill", sql("bars", ("g", """SELECT s.symbol, h.ts FROM (SELECT symbol, min(ts) AS a, max(ts) AS b FROM bars GROUP BY 1) s,

@@ -14,7 +14,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def ohlcv(ticks: DataFrame, keys: list, order: str = "ord") -> DataFrame:
+def ohlcv(ticks: DataFrame, keys: list, order: str = "ord", counted: bool = False) -> DataFrame:
     """Open, high, low, close and volume per key; partial aggregates combine before the shuffle."""
     position = F.col(order)
     return ticks.groupBy(*keys).agg(
@@ -23,6 +23,7 @@ def ohlcv(ticks: DataFrame, keys: list, order: str = "ord") -> DataFrame:
         F.min("price").alias("low"),
         F.max_by("price", position).alias("close"),
         F.sum("qty").alias("volume"),
+        *([F.count(F.lit(1)).alias("n_ticks")] if counted else []),
     )
 
 
@@ -43,10 +44,13 @@ def resample(source: DataFrame, width: str) -> DataFrame:
     return ohlcv(stamped, ["symbol", F.col("_bar").alias("ts")])
 
 
+def hourly(spark: SparkSession, folder: str) -> DataFrame:
+    """Hourly bars with the tick count: everything hourly derives from this one scan of the ticks."""
+    return ohlcv(ticks(spark, folder).withColumn("ts", F.date_trunc("hour", "ts")), ["symbol", "ts"], counted=True)
+
+
 def bars_1h(spark: SparkSession, folder: str) -> DataFrame:
-    return ohlcv(
-        ticks(spark, folder).withColumn("ts", F.date_trunc("hour", "ts")), ["symbol", "ts"]
-    )
+    return hourly(spark, folder).drop("n_ticks")
 
 
 def stored_bars(spark: SparkSession, folder: str) -> DataFrame:
@@ -113,12 +117,11 @@ def _next_symbol(source: DataFrame) -> DataFrame:
     )
 
 
-def funding(spark: SparkSession, folder: str) -> DataFrame:
-    """Sparse 8-hour series: last value of the next symbol, stamped at the block end."""
-    source = ticks(spark, folder)
+def funding_from(hourly: DataFrame) -> DataFrame:
+    """Sparse 8-hour series: last value of the next symbol in each block, stamped at the block end."""
     block = F.floor(seconds() / F.lit(8 * 3600)).cast("bigint")
-    per_block = source.groupBy("symbol", block.alias("block")).agg(F.max_by("price", "ord").alias("price"))
-    pairs = _next_symbol(source).select(F.col("symbol").alias("taker"), F.col("donor").alias("symbol"))
+    per_block = hourly.groupBy("symbol", block.alias("block")).agg(F.max_by("close", "ts").alias("price"))
+    pairs = _next_symbol(hourly).select(F.col("symbol").alias("taker"), F.col("donor").alias("symbol"))
     return per_block.join(pairs, "symbol").select(
         F.col("taker").alias("symbol"),
         F.timestamp_seconds((F.col("block") + 1) * 8 * 3600).alias("ts"),
@@ -126,7 +129,5 @@ def funding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def hourly_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return ticks(spark, folder).groupBy("symbol", F.date_trunc("hour", "ts").alias("ts")).agg(
-        F.count(F.lit(1)).cast("double").alias("n_ticks")
-    )
+def funding(spark: SparkSession, folder: str) -> DataFrame:
+    return funding_from(stored_bars(spark, folder))
