@@ -31,7 +31,7 @@ def streaks(daily: DataFrame, zero_policy: str = "reset") -> DataFrame:
     sign = F.signum("ret") if zero_policy == "reset" else F.when(c("ret") >= 0, 1.0).otherwise(F.when(c("ret").isNotNull(), -1.0))
     df = df.withColumn("_s", F.coalesce(sign, F.lit(0.0)))
     df = owned(df.withColumn("_turn", F.coalesce(c("_s") != lag("_s", 1, W), F.lit(True))))
-    df = prefix(df, {"_sum": ("sum", F.coalesce(c("ret"), F.lit(0.0)))})
+    df = cut_lineage(prefix(df, {"_sum": ("sum", F.coalesce(c("ret"), F.lit(0.0)))}))
     start = F.struct(c("_rn").alias("rn"), (c("_sum") - F.coalesce(c("ret"), F.lit(0.0))).alias("base"))
     df = prefix(df, {"_start": ("last", F.when(c("_turn"), start))})
     length = c("_rn") - c("_start.rn") + 1
