@@ -126,18 +126,22 @@ def wilder_atr_adx(bars: DataFrame, n: int = 14, span: Span = HOURLY) -> DataFra
 STATE = ["st_up", "st_level", "st_ep", "st_af", "st_ph", "st_pl"]
 
 
+UNDECIDED = 2.0
+
+
 def _sar_rows(high, low, state, step: float, top: float):
     """Sequential kernel over one chunk; ``state`` None starts the series."""
     out = []
     for h, l in zip(high, low):  # noqa: E741
         if state is None:
-            state = (1.0, l, h, step, h, l)
+            state = (UNDECIDED, l, h, step, h, l)
             out.append(None)
             continue
         up, sar, ep, af, ph, pl = state
-        if len(out) == 1 and out[0] is None and ph == ep and sar == pl:
-            up = 1.0 if (h - ph) >= (pl - l) else 0.0
+        if up == UNDECIDED:  # second bar of the series: falling only when the downward move is the larger one
+            up = 0.0 if pl - l > 0 and h - ph < pl - l else 1.0
             sar, ep = (pl, h) if up else (ph, l)
+            ph, pl = h, l
         if up:
             if l <= sar:
                 up, shown = 0.0, max(ep, ph, h)

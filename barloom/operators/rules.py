@@ -125,7 +125,7 @@ DAILY_RULES = [
     ("N15b", MR, "open", stop_target_day("(open * 0.99)", "(open * 1.02)"), 1, "5"),
     ("N16", f"{CONVICTION} >= 2", "open", "close", 1, STACKED),
 ]
-# needs a 3-month index column ``term`` = (vix3m - vix) / vix
+# need ``term``, yesterday's slope from the index to its 3-month level
 TERM_RULES = [
     ("E11a", "st <= -3 AND term > 0", "open", "close", 1, "5"),
     ("E11b", f"{MW} AND term > 0", "open", "close", 1, "5"),
@@ -137,7 +137,7 @@ def rule_frame(features: DataFrame, train_months: int = 48) -> DataFrame:
     from barloom.operators.splits import calendar_split
     df = calendar_split(features, train_months)
     prev_mr = flag((c("lag_streak") <= -3) & (c("lag_vix") < 25))
-    term = F.lit(None).cast("double") if "vix3m" not in df.columns else div(c("vix3m") - c("vix"), "vix")
+    term = c("term_prev") if "term_prev" in df.columns else F.lit(None).cast("double")
     return df.select(
         "symbol", "ts", "split", "open", "high", "low", "close", "gap", "dow", "month", "dom",
         c("prev_streak").alias("st"), F.abs("prev_drop").alias("drop_"), c("prev_vix").alias("vx"), c("prev_vix_change").alias("vchg"),

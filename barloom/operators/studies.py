@@ -47,7 +47,8 @@ def daily_features(daily: DataFrame, vix: DataFrame, zero_policy: str = "up") ->
     Yesterday's streak, gap, volatility index level and change, averages, RSI, ATR, next days' prices,
     trading-day calendar and last week's return.
     """
-    base = cut_lineage(asof(streaks(daily, zero_policy).drop("_chunk", "_rn"), vix, ["vix"], key=(), span=DAILY))
+    values = [x for x in ("vix", "term_prev") if x in vix.columns]
+    base = cut_lineage(asof(streaks(daily, zero_policy).drop("_chunk", "_rn"), vix, values, key=(), span=DAILY))
     df = chunked(base, before=205, after=5, span=DAILY)
     df = X.rsi(X.atr(df))
     nexts = {f"{x}_{k}": lead(x, k, W) for x, ks in (("close", (1, 2, 3, 4, 5)), ("open", (1,)), ("ts", (1, 2, 3))) for k in ks}

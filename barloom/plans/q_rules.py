@@ -19,7 +19,9 @@ FRAME = [
     ("k2", f"SELECT *, CASE WHEN s IS DISTINCT FROM {lag('s')} THEN 1 ELSE 0 END AS turn FROM k1"),
     ("k3", f"SELECT *, sum(turn) OVER ({P}) AS run FROM k2"),
     ("k4", "SELECT *, CASE WHEN s = 0 THEN 0 ELSE s * row_number() OVER (PARTITION BY symbol, run ORDER BY ts) END AS streak, CASE WHEN s = 0 THEN 0 ELSE sum(coalesce(ret, 0)) OVER (PARTITION BY symbol, run ORDER BY ts) * 100 END AS move FROM k3"),
-    ("k5", "SELECT k4.*, v.vix FROM k4 ASOF LEFT JOIN vix v ON k4.ts >= v.ts"),
+    ("v1", "SELECT *, CASE WHEN count(vix) OVER w = 60 THEN avg(vix) OVER w END AS m60 FROM vix WINDOW w AS (ORDER BY ts ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)"),
+    ("vt", "SELECT *, lag((m60 - vix) / vix) OVER (ORDER BY ts) AS term_prev FROM v1"),
+    ("k5", "SELECT k4.*, v.vix, v.term_prev FROM k4 ASOF LEFT JOIN vt v ON k4.ts >= v.ts"),
     ("x1", alias({"d": f"close - {lag('close')}", "tr": TR}, "k5")),
     ("x2", alias({"gain": "CASE WHEN d > 0 THEN d WHEN d IS NOT NULL THEN 0 END", "loss": "CASE WHEN d < 0 THEN -d WHEN d IS NOT NULL THEN 0 END", "atr_14": full("avg", "tr", 14)}, "x1")),
     ("x3", alias({"ag": full("avg", "gain", 14), "al": full("avg", "loss", 14),
@@ -28,7 +30,7 @@ FRAME = [
                   "arank": "CASE WHEN len(al100) = 100 THEN (len(list_filter(al100, lambda v: v < atr_14)) + (len(list_filter(al100, lambda v: v = atr_14)) + 1) / 2.0) / 100 END",
                   "wk": "date_trunc('week', ts)::TIMESTAMP"}, "x3")),
     ("wr", "SELECT symbol, wk, arg_max(close, ts) / arg_min(open, ts) - 1 AS wret FROM x4 GROUP BY 1, 2"),
-    ("x5", f"""SELECT symbol, ts, open, high, low, close, wk, CASE WHEN ts < min(ts) OVER (PARTITION BY symbol) + INTERVAL 48 MONTHS THEN 'train' ELSE 'test' END AS split,
+    ("x5", f"""SELECT symbol, ts, open, high, low, close, wk, term_prev AS term, CASE WHEN ts < min(ts) OVER (PARTITION BY symbol) + INTERVAL 48 MONTHS THEN 'train' ELSE 'test' END AS split,
   (open / {lag('close')} - 1) * 100 AS gap, isodow(ts) - 1 AS dow, month(ts) AS month, day(ts) AS dom, coalesce({lag('streak')}, 0) AS st, abs(coalesce({lag('move')}, 0)) AS drop_,
   {lag('vix')} AS vx, {lag('vix')} - {lag('vix', 2)} AS vchg, row_number() OVER (PARTITION BY symbol, date_trunc('month', ts) ORDER BY ts) AS td,
   row_number() OVER (PARTITION BY symbol, date_trunc('month', ts) ORDER BY ts DESC) - 1 AS tdl, {lag('rsi_14')} AS rsi, {lag('s50')} AS sma50, {lag('s200')} AS sma200,
@@ -55,7 +57,7 @@ EQ = [("eq", "SELECT *, 25000 * product(1 + size / 100 * pnl_pct / 100) OVER (PA
 
 def frame(spark, folder):
     daily = B.stored_daily(spark, folder)
-    vix = cut_lineage(B.volatility_index(spark, folder))
+    vix = cut_lineage(B.index_with_term(spark, folder))
     return cut_lineage(R.rule_frame(cut_lineage(E.daily_features(daily, vix))))
 
 
@@ -75,6 +77,11 @@ def daily_rule_stats(spark, folder):
     return report(df, "symbol", "rule", "n_trades", "win_rate", "avg_pnl:5", "profit_factor", "log_dd", "log_final:5", "t_stat")
 
 
+@query("term_rule_trades", sql("daily vix", *FRAME, *trades_sql(rules=R.TERM_RULES), out=cols("tr_", keys="symbol rule", ints="leg side", nums="entry_price:8 exit_price:8 size pnl_pct:5")))
+def term_rule_trades(spark, folder):
+    return report(R.rule_trades(frame(spark, folder), R.TERM_RULES), "symbol", "rule", "ts", "leg", "side", "entry_price:8", "exit_price:8", "size", "pnl_pct:5")
+
+
 @query("viable_rules", sql("daily vix", *FRAME, *trades_sql(), *EQ, ("good", "SELECT * FROM st_ WHERE profit_factor > 1 AND avg_pnl > 0 AND abs(t_stat) > 1.65 AND n_trades > 20"),
     ("out_", "SELECT symbol, rule, n_trades, profit_factor, 0 AS fallback FROM good UNION ALL SELECT symbol, rule, n_trades, profit_factor, 1 FROM st_ WHERE n_trades > 20 AND NOT EXISTS (SELECT 1 FROM good)"),
     out=cols("out_", keys="symbol rule", ts="", ints="n_trades fallback", nums="profit_factor")))

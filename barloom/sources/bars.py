@@ -107,6 +107,16 @@ def volatility_index(spark: SparkSession, folder: str) -> DataFrame:
     return per_day.select("ts", (10 + 25 * F.col("_level") / top).alias("vix"))
 
 
+def index_with_term(spark: SparkSession, folder: str, days: int = 60) -> DataFrame:
+    """The daily index and yesterday's slope to its own ``days`` mean, a stand-in for a 3-month index."""
+    from barloom.operators.chunks import DAILY, chunked, clean, ordered
+    w = ordered("ts", ())
+    df = chunked(cut_lineage(volatility_index(spark, folder)), before=days + 1, span=DAILY, key=())
+    mean = F.when(F.count("vix").over(w.rowsBetween(-(days - 1), 0)) == days, F.avg("vix").over(w.rowsBetween(-(days - 1), 0)))
+    df = df.withColumn("_term", F.try_divide(mean - F.col("vix"), F.col("vix")))
+    return clean(df.withColumn("term_prev", F.lag("_term").over(w)))
+
+
 def _next_symbol(source: DataFrame) -> DataFrame:
     """Alphabetical successor of every symbol, wrapping round."""
     names = source.select("symbol").distinct()
