@@ -116,7 +116,7 @@ def serve_features(bars: DataFrame, pack, name: str = "features", bar_seconds: i
         edge = batch.agg(F.min("ts")).first()[0]
         if edge is None:
             return
-        stored = spark.read.schema(schema).parquet(f"{base}/bars/batch=*")
+        stored = spark.read.parquet(f"{base}/bars").select(*schema.names)
         since = F.lit(edge) - F.make_dt_interval(secs=F.lit(reach * bar_seconds * idle))
         fresh = spark.read.schema(schema).parquet(f"{base}/bars/batch={number}").select("symbol", "ts")
         recent = stored.where(F.col("ts") >= since)
