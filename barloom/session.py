@@ -34,13 +34,16 @@ def ensure_utc(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see; a temporary one only where the cluster names none."""
-    named = spark.conf.get(CHECKPOINT_CONF, None)
+    """The folder that all executors see, named by ``spark.checkpoint.dir``.
+
+    Where it is unset, a local session (one machine) gets a folder of its own; a cluster is refused, as each executor
+    would write to its own disk.
+    """
+    named = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError(f"set {CHECKPOINT_CONF} to a folder that the driver and all executors share")
     folder = tempfile.mkdtemp(prefix="barloom-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
