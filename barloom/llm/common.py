@@ -47,6 +47,11 @@ def shingle_hashes(of: DataFrame, words_column: str, size: int, to: str) -> Data
     return of.drop("_h1", "_h2", "_h4")
 
 
+def settled(of: DataFrame) -> DataFrame:
+    """The same rows, computed here: filters above are not pushed into (and expanded with) the expressions below."""
+    return of.select(F.inline_outer(F.array(F.struct(*of.columns))))
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut so that a slice holds about ``most`` bytes of a text column (one row at least)."""
     import pyarrow.compute as pc

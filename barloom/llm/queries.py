@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import frames, packing, ring
+from . import frames, leaks, lines, packing, ring, secrets
+from . import sql
 from .common import table
 
 QUERIES: dict = {}
@@ -27,11 +28,27 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query("op3_minhash_containment", sql.LEAKS)
+def op3_minhash_containment(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks.find(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @query("op4_ring_shards")
 def op4_ring_shards(spark: SparkSession, folder: str) -> DataFrame:
     return ring.shard(table(spark, folder, "documents"))
 
 
+@query("op5_markov_secrets")
+def op5_markov_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return secrets.digest(secrets.scan(docs, secrets.train(docs, table(spark, folder, "labels"))))
+
+
+@query("op7_line_rules", sql.LINES)
+def op7_line_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return lines.rate(table(spark, folder, "documents")).drop("row", "clean_text")
+
+
 @query("op9_best_fit_packing")
 def op9_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(packing.pieces(table(spark, folder, "documents"), tokenizer("word_bpe_49k.json")))
