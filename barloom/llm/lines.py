@@ -1,7 +1,8 @@
 """Line-first quality rules: failing lines go, then documents that lose too much text go.
 
 A line of a text (split at line feeds) fails if one of these holds; lines without a word never fail:
-  * punctuation: its last word character is no sentence or quotation mark;
+  * punctuation: no sentence mark stands at the end of a word or of a quotation;
+  * repetition: more than half of its words repeat the word before;
   * navigation: three separators or more, and one for every five words or more;
   * symbols: more than three symbols for every ten words;
   * shouting: five words or more, and no lower-case letter although it has letters;
@@ -21,7 +22,7 @@ MIN_WORDS, WINDOW = 20, 8
 #: Percentages: repeated words above which a document fails, words lost above which it goes.
 MAX_REPEATED, MAX_LOST = 30, 50
 SYMBOLS, SEPARATORS = "#*$%&|<>", "|»›·•"
-ENDS = r"[.!?…:;,\"'”’»)\]]$"
+SENTENCE_END = r"[.!?…:;][\"'”’»)\]]*([\x20\x09-\x0D]|$)"
 BOILERPLATE = (r"(?i)\b(all rights reserved|privacy policy|terms of (use|service)|cookies?|javascript|lorem ipsum|click here|"
                r"subscribe|log ?in|sign ?(in|up)|read more|share this|follow us)\b")
 
@@ -33,15 +34,18 @@ def _count(of: str, marks: str):
 
 def _lines():
     """All lines with their number of words and whether they fail."""
-    def judge(line):
-        bare = F.regexp_replace(line, f"{SPACE}$", "")
-        n = F.size(words(line))
+    def judge(x):
+        line, w = x["line"], x["w"]
+        n = F.size(w)
         n_in = lambda marks: F.length(line) - F.length(F.translate(line, marks, ""))
-        bad = (~F.rlike(bare, F.lit(ENDS)) | ((n_in(SEPARATORS) >= 3) & (5 * n_in(SEPARATORS) >= n))
+        again = F.size(F.filter(F.zip_with(w, F.slice(w, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: a == b), lambda same: same))
+        bad = (~F.rlike(line, F.lit(SENTENCE_END)) | (2 * again > n)
+               | ((n_in(SEPARATORS) >= 3) & (5 * n_in(SEPARATORS) >= n))
                | (10 * n_in(SYMBOLS) > 3 * n) | ((n >= 5) & (F.upper(line) == line) & (F.lower(line) != line))
                | ((n <= 20) & F.rlike(line, F.lit(BOILERPLATE))))
         return F.struct(line.alias("line"), n.alias("n"), ((n > 0) & bad).alias("fails"))
-    return F.transform(F.split("_text", "\n"), judge)
+    split = F.transform(F.split("_text", "\n"), lambda line: F.struct(line.alias("line"), words(line).alias("w")))
+    return F.transform(split, judge)
 
 
 def rate(docs: DataFrame) -> DataFrame:

@@ -27,13 +27,13 @@ runs AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS s
          FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM w WHERE len(w) >= 8)),
 twice AS (SELECT doc_id, i FROM runs QUALIFY count(*) OVER (PARTITION BY doc_id, s) > 1),
 repeated AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, range(8) r(k) GROUP BY doc_id),
-l AS (SELECT doc_id, i, ls[i] AS line, len(regexp_extract_all(ls[i], '[^\x20\x09-\x0D]+')) AS n
+l AS (SELECT doc_id, i, ls[i] AS line, regexp_extract_all(ls[i], '[^\x20\x09-\x0D]+') AS w, len(w) AS n
       FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM t))),
-j AS (SELECT doc_id, line, n,
+j AS (SELECT doc_id, line, n, len(list_filter(range(2, n + 1), lambda k: w[k] = w[k - 1])) AS again,
         length(line) - length(translate(line, '|»›·•', '')) AS seps,
         length(line) - length(translate(line, '#*$%&|<>', '')) AS syms FROM l WHERE n > 0),
 f AS (SELECT doc_id, line, n,
-        NOT regexp_matches(regexp_replace(line, '[\x20\x09-\x0D]+$', ''), '[.!?…:;,"''”’»)\]]$')
+        NOT regexp_matches(line, '[.!?…:;]["''”’»)\]]*([\x20\x09-\x0D]|$)') OR 2 * again > n
         OR (seps >= 3 AND 5 * seps >= n) OR 10 * syms > 3 * n
         OR (n >= 5 AND upper(line) = line AND lower(line) <> line)
         OR (n <= 20 AND regexp_matches(line, '(?i)\b(all rights reserved|privacy policy|terms of (use|service)|cookies?|javascript|lorem ipsum|click here|subscribe|log ?in|sign ?(in|up)|read more|share this|follow us)\b')) AS fails
