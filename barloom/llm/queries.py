@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import frames, leaks, lines, packing, ring, secrets
+from . import frames, html, leaks, licenses, lines, packing, ring, secrets
 from . import sql
 from .common import table
 
@@ -28,6 +28,11 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query("op2_text_density")
+def op2_text_density(spark: SparkSession, folder: str) -> DataFrame:
+    return html.extract(table(spark, folder, "pages"))
+
+
 @query("op3_minhash_containment", sql.LEAKS)
 def op3_minhash_containment(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.find(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
@@ -49,6 +54,11 @@ def op7_line_rules(spark: SparkSession, folder: str) -> DataFrame:
     return lines.rate(table(spark, folder, "documents")).drop("row", "clean_text")
 
 
+@query("op8_diagonal_licenses")
+def op8_diagonal_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(table(spark, folder, "documents"))
+
+
 @query("op9_best_fit_packing")
 def op9_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(packing.pieces(table(spark, folder, "documents"), tokenizer("word_bpe_49k.json")))
