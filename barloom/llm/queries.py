@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import frames, html, leaks, licenses, lines, packing, ring, secrets
+from . import forest, frames, html, leaks, licenses, lines, packing, ring, secrets
 from . import sql
 from .common import table
 
@@ -49,6 +49,11 @@ def op5_markov_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.digest(secrets.scan(docs, secrets.train(docs, table(spark, folder, "labels"))))
 
 
+@query("op6_lsh_forest")
+def op6_lsh_forest(spark: SparkSession, folder: str) -> DataFrame:
+    return forest.near_duplicates(table(spark, folder, "documents"))
+
+
 @query("op7_line_rules", sql.LINES)
 def op7_line_rules(spark: SparkSession, folder: str) -> DataFrame:
     return lines.rate(table(spark, folder, "documents")).drop("row", "clean_text")
