@@ -125,7 +125,7 @@ def _candidates(batches):
         """Rows from first to end; those around them are context."""
         keys, rep, size = t
         out = []
-        near = np.zeros(len(rep), np.int64)
+        after, before = np.zeros(len(rep), np.int64), np.zeros(len(rep), np.int64)
         crowd = {d: np.zeros(len(rep), bool) for d in PIVOT_DEPTHS}
         for j in range(1, reach + 1):
             if len(rep) <= j:
@@ -139,8 +139,8 @@ def _candidates(batches):
                 a, b = rep[i], rep[i - j]
                 out.append((np.zeros(len(i), np.int64), np.minimum(a, b), np.maximum(a, b)))
             whole = np.flatnonzero(depth == DEPTH)
-            near[whole + j] += 1
-            near[whole] += 1
+            before[whole + j] += 1
+            after[whole] += 1
             if j == reach:
                 for d in PIVOT_DEPTHS:
                     # the rows from i - reach to i have one prefix: the region is crowded for all of them
@@ -159,7 +159,7 @@ def _candidates(batches):
                     region = _mix(region * np.uint64(0x9E3779B97F4A7C15) + keys[i, c])
                 out.append((np.ones(len(i), np.int64), region.astype(np.int64), rep[i]))
         i = np.flatnonzero(own & crowd[PIVOT_DEPTHS[0]])
-        out.append((np.full(len(i), 2, np.int64), rep[i], near[i]))
+        out.append((np.full(len(i), 2, np.int64), rep[i], np.maximum(before, after)[i]))
         kind, x, y = (np.concatenate(c) for c in zip(*out))
         return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(x), pa.array(y)], names=["kind", "x", "y"])
 
