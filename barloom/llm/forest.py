@@ -28,7 +28,7 @@ from .graph import components
 
 THRESHOLD, WORDS = 75, 5
 TREES, DEPTH, LEAST, NEIGHBOURS = 16, 6, 2, 4
-PIVOT_DEPTHS = (2, 4, 6)
+PIVOT_DEPTHS, PIVOTS = (2, 4, 6), 8
 SKETCH, SKETCH_LEAST = 192, 0.60
 #: Best candidates of a node that are confirmed first.
 FIRST = 2
@@ -237,8 +237,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     found = cut_lineage(orders.mapInArrow(_candidates, "kind long, x long, y long"))
     weights = found.where("kind = 2").groupBy(F.col("x").alias("rep")).agg(F.sum("y").alias("weight"))
     members = found.where("kind = 1").select(F.col("x").alias("region"), F.col("y").alias("rep"))
-    pivots = members.join(weights, "rep").groupBy("region").agg(F.max(F.struct(F.col("weight"), -F.col("rep")))["col2"].alias("minus"))
-    pivoted = members.join(pivots, "region").select(F.least("rep", -F.col("minus")).alias("u"), F.greatest("rep", -F.col("minus")).alias("v")).where("u <> v")
+    # Spark limits the ranks before the shuffle, so a region of any size sends PIVOTS rows from each task.
+    pivots = (members.join(weights, "rep").withColumn("r", F.row_number().over(Window.partitionBy("region").orderBy(F.desc("weight"), "rep")))
+              .where(F.col("r") <= PIVOTS).select("region", F.col("rep").alias("pivot")))
+    pivoted = members.join(pivots, "region").select(F.least("rep", "pivot").alias("u"), F.greatest("rep", "pivot").alias("v")).where("u <> v")
     pairs = found.where("kind = 0").select(F.col("x").alias("u"), F.col("y").alias("v")).union(pivoted).distinct()
     pairs = cut_lineage(_alike(pairs, nodes))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import forest, frames, html, leaks, licenses, lines, packing, ring, secrets
+from . import forest, frames, html, leaks, licenses, lines, packing, repeats, ring, secrets
 from . import sql
 from .common import table
 
@@ -28,6 +28,11 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query("op1_suffix_repeats")
+def op1_suffix_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.remove(table(spark, folder, "documents")).drop("kept")
+
+
 @query("op2_text_density")
 def op2_text_density(spark: SparkSession, folder: str) -> DataFrame:
     return html.extract(table(spark, folder, "pages"))
