@@ -6,8 +6,9 @@ more are its candidates; how deep that prefix is depends on how crowded the regi
 two values in one of 16 orders at least but for 2 in a million.
 
 In a crowded region (more nodes with one prefix than there are neighbours) most neighbours are copies of a common
-original that are less like each other than like it. So at depths 2, 4 and 6 each such region also has a pivot, the node
-that has most neighbours with equal values in all orders, as an original has, and each member is a candidate with it.
+original that are less like each other than like it. So at depths 2, 4 and 6 each such region also has pivots, the nodes
+that have most neighbours with equal values in all orders, as an original has, and each member is a candidate with them.
+The first pivots are confirmed first; then only candidates that those links leave in different components are made.
 
 Candidates are thinned by a sketch of 192 one-byte minhashes (a similarity of 0.75 falls below the limit in one pair of a
 million), then confirmed by the exact size of the intersection: first each node's best candidates, then all pairs that
@@ -111,20 +112,30 @@ def signatures(docs: DataFrame) -> DataFrame:
     return texts(docs).mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, keys binary, sketch binary")
 
 
-def _candidates(batches):
-    """Streams one range of the sorted orders: kind 0 a pair, 1 a member (region, node), 2 a weight (node, neighbours alike)."""
+def _crowds(batches):
+    """Streams one range of the sorted orders: kind 1 a member (region, node), 2 a weight (node, neighbours alike)."""
+    return _stream(batches, pairs=False)
+
+
+def _neighbours(batches):
+    """Streams one range of the sorted orders: kind 0, a pair of neighbours in different components."""
+    return _stream(batches, pairs=True)
+
+
+def _stream(batches, pairs: bool):
     reach = NEIGHBOURS + 1
     held: tuple | None = None
 
     def table(batch):
         keys = np.frombuffer(b"".join(batch.column("key").to_pylist()), ">u4").reshape(-1, DEPTH).astype(np.uint64)
-        rest = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("tree", "rep", "n_shingles")]
+        rest = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("tree", "rep", "n_shingles", "component")]
         return (np.column_stack([rest[0].astype(np.uint64), keys]), *rest[1:])
 
     def emit(t, first: int, end: int):
         """Rows from first to end; those around them are context."""
-        keys, rep, size = t
-        out = []
+        keys, rep, size, component = t
+        none = np.zeros(0, np.int64)
+        out = [(none, none, none)]
         after, before = np.zeros(len(rep), np.int64), np.zeros(len(rep), np.int64)
         crowd = {d: np.zeros(len(rep), bool) for d in PIVOT_DEPTHS}
         for j in range(1, reach + 1):
@@ -132,12 +143,14 @@ def _candidates(batches):
                 break
             same = np.logical_and.accumulate(keys[j:] == keys[:-j], axis=1)
             depth = same.sum(axis=1) - 1  # the tree is the first column
-            if j <= NEIGHBOURS:
+            if pairs and j <= NEIGHBOURS:
                 lo, hi = np.minimum(size[j:], size[:-j]), np.maximum(size[j:], size[:-j])
-                i = np.flatnonzero((depth >= LEAST) & (100 * lo >= THRESHOLD * hi)) + j
+                i = np.flatnonzero((depth >= LEAST) & (100 * lo >= THRESHOLD * hi) & (component[j:] != component[:-j])) + j
                 i = i[(i >= first) & (i < end)]
                 a, b = rep[i], rep[i - j]
                 out.append((np.zeros(len(i), np.int64), np.minimum(a, b), np.maximum(a, b)))
+            if pairs:
+                continue
             whole = np.flatnonzero(depth == DEPTH)
             before[whole + j] += 1
             after[whole] += 1
@@ -151,14 +164,14 @@ def _candidates(batches):
                     crowd[d] |= np.cumsum(hit[:-1]) > 0
         own = np.zeros(len(rep), bool)
         own[first:end] = True
-        for d in PIVOT_DEPTHS:
+        for d in () if pairs else PIVOT_DEPTHS:
             i = np.flatnonzero(own & crowd[d])
             if len(i):
                 region = np.full(len(i), d, np.uint64)
                 for c in range(d + 1):
                     region = _mix(region * np.uint64(0x9E3779B97F4A7C15) + keys[i, c])
                 out.append((np.ones(len(i), np.int64), region.astype(np.int64), rep[i]))
-        i = np.flatnonzero(own & crowd[PIVOT_DEPTHS[0]])
+        i = np.flatnonzero(own & crowd[PIVOT_DEPTHS[0]])  # empty if pairs are wanted
         out.append((np.full(len(i), 2, np.int64), rep[i], np.maximum(before, after)[i]))
         kind, x, y = (np.concatenate(c) for c in zip(*out))
         return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(x), pa.array(y)], names=["kind", "x", "y"])
@@ -216,6 +229,33 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(100 * F.col("_common") >= THRESHOLD * (F.col("nu") + F.col("nv") - F.col("_common"))).select("u", "v")
 
 
+_FOUND = "kind long, x long, y long"
+
+
+def _orders(nodes: DataFrame) -> DataFrame:
+    """All sorted orders of the nodes (rep, n_shingles, keys, component), in ranges."""
+    cut = F.expr(f"transform(sequence(0, {TREES - 1}), t -> substring(keys, {4 * DEPTH} * t + 1, {4 * DEPTH}))")
+    orders = nodes.select(F.posexplode(cut).alias("tree", "key"), "rep", "n_shingles", "component")
+    return orders.repartitionByRange("tree", "key", "rep").sortWithinPartitions("tree", "key", "rep")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("u", "v")).alias("rep")).distinct()
+
+
+def _best(pairs: DataFrame) -> DataFrame:
+    """The pairs that are among the FIRST most alike of one of their ends."""
+    ends = pairs.select("u", "v", "nu", "nv", "est", F.explode(F.array("u", "v")).alias("end"))
+    ranked = ends.withColumn("r", F.row_number().over(Window.partitionBy("end").orderBy(F.desc("est"), "u", "v")))
+    return ranked.where(F.col("r") <= FIRST).select("u", "v", "nu", "nv").distinct()
+
+
+def _placed(rows: DataFrame, key: str, near: DataFrame) -> DataFrame:
+    """Adds the component of a node; a node without links is its own."""
+    at = near.select(F.col("node").alias(key), F.col("component").alias("_c"))
+    return rows.join(at, key, "left").withColumn("component", F.coalesce("_c", key)).drop("_c")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document.
 
@@ -231,30 +271,34 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     nodes = cut_lineage(first.join(groups.where("rep IS NOT NULL"), ["f1", "f2"]).where("doc_id = rep")
                         .select("rep", "n_shingles", "keys", "sketch").dropDuplicates(["rep"]))
 
-    orders = nodes.select(F.posexplode(F.expr(f"transform(sequence(0, {TREES - 1}), t -> substring(keys, {4 * DEPTH} * t + 1, {4 * DEPTH}))"))
-                          .alias("tree", "key"), "rep", "n_shingles")
-    orders = orders.repartitionByRange("tree", "key", "rep").sortWithinPartitions("tree", "key", "rep")
-    found = cut_lineage(orders.mapInArrow(_candidates, "kind long, x long, y long"))
+    found = cut_lineage(_orders(nodes.withColumn("component", F.col("rep"))).mapInArrow(_crowds, _FOUND))
     weights = found.where("kind = 2").groupBy(F.col("x").alias("rep")).agg(F.sum("y").alias("weight"))
     members = found.where("kind = 1").select(F.col("x").alias("region"), F.col("y").alias("rep"))
     # Spark limits the ranks before the shuffle, so a region of any size sends PIVOTS rows from each task.
-    pivots = (members.join(weights, "rep").withColumn("r", F.row_number().over(Window.partitionBy("region").orderBy(F.desc("weight"), "rep")))
-              .where(F.col("r") <= PIVOTS).select("region", F.col("rep").alias("pivot")))
-    pivoted = members.join(pivots, "region").select(F.least("rep", "pivot").alias("u"), F.greatest("rep", "pivot").alias("v")).where("u <> v")
-    pairs = found.where("kind = 0").select(F.col("x").alias("u"), F.col("y").alias("v")).union(pivoted).distinct()
+    pivots = cut_lineage(
+        members.join(weights, "rep").withColumn("r", F.row_number().over(Window.partitionBy("region").orderBy(F.desc("weight"), "rep")))
+        .where(F.col("r") <= PIVOTS).select("region", F.col("rep").alias("pivot"), "r"))
+    pivoted = members.join(pivots.where("r = 1"), "region").where("rep <> pivot")
+    pairs = cut_lineage(_alike(pivoted.select(F.least("rep", "pivot").alias("u"), F.greatest("rep", "pivot").alias("v")).distinct(), nodes))
+    links = cut_lineage(_confirm(_best(pairs), _sets(docs, _ends(pairs))))
+    near = components(links)
+
+    placed = cut_lineage(_placed(nodes, "rep", near))
+    pairs = _orders(placed).mapInArrow(_neighbours, _FOUND).select(F.col("x").alias("u"), F.col("y").alias("v"))
+    where = placed.select("rep", "component")
+    members = members.join(where, "rep")
+    pivots = pivots.join(where.select(F.col("rep").alias("pivot"), F.col("component").alias("other")), "pivot")
+    pivoted = members.join(pivots, (members["region"] == pivots["region"]) & (F.col("component") != F.col("other")))
+    pairs = pairs.union(pivoted.select(F.least("rep", "pivot").alias("u"), F.greatest("rep", "pivot").alias("v"))).distinct()
     pairs = cut_lineage(_alike(pairs, nodes))
 
-    ends = pairs.select("u", "v", "est", F.explode(F.array("u", "v")).alias("end"))
-    best = (ends.withColumn("r", F.row_number().over(Window.partitionBy("end").orderBy(F.desc("est"), "u", "v")))
-            .where(F.col("r") <= FIRST).select("u", "v").distinct())
-    sets = cut_lineage(_sets(docs, ends.select(F.col("end").alias("rep")).distinct()))
-    links = cut_lineage(_confirm(pairs.join(best, ["u", "v"]), sets))
+    sets = cut_lineage(_sets(docs, _ends(pairs)))
+    links = cut_lineage(links.union(_confirm(_best(pairs), sets)))
     near = components(links)
-    rest = pairs.join(best, ["u", "v"], "left_anti")
+    rest = pairs
     for side in ("u", "v"):
-        rest = rest.join(near.select(F.col("node").alias(side), F.col("component").alias(f"c{side}")), side, "left")
-    rest = rest.where(F.coalesce("cu", "u") != F.coalesce("cv", "v")).select("u", "v", "nu", "nv")
-    near = components(links.union(_confirm(rest, sets)))
+        rest = _placed(rest, side, near).withColumnRenamed("component", f"c{side}")
+    near = components(links.union(_confirm(rest.where("cu <> cv").select("u", "v", "nu", "nv"), sets)))
 
     groups = groups.join(near, groups["rep"] == near["node"], "left").select("f1", "f2", F.coalesce("component", "rep").alias("component_id"), F.lit(1).alias("_some"))
     out = table.select("doc_id", "n_shingles", "f1", "f2").join(groups, ["f1", "f2"], "left")
