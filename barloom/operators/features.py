@@ -237,7 +237,7 @@ def channels(df):
     df = df.withColumns({
         "high_4": full(F.max, "high", 4, W), "low_4": full(F.min, "low", 4, W),
         "high_24": full(F.max, "high", 24, W), "low_24": full(F.min, "low", 24, W),
-        "_h50": full(F.max, "high", 49, W), "_l50": full(F.min, "low", 49, W),
+        "_h50": full(F.max, "high", 50, W), "_l50": full(F.min, "low", 50, W),
         "swing_high": flag(full(F.max, "high", 5, W) == c("high")),
         "swing_low": flag(full(F.min, "low", 5, W) == c("low")),
     })

@@ -71,9 +71,9 @@ DAILY_RULES = [
     ("E2b", "st <= -3 AND rsi < 40", "open", "close", 1, "5"),
     ("E2c", "rsi < 30", "open", "close", 1, "5"),
     ("E3", f"{MR} AND atr > 0", "open", stop_target_day("(open - 1.5 * atr)", "(open + 2.5 * atr)"), 1, "5"),
-    ("E4_2", MR, "open", "coalesce(c1, close)", 1, "5"),
-    ("E4_3", MR, "open", "coalesce(c2, c1, close)", 1, "5"),
-    ("E4_5", MR, "open", "coalesce(c4, c3, c2, c1, close)", 1, "5"),
+    ("E4_2", MR, "open", "coalesce(c2, c1, close)", 1, "5"),
+    ("E4_3", MR, "open", "coalesce(c3, c2, c1, close)", 1, "5"),
+    ("E4_5", MR, "open", "coalesce(c5, c4, c3, c2, c1, close)", 1, "5"),
     ("E6", "st <= -3", "open", "close", 1, DEPTH),
     ("E6b", MR, "open", "close", 1, DEPTH),
     ("E7a", f"{MW} AND (month >= 11 OR month <= 4)", "open", "close", 1, "5"),

@@ -124,7 +124,7 @@ packed("vwap_24", X.vwap, steps=[PV, ("v", alias({
 
 packed("channels", X.channels, steps=[("h", alias({
     "high_4": full("max", "high", 4), "low_4": full("min", "low", 4), "high_24": full("max", "high", 24),
-    "low_24": full("min", "low", 24), "hh": full("max", "high", 49), "ll": full("min", "low", 49),
+    "low_24": full("min", "low", 24), "hh": full("max", "high", 50), "ll": full("min", "low", 50),
     "h5": full("max", "high", 5), "l5": full("min", "low", 5)}))],
     body=alias({"swing_high": "coalesce(h5 = high, false)::INT", "swing_low": "coalesce(l5 = low, false)::INT",
                 "distance_from_high": "(close - hh) / hh", "distance_from_low": "(close - ll) / ll"}, "h"),
