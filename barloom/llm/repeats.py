@@ -10,8 +10,9 @@ the windows of one anchor are neighbours: together they cover a region of the te
      group by group: a mergesort whose comparisons find the common extension of two suffixes by binary search over
      prefix polynomial hashes (mod 2^64), so a comparison takes log(LENGTH) steps. Neighbours with a common extension of
      ``LENGTH`` bytes repeat; their bytes are compared, and a group with a collision is sorted again on its bytes;
-  4. a gram with more than ``CROWDED`` different regions is shared out by window content instead: its windows are counted
-     by two independent 64-bit hashes of their ``LENGTH`` bytes, in as many tasks as needed.
+  4. a gram with more than ``CROWDED`` different regions is shared out first: its regions are cut into blocks of windows at
+     the same distances to the anchor, and the bytes that all windows of a block have in common take the place of the
+     gram. Steps 2 and 3 then hold for the blocks; a core that is still crowded is cut again, down to single windows.
 Only anchors (about one for 168 bytes), the regions of step 3 and texts by document are shuffled.
 """
 
@@ -29,6 +30,8 @@ from barloom.session import cut_lineage
 from .common import slices, texts
 
 LENGTH, GRAM, CROWDED = 400, 64, 1024
+#: Windows in a block of a crowded gram, then of a crowded core.
+BLOCKS = (64, 8, 1)
 #: Windows of a text handled at once, and windows sorted at once (groups stay whole).
 BLOCK, SORTED = 1 << 22, 400_000
 
@@ -281,33 +284,70 @@ def _sort_groups(length: int):
     return run
 
 
-def _window_hashes(length: int):
-    """Crowded grams: one row per window with its distance to the anchor and two hashes of its bytes."""
+def _blocks(length: int, block: int):
+    """Cuts regions into blocks of windows: the region and first window of each block, then the block as a region of its own."""
     def run(batches):
         import xxhash
-        for batch in batches:
-            rows = {c: batch.column(c).to_pylist() for c in ("g", "r1", "r2", "off", "region")}
-            for g, r1, r2, off, region in zip(*rows.values()):
+        for batch in slices(batches, "region", 1 << 20):
+            rows = [batch.column(c).to_pylist() for c in ("g", "r1", "r2", "off", "region")]
+            out: list[tuple] = []
+            for g, r1, r2, off, region in zip(*rows):
                 n = len(region) - length + 1
-                prefix = _prefix(np.frombuffer(region, np.uint8))
-                h1 = _mix((prefix[length:] - prefix[:n]) * _power(_INVERSE, n))
-                h2 = np.fromiter((xxhash.xxh3_64_intdigest(region[i:i + length]) for i in range(n)), np.uint64, n)
-                same = lambda v: pa.array(np.full(n, v, np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [same(g), same(r1), same(r2), pa.array(np.arange(n, dtype=np.int32)), pa.array((off - np.arange(n)).astype(np.int32)),
-                     pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))], names=["g", "r1", "r2", "i", "l", "h1", "h2"])
+                for b in range(max(off - n + 1, 0) // block, off // block + 1):
+                    first, last = max(off - b * block - block + 1, 0), min(off - b * block, n - 1)
+                    core = region[off - b * block:off - b * block - block + 1 + length]
+                    part = region[first:last + length]
+                    both = xxhash.xxh3_128_digest(part, seed=off - first)
+                    out.append((g, r1, r2, first, _signed(xxhash.xxh3_64_digest(core, seed=(g + b) & (1 << 64) - 1)), _signed(both[:8]), _signed(both[8:]),
+                                off - first, part))
+            c = list(zip(*out))
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in c[:8]), pa.array(c[8], pa.binary())],
+                                             names=["_g", "_r1", "_r2", "_i", *_REGION, "off", "region"])
     return run
 
 
+def _signed(b: bytes) -> int:
+    return int.from_bytes(b, "big", signed=True)
+
+
+_REGION = ["g", "r1", "r2"]
+
+
+def _marks(cuts: DataFrame, length: int, crowded: int, blocks: tuple[int, ...] = BLOCKS) -> DataFrame:
+    """g, r1, r2, first, last: runs of repeated windows in the different regions around one gram (k of them)."""
+    few = cuts if not blocks else cuts.where(F.col("k") <= crowded)
+    few = few.repartition("g").sortWithinPartitions("g").mapInArrow(_sort_groups(length), _FOUND)
+    if not blocks:
+        return few
+    parts = cut_lineage(cuts.where(F.col("k") > crowded).mapInArrow(
+        _blocks(length, blocks[0]), "_g long, _r1 long, _r2 long, _i long, g long, r1 long, r2 long, off long, region binary"))
+    if parts.isEmpty():
+        return few
+    kinds = cut_lineage(parts.groupBy(*_REGION).agg(F.count("*").alias("n"), F.first("off").alias("off"), F.first("region").alias("region")))
+    inner = _marks(kinds.join(_several(kinds), "g"), length, crowded, blocks[1:])
+    n = F.size("first")
+    marks = kinds.where("n > 1").select(*_REGION, F.lit(0).alias("_lo"), (F.length("region") - length).alias("_hi")).join(inner, _REGION, "full").select(
+        *_REGION, F.when(F.col("_lo").isNotNull(), F.array("_lo")).otherwise(F.col("first")).alias("first"),
+        F.when(F.col("_lo").isNotNull(), F.array("_hi")).otherwise(F.col("last")).alias("last")).where(n > 0)
+    back = parts.drop("off", "region").join(marks, _REGION).groupBy("_g", "_r1", "_r2").agg(
+        *(F.flatten(F.collect_list(F.expr(f"transform({c}, x -> cast(x + _i AS int))"))).alias(c) for c in ("first", "last")))
+    return few.union(back)
+
+
+def _several(kinds: DataFrame) -> DataFrame:
+    """Grams with k > 1 different regions. Written, so that the join on them can split a crowded gram."""
+    return cut_lineage(kinds.groupBy("g").agg(F.count("*").alias("k")).where("k > 1"))
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowded: int = CROWDED) -> DataFrame:
     """doc_id, hash of the text, and arrays first and last: windows from first to last repeat somewhere."""
     rows = texts(docs).withColumn("hash", F.xxhash64("text"))
     found = cut_lineage(anchors(rows, length, gram))
-    twice = found.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
+    twice = cut_lineage(found.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"))
     found = cut_lineage(found.join(twice, "g", "left_semi"))
-    region = ["g", "r1", "r2"]
+    region = _REGION
     kinds = cut_lineage(found.groupBy(*region).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "hash", "lo", "at", "hi")).alias("one")))
-    several = kinds.groupBy("g").agg(F.count("*").alias("k")).where("k > 1")
+    several = _several(kinds)
 
     # one text per kind of region, cut from the documents
     wanted = kinds.join(several, "g").groupBy(F.col("one.doc_id").alias("_doc"), F.col("one.hash").alias("_hash")).agg(
@@ -327,13 +367,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crow
 
     cuts = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["_doc"]) & (rows["hash"] == wanted["_hash"])).select("text", "parts")
     cuts = cut_lineage(cuts.mapInArrow(cut, "g long, r1 long, r2 long, k long, off long, region binary"))
-    few = cuts.where(F.col("k") <= crowded).repartition("g").sortWithinPartitions("g").mapInArrow(_sort_groups(length), _FOUND)
-    windows = cuts.where(F.col("k") > crowded).mapInArrow(_window_hashes(length), "g long, r1 long, r2 long, i int, l int, h1 long, h2 long")
-    windows = cut_lineage(windows)
-    same = ["g", "l", "h1", "h2"]
-    often = windows.groupBy(*same).agg(F.count_distinct("r1", "r2").alias("n")).where("n > 1").select(*same)
-    many = windows.join(often, same, "left_semi").groupBy(*region).agg(F.collect_set("i").alias("first")).withColumn("last", F.col("first"))
-    parts = few.union(many)
+    parts = _marks(cuts, length, crowded)
     whole = kinds.where("n > 1").select(*region, F.lit(True).alias("whole"))
     marks = whole.join(parts, region, "full")
 

@@ -199,3 +199,22 @@ def test_pages(spark):
     text = got[1].text
     assert "2th paragraph of the article & its story goes on for" in text and "Imprint" not in text and "About" not in text and "var a" not in text
     assert got[1].n_chars == len(text) and got[2].text == "" and got[3].n_chars == 0
+
+
+def test_repeats_crowded(spark):
+    """A passage between different neighbours in many rows: every gram of it is crowded; blocks give what whole groups give."""
+    common = " ".join(f"c{i * 37 % 101}" for i in range(220))
+    tail = " ".join(f"t{i}" for i in range(90))
+    rows = [(i, " ".join(f"a{i}x{k}" for k in range(30)) + common[i % 9:] + (tail if i % 3 else "") + " ".join(f"b{i}x{k}" for k in range(60))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    raw = {d: t.encode() for d, t in rows}
+    n = collections.Counter(t[i:i + 400] for t in raw.values() for i in range(len(t) - 399))
+    want = {}
+    for d, t in raw.items():
+        gone = bytearray(len(t))
+        for i in range(len(t) - 399):
+            if n[t[i:i + 400]] > 1:
+                gone[i:i + 400] = b"\x01" * 400
+        want[d] = hashlib.sha256(bytes(c for c, g in zip(t, gone) if not g)).hexdigest()
+    for crowded in (3, 1024):
+        assert {r.doc_id: r.kept_sha256 for r in repeats.remove(docs, crowded=crowded).collect()} == want
