@@ -109,10 +109,12 @@ def scan(docs: DataFrame, notices: dict[str, str] = NOTICES, base: dict[str, str
              .where(F.col("_base") | (F.col("_share") >= VOTED)))
 
     # Verification reads the words of the texts that hold a notice span, and compares them with the template in order.
-    notice = spans.where(~F.col("_base")).withColumn("_to", F.col("_to") + GRAM)
-    held = texts(docs).withColumn("_hash", F.xxhash64("text")).dropDuplicates(key)
-    same = [held[c].eqNullSafe(notice[c]) for c in key]
-    held = notice.join(held, same).select(*(notice[c] for c in notice.columns), _words(F.col("text")).alias("_w"))
+    # The spans are written first: only texts that hold one are moved, and where the spans are few nothing else is.
+    notice = cut_lineage(spans.where(~F.col("_base")).withColumn("_to", F.col("_to") + GRAM))
+    held = texts(docs).withColumn("_hash", F.xxhash64("text"))
+    same = lambda other: [held[c].eqNullSafe(other[c]) for c in key]
+    held = held.join(notice, same(notice), "left_semi").dropDuplicates(key)
+    held = notice.join(held, same(notice)).select(*(notice[c] for c in notice.columns), _words(F.col("text")).alias("_w"))
     held = held.withColumn("_part", F.expr("slice(_w, _from + 1, _to - _from)")).drop("_w")
     held = held.join(F.broadcast(known.select("_template", "_words")), "_template")
     verified = held.where(F.size(F.array_intersect("_words", "_part")) >= HELD * F.size(F.array_distinct("_words"))).select(
