@@ -13,10 +13,18 @@ The first pivots are confirmed first; then only candidates that those links leav
 Candidates are thinned by a sketch of 192 one-byte minhashes (a similarity of 0.75 falls below the limit in one pair of a
 million), then confirmed by the exact size of the intersection: first each node's best candidates, then all pairs that
 still join two components.
+
+The forest only spares work: an exact join then finds every pair at the threshold that still lies in two components. Shingles
+are ordered by their count in a table of hashed counters, rarest first. The smallest shingle two such texts have in common
+lies in the first quarter of the larger set and in the first seventh of the smaller one, so only those are moved, without
+those whose counter says that one text has them. Of the shingles seen in two components, pairs are made in blocks, thinned by
+bounds that lose no pair (sizes, positions, and the distance of parity bitmaps), and confirmed on the full sets.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -33,6 +41,10 @@ PIVOT_DEPTHS, PIVOTS = (2, 4, 6), 8
 SKETCH, SKETCH_LEAST = 192, 0.60
 #: Best candidates of a node that are confirmed first.
 FIRST = 2
+#: Hashed counters of shingles (they only order the shingles) and the pieces they travel in.
+COUNTERS, PIECE = 1 << 24, 1 << 14
+#: Bits of a parity bitmap, and rows of one shingle in one block of the exact join.
+BITS, BLOCK = 1536, 256
 
 _MASK = (1 << 64) - 1
 _RANDOM = np.random.RandomState(20240229)
@@ -256,6 +268,98 @@ def _placed(rows: DataFrame, key: str, near: DataFrame) -> DataFrame:
     return rows.join(at, key, "left").withColumn("component", F.coalesce("_c", key)).drop("_c")
 
 
+def _needed(n: int) -> tuple[int, int]:
+    """How many shingles of a set of n the exact join looks at, as the larger set of a pair and as the smaller one."""
+    return n - -(-THRESHOLD * n // 100) + 1, n - -(-2 * THRESHOLD * n // (100 + THRESHOLD)) + 1
+
+
+def _counters(docs: DataFrame) -> np.ndarray:
+    """In how many rows the shingles of a counter occur, up to 255; shingles are only ordered by it."""
+    def run(batches):
+        counts = np.zeros(COUNTERS, np.uint8)
+        for batch in slices(batches, most=2 << 20):
+            found = shingle_sets(batch.column("text").to_pylist())
+            at, n = np.unique(np.concatenate(found) % np.uint64(COUNTERS), return_counts=True)
+            counts[at] = np.minimum(counts[at] + n, 255)
+        used = np.flatnonzero(counts.reshape(-1, PIECE).any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array([zlib.compress(counts[i * PIECE:(i + 1) * PIECE].tobytes(), 1) for i in used], pa.binary())],
+                                         names=["piece", "counts"])
+
+    def add(t):
+        total = np.zeros(PIECE, np.int64)
+        for x in t.column("counts").to_pylist():
+            total += np.frombuffer(zlib.decompress(x), np.uint8)
+        packed = zlib.compress(np.minimum(total, 255).astype(np.uint8).tobytes(), 1)
+        return pa.table({"piece": t.column("piece")[:1], "counts": pa.array([packed], pa.binary())})
+
+    form = "piece long, counts binary"
+    counts = np.zeros(COUNTERS, np.uint8)
+    for r in texts(docs).mapInArrow(run, form).groupBy("piece").applyInArrow(add, form).toLocalIterator():
+        counts[r.piece * PIECE:(r.piece + 1) * PIECE] = np.frombuffer(zlib.decompress(r.counts), np.uint8)
+    return counts
+
+
+def _prefixes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
+    """rep, n, parity bitmap, and the rarest shingles with their places of every row with an id and a shingle."""
+    def run(batches):
+        for batch in slices(batches, most=2 << 20):
+            rows = []
+            for doc, s in zip(batch.column("doc_id").to_pylist(), shingle_sets(batch.column("text").to_pylist())):
+                if len(s):
+                    count = counts[s % np.uint64(COUNTERS)]
+                    first = np.argsort(count, kind="stable")[:_needed(len(s))[0]]  # ties in order of the hash
+                    at = np.flatnonzero(count[first] != 1)
+                    bits = np.packbits((np.bincount((s % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8))
+                    rows.append((doc, len(s), bits.tobytes(), s[first[at]].view(np.int64), at.astype(np.int32)))
+            if rows:
+                rep, n, bits, shingles, at = zip(*rows)
+                yield pa.RecordBatch.from_arrays([pa.array(rep, pa.int64()), pa.array(n, pa.int32()), pa.array(bits, pa.binary()),
+                                                  pa.array(shingles, pa.list_(pa.int64())), pa.array(at, pa.list_(pa.int32()))],
+                                                 names=["rep", "n", "bits", "shingles", "at"])
+
+    return texts(docs).where("doc_id IS NOT NULL").mapInArrow(run, "rep long, n int, bits binary, shingles array<bigint>, at array<int>")
+
+
+def _possible(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs whose bitmaps differ in no more bits than the sets of two similar texts can differ in shingles."""
+    for side in ("u", "v"):
+        pairs = pairs.join(rows.select(F.col("rep").alias(side), F.col("n").cast("long").alias(f"n{side}"), F.col("bits").alias(f"b{side}")), side)
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BITS // 8) for c in ("bu", "bv"))
+                n = batch.column("nu").to_numpy() + batch.column("nv").to_numpy()
+                keep = np.unpackbits(a ^ b, axis=1).sum(axis=1, dtype=np.int64) <= n - 2 * -(-THRESHOLD * n // (100 + THRESHOLD))
+                yield pa.RecordBatch.from_arrays([pa.array(batch.column(c).to_numpy()[keep]) for c in ("u", "v")], names=["u", "v"])
+
+    return pairs.select("u", "v", "nu", "nv", "bu", "bv").mapInArrow(run, "u long, v long").distinct()
+
+
+def _open_links(docs: DataFrame, placed: DataFrame) -> DataFrame:
+    """All pairs (u, v) at the threshold whose ends lie in different components."""
+    rows = cut_lineage(_prefixes(docs, _counters(docs)))
+    own = rows.join(placed.select("rep", "component"), "rep").select("rep", "n", "component", F.explode(F.arrays_zip("shingles", "at")).alias("_s"))
+    own = own.select(F.col("_s.shingles").alias("shingle"), F.col("_s.at").alias("at"), "rep", "n", "component")
+    shared = cut_lineage(own.groupBy("shingle").agg(F.count("*").alias("_n"), F.min("component").alias("_a"), F.max("component").alias("_b"))
+                         .where("_a <> _b").select("shingle", F.ceil(F.col("_n") / BLOCK).cast("int").alias("blocks")))
+    seen = cut_lineage(own.join(shared, "shingle").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int")))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    small = seen.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * (2 * THRESHOLD) / (100 + THRESHOLD)))
+    small = small.select("shingle", F.col("block").alias("i"), every.alias("j"), *(F.col(c).alias(f"{c}_u") for c in ("at", "rep", "n", "component")))
+    large = seen.select("shingle", every.alias("i"), F.col("block").alias("j"), *(F.col(c).alias(f"{c}_v") for c in ("at", "rep", "n", "component")))
+    met = small.join(large, ["shingle", "i", "j"]).where(
+        "component_u <> component_v AND (n_u < n_v OR n_u = n_v AND rep_u < rep_v)"
+        f" AND 100 * n_u >= {THRESHOLD} * n_v AND {100 + THRESHOLD} * least(n_u - at_u, n_v - at_v) >= {THRESHOLD} * (n_u + n_v)")
+    pairs = met.select(F.least("rep_u", "rep_v").alias("u"), F.greatest("rep_u", "rep_v").alias("v")).distinct()
+    pairs = cut_lineage(_possible(pairs, rows))
+    sets = cut_lineage(_sets(docs, _ends(pairs)))
+    for side in ("u", "v"):
+        pairs = pairs.join(sets.select(F.col("rep").alias(side), F.col("shingles").alias(f"_{side}")), side)
+    pairs = pairs.select("u", "v", (F.size("_u") + F.size("_v")).alias("_n"), F.size(F.array_intersect("_u", "_v")).alias("_common"))
+    return pairs.where((100 + THRESHOLD) * F.col("_common") >= THRESHOLD * F.col("_n")).select("u", "v").distinct()
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document.
 
@@ -298,7 +402,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rest = pairs
     for side in ("u", "v"):
         rest = _placed(rest, side, near).withColumnRenamed("component", f"c{side}")
-    near = components(links.union(_confirm(rest.where("cu <> cv").select("u", "v", "nu", "nv"), sets)))
+    links = cut_lineage(links.union(_confirm(rest.where("cu <> cv").select("u", "v", "nu", "nv"), sets)))
+    near = cut_lineage(components(links))
+    missed = cut_lineage(_open_links(docs, _placed(nodes, "rep", near)))
+    if not missed.isEmpty():
+        near = components(links.union(missed))
 
     groups = groups.join(near, groups["rep"] == near["node"], "left").select("f1", "f2", F.coalesce("component", "rep").alias("component_id"), F.lit(1).alias("_some"))
     out = table.select("doc_id", "n_shingles", "f1", "f2").join(groups, ["f1", "f2"], "left")

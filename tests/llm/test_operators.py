@@ -110,6 +110,19 @@ def test_near_duplicates_brute(spark):
     assert forest.deduplicate(docs).count() == sum(find(d) == d for d in sets)
 
 
+def test_near_duplicates_in_a_crowded_region(spark):
+    """Texts with one long common passage are no copies of it; pairs of them that are alike must all be found."""
+    passage = " ".join(f"p{i}" for i in range(120))
+    rows = []
+    for i in range(1600):
+        own = [f"d{i}x{k}" for k in range(44)]
+        rows.append((i, f"{passage} {' '.join(own)}"))
+        if i < 400:  # the last 22 words are others: 138 of 182 shingles are common
+            rows.append((10_000 + i, f"{passage} {' '.join(own[:22])} {' '.join(f'e{i}x{k}' for k in range(22))}"))
+    got = {r.doc_id: r.component_id for r in forest.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: d - 10_000 if d >= 10_000 else d for d, _ in rows}
+
+
 def test_repeats_brute(spark):
     docs = table(spark, SMALL, "documents").where("length(text) < 6000")
     raw = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
