@@ -8,8 +8,13 @@ from them the composite text density, which lowers characters per tag where much
 A node's density sum adds the densities of its children. The node of largest sum is the core; the least density on the
 path from body to it is the threshold. The content is the core's nearest article or main element if it lies in one,
 else the core with those siblings up the path that reach the threshold and hold more text outside links than inside.
-Elements that are no running text by their kind, role or class (menus, forms, scripts, adverts, notices, comments ...)
-and blocks of links alone are no part of the tree.
+Elements that are no running text by their kind (menus, buttons, scripts ...) and hidden ones are no part of the tree; blocks of
+links alone are no part of the content.
+
+A form, a header, and an element whose role, class or id names furniture (adverts, notices, comments ...) is only marked, as
+such words also name wrappers of whole pages. The core is sought outside of marked elements first; one that holds an article or main
+element is no furniture, nor, in pages without these, one that holds blocks and more than half of the text outside links. In the content a marked element is left out if
+half of its text is in links or its density is below the threshold.
 """
 
 from __future__ import annotations
@@ -31,8 +36,9 @@ BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 "
     "h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 SKIPPED = frozenset(
-    "head nav header footer aside form button select input label option datalist dialog menu search canvas svg object embed audio video "
+    "head nav footer aside button select input label option datalist dialog menu search canvas svg object embed audio video "
     "map math applet".split()) | RAW
+MARKED = frozenset("header form".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar tablist".split())
 FURNITURE = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu menus "
@@ -50,36 +56,38 @@ _NAME = re.compile(r"[A-Za-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "block", "chars", "tags", "link_chars", "link_tags", "density", "sum", "in_link", "texts")
+    __slots__ = ("tag", "parent", "children", "block", "chars", "tags", "link_chars", "link_tags", "density", "sum", "in_link", "texts", "marked")
 
-    def __init__(self, tag: str, parent):
+    def __init__(self, tag: str, parent, marked: bool = False):
         self.tag, self.parent, self.children, self.texts = tag, parent, [], []
+        self.marked = marked
         self.in_link = tag == "a" or parent is not None and parent.in_link
         self.chars = self.link_chars = self.link_tags = 0
         self.tags, self.density, self.sum = 1, 0.0, 0.0
 
 
-def _furniture(tag: str, attributes: str) -> bool:
+def _furniture(tag: str, attributes: str) -> tuple[bool, bool]:
+    """Whether the element is no part of the tree, and whether it is marked."""
     if tag in SKIPPED:
-        return True
+        return True, False
     if not attributes.strip():
-        return False
+        return False, tag in MARKED
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
     if "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", "")):
-        return True
-    if found.get("role", "").lower() in ROLES:
-        return True
+        return True, False
+    if tag in MARKED or found.get("role", "").lower() in ROLES:
+        return False, True
     if tag in ("html", "body", "article", "main"):
-        return False
+        return False, False
     names = {w.lower() for key in ("class", "id") for w in _NAME.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", found.get(key, "")))}
-    return bool(names & FURNITURE)
+    return False, bool(names & FURNITURE)
 
 
 def parse(page: str) -> tuple[Node, list[tuple[Node, int, str]]]:
-    """The tree without furniture, and its runs of text as (node, number of the block, text)."""
+    """The tree without skipped elements, and its runs of text as (node, number of the block, text)."""
     root = node = Node("body", None)
     runs: list[tuple[Node, int, str]] = []
-    block, at, skipped = 0, 0, []  # skipped: open elements inside furniture
+    block, at, skipped = 0, 0, []  # skipped: open elements inside a skipped one
     find = _TOKEN.search
     while True:
         m = find(page, at)
@@ -134,7 +142,8 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, int, str]]]:
             if tag == "br":
                 runs.append((node, block, " "))
             continue
-        if _furniture(tag, m[3]):
+        gone, marked = _furniture(tag, m[3])
+        if gone:
             if tag in RAW:
                 end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>|</{tag}\Z", re.I).search(page, at)
                 at = end.end() if end else len(page)
@@ -142,7 +151,7 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, int, str]]]:
                 skipped.append(tag)
             block += tag in BLOCK
             continue
-        node = Node(tag, node)
+        node = Node(tag, node, marked)
         node.parent.children.append(node)
 
 
@@ -181,19 +190,44 @@ def _menu(node: Node) -> bool:
     return node.link_tags >= 3 and 4 * node.link_chars >= 3 * node.chars and node.tag in BLOCK
 
 
+def _named(order: list[Node]) -> set[int]:
+    """Marked elements that are no wrappers, and all in them."""
+    wraps: set[int] = set()
+    for node in order:
+        if node.tag in ("article", "main"):
+            up = node
+            while up is not None and id(up) not in wraps:
+                wraps.add(id(up))
+                up = up.parent
+    most = order[0].chars - order[0].link_chars
+    named: set[int] = set()
+    for node in order:
+        wrapper = id(node) in wraps or not wraps and 2 * (node.chars - node.link_chars) > most and any(x.tag in BLOCK for x in node.children)
+        if node.marked and not wrapper or node.parent is not None and id(node.parent) in named:
+            named.add(id(node))
+    return named
+
+
 def main_text(page: str | None) -> str:
     """Blocks of the main text in page order, joined by line feeds; empty if there is none."""
     if not page:
         return ""
     root, runs = parse(page)
     order = _measure(root, runs)
-    core = max(order, key=lambda node: node.sum if node.children else node.density / 2)
+    named = _named(order)
+    free = [node for node in order if id(node) not in named]
+    # the text outside links that is in no marked element
+    plain = sum(len(text.strip()) for node, _, text in runs if not node.in_link and id(node) not in named)
+    for node in order if plain else ():
+        if node.marked and id(node) in named:
+            node.parent.sum -= node.density  # what is sought outside of it does not gain by it
+    core = max(free if plain else order, key=lambda node: node.sum if node.children else node.density / 2)
     path, up = [], core
     while up is not None:
         path.append(up)
         up = up.parent
     threshold = min(node.density for node in path)
-    whole = next((node for node in reversed(path) if node.tag in ("article", "main")), None)
+    whole = next((node for node in path if node.tag in ("article", "main")), None)
     chosen = {id(whole or core)}
     if whole is None:
         for node, up in zip(path, path[1:]):
@@ -202,7 +236,8 @@ def main_text(page: str | None) -> str:
     for node in order:
         up = node.parent
         kept = id(node) in chosen or up is not None and inside[id(up)]
-        inside[id(node)] = kept and not (_menu(node) and id(node) not in chosen)
+        out = _menu(node) or node.marked and id(node) in named and node not in path and (2 * node.link_chars >= node.chars or node.density < threshold)
+        inside[id(node)] = kept and not (out and id(node) not in chosen)
     blocks: dict[int, list[str]] = {}
     for node, block, text in runs:
         if inside[id(node)]:

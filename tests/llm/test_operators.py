@@ -214,6 +214,22 @@ def test_pages(spark):
     assert got[1].n_chars == len(text) and got[2].text == "" and got[3].n_chars == 0
 
 
+@pytest.mark.parametrize("start, end", [("<div class='overflow-hidden'>", "</div>"), ("<div class='layout has-sidebar'>", "</div>"), ("<div id='page' class='page with-header'>", "</div>"),
+                                        ("<form action='./default.aspx'>", "</form>"), ("<header>", "</header>")])
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_html_wrappers_named_like_furniture(start, end, tag):
+    story = "".join(f"<p>The {i}th paragraph of the story goes on for a while, with many plain words.</p>" for i in range(6))
+    page = (f"<html><body>{start}<nav><a href='/'>Home</a></nav><{tag}>{story}<div class='share'><a href='/1'>Send</a> <a href='/2'>Post</a></div></{tag}>"
+            f"<footer>Imprint</footer>{end}</body></html>")
+    assert html.main_text(page).splitlines() == [f"The {i}th paragraph of the story goes on for a while, with many plain words." for i in range(6)]
+
+
+def test_html_nearest_article():
+    story = "".join(f"<p>The {i}th paragraph of the story goes on for a while, with many plain words.</p>" for i in range(6))
+    page = f"<html><body><main><p>Short note.</p><article>{story}</article></main></body></html>"
+    assert html.main_text(page).splitlines() == [f"The {i}th paragraph of the story goes on for a while, with many plain words." for i in range(6)]
+
+
 def test_repeats_crowded(spark):
     """A passage between different neighbours in many rows: every gram of it is crowded; blocks give what whole groups give."""
     common = " ".join(f"c{i * 37 % 101}" for i in range(220))
