@@ -107,18 +107,37 @@ def calibrate(train: DataFrame, test: DataFrame, prob: str = "prob", label: str
     return model.transform(test).withColumn("tier", confidence_tier(c("calibrated")))
 
 
+def others(scores: DataFrame) -> list:
+    """(rows of the other folds, rows of the fold) of every fold."""
+    folds = sorted(r["fold"] for r in scores.select("fold").distinct().collect())
+    return [(scores.where(c("fold") != k), scores.where(c("fold") == k)) for k in folds]
+
+
+def calibrate_folds(scores: DataFrame, prob: str = "prob", label: str = "y") -> DataFrame:
+    """Every row calibrated by the other folds; null where there is no other fold."""
+    none = lambda df: df.withColumns({"calibrated": F.lit(None).cast("double"), "tier": F.lit(None).cast("string")})
+    return union_all([none(test) if train.isEmpty() else calibrate(train, test, prob, label) for train, test in others(scores)])
+
+
 def confidence_tier(p) -> F.Column:
     return F.when(F.abs(p - 0.5) > 0.2, "high").when(F.abs(p - 0.5) > 0.1, "medium").otherwise("low")
 
 
-def stack(scores: DataFrame, columns: list, label: str = "y", min_rows: int = 50) -> DataFrame:
-    """Meta-learner on out-of-sample scores; with too few rows, their mean."""
+def stack(scores: DataFrame, columns: list, label: str = "y") -> DataFrame:
+    """Meta-learner on out-of-sample scores; every row is scored by the learner of the other folds.
+
+    Where those hold one class alone it is their base rate, where there are none it is null.
+    """
     df = scores.dropna(subset=columns)
-    train, test = df.where("fold % 2 = 0"), df.where("fold % 2 = 1")
-    if train.limit(min_rows).count() < min_rows:
-        return test.withColumn("stacked", blend([(c(x), F.lit(1.0)) for x in columns]))
     pipe = Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="features"), LogisticRegression(labelCol=label, maxIter=20, regParam=0.01)])
-    return pipe.fit(train).transform(test).withColumn("stacked", vector_to_array("probability")[1]).select(*df.columns, "stacked")
+    out = []
+    for train, test in others(df):
+        classes, rate = train.agg(F.count_distinct(label), F.avg(label)).first()
+        if classes < 2:
+            out.append(test.withColumn("stacked", F.lit(rate).cast("double")))
+        else:
+            out.append(pipe.fit(train).transform(test).withColumn("stacked", vector_to_array("probability")[1]).select(*df.columns, "stacked"))
+    return union_all(out)
 
 
 def market_regimes(df: DataFrame, features: list, order_by: str, k: int = 3, names=("bear", "sideways", "bull")) -> DataFrame:
@@ -143,13 +162,24 @@ def persistent_regime(df: DataFrame, regime: str = "regime", n: int = 3, span: S
 
 
 def by_regime(folds: DataFrame, features: list, label: str, regimes: list, iterations: int = 3) -> DataFrame:
-    """One model per regime; rows are scored by the model of their own regime."""
+    """One model per regime and fold; rows are scored by the model of their own regime.
+
+    Where the training rows of a regime hold one class alone, its test rows get their base rate, without training rows null.
+    """
     parts = []
     for name in regimes:
         part = folds.where(c("regime") == name)
-        if part.where("role = 'train'").agg(F.count_distinct(label)).first()[0] < 2:
-            continue
-        parts.append(walk_forward_classification(part, features, label, iterations).withColumn("regime", F.lit(name)))
+        seen = part.where("role = 'train'").groupBy("fold").agg(F.count_distinct(label).alias("classes"), F.avg(c(label).cast("double")).alias("rate"))
+        rates = {r["fold"]: (r["classes"], r["rate"]) for r in seen.collect()}
+        tested = folds_of(part.where(c(label).isNotNull()))
+        learned = [k for k in tested if rates.get(k, (0, None))[0] > 1]
+        scored = [walk_forward_classification(part.where(c("fold").isin(learned)), features, label, iterations)] if learned else []
+        for k in tested:
+            if k not in learned:
+                test = assembled(part.where((c("fold") == k) & (c("role") == "test") & c(label).isNotNull()), features)
+                rate = F.lit(rates.get(k, (0, None))[1]).cast("double")
+                scored.append(test.select("symbol", "ts", "fold", c(label).cast("double").alias("y"), F.lit("long").alias("side"), rate.alias("prob")))
+        parts += [x.withColumn("regime", F.lit(name)) for x in scored]
     return union_all(parts)
 
 

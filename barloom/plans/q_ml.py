@@ -63,7 +63,7 @@ def stable_features(spark, folder):
 @query("calibration")
 def calibration(spark, folder):
     scores = cut_lineage(M.walk_forward_classification(folds(spark, folder), FEATURES, "label", 3))
-    out = M.calibrate(scores.where("fold = 0"), scores.where("fold = 1"))
+    out = M.calibrate_folds(scores)
     return report(out.select("symbol", "ts", "prob", "calibrated", "tier"))
 
 
@@ -98,13 +98,16 @@ def regime_persistence(spark, folder):
 
 @query("regime_models")
 def regime_models(spark, folder):
-    out = cut_lineage(M.by_regime(folds(spark, folder, 1), FEATURES, "label", ["bear", "sideways", "bull"]))
-    return report(K.auc(out, "prob", "y", ["regime"]))
+    out = cut_lineage(M.by_regime(folds(spark, folder), FEATURES, "label", ["bear", "sideways", "bull"]))
+    # rows without a score have no rank, but count
+    rows = out.groupBy("regime").agg(F.count("*").alias("n"), F.sum("y").alias("n_pos"))
+    area = K.auc(out.where("prob is not null"), "prob", "y", ["regime"]).select("regime", "auc")
+    return report(rows.join(area, "regime", "left").select("regime", "auc", "n", "n_pos"))
 
 
 @query("parameter_search")
 def parameter_search(spark, folder):
-    return report(M.search(folds(spark, folder, 1), FEATURES, "target"))
+    return report(M.search(folds(spark, folder), FEATURES, "target"))
 
 
 @query("batch_scoring")
