@@ -140,12 +140,15 @@ def ensemble_blend(spark, folder):
     return report(df.select("symbol", "ts", M.blend([(c("p1"), F.lit(0.6)), (c("p2"), F.lit(0.4))]).alias("pred")))
 
 
+HORIZONS = (1, 2, 4, 6, 8, 12, 24, 48)
+
+
 @query("horizon_scan")
 def horizon_scan(spark, folder):
     """Which horizon and barrier are predictable at all: rank AUC of momentum against each target."""
     bars = B.stored_bars(spark, folder)
-    base = cut_lineage(X.features(L.forward_returns(bars, (1, 4, 8, 24)), X.momentum).select("symbol", "ts", "mom_12h", *[f"fwd_{k}" for k in (1, 4, 8, 24)]))
-    grid = F.array(*[F.struct(F.lit(f"horizon_{k}").alias("target"), flag(c(f"fwd_{k}") > 0).alias("label"), c(f"fwd_{k}").isNotNull().alias("_ok")) for k in (1, 4, 8, 24)])
+    base = cut_lineage(X.features(L.forward_returns(bars, HORIZONS), X.momentum).select("symbol", "ts", "mom_12h", *[f"fwd_{k}" for k in HORIZONS]))
+    grid = F.array(*[F.struct(F.lit(f"horizon_{k}").alias("target"), flag(c(f"fwd_{k}") > 0).alias("label"), c(f"fwd_{k}").isNotNull().alias("_ok")) for k in HORIZONS])
     rows = base.select("mom_12h", F.explode(grid).alias("_g")).select("mom_12h", "_g.*").where("_ok")
     for tp, sl in ((2.0, 1.0), (3.0, 1.5)):
         tb = L.triple_barrier(bars, tp=tp, sl=sl).where("tb_binary is not null").select("symbol", "ts", c("tb_binary").alias("label"))

@@ -1,6 +1,7 @@
 """Every fold and regime gives its rows, however few."""
 
 from barloom.operators import ml as M
+from barloom.plans import q_ml
 
 
 def test_stack_and_calibration_score_every_fold(spark):
@@ -27,3 +28,8 @@ def test_one_class_regime_keeps_its_rows(spark):
     got = M.by_regime(folds, ["x"], "label", ["bear", "sideways", "bull"]).collect()
     assert sorted((r.symbol, r.ts) for r in got) == sorted((r[0], r[1]) for r in rows if r[3] == "test")
     assert {r.prob for r in got if r.regime == "bear"} == {1.0} and {r.prob for r in got if r.regime == "sideways"} == {None}
+
+
+def test_horizon_scan_has_every_horizon(spark):
+    got = {r.target for r in q_ml.horizon_scan(spark, "/root/testdata/sf0.001").collect()}
+    assert {f"horizon_{k}" for k in (1, 2, 4, 6, 8, 12, 24, 48)} <= got
