@@ -74,3 +74,22 @@ def local_path(uri: str) -> str | None:
     if m:
         return m[1]
     return uri if "://" not in uri else None
+
+
+def vectors(rows: DataFrame) -> DataFrame:
+    """vec_id and v of the rows whose vector is neither null nor empty nor holds null or non-finite entries, of the usual length.
+
+    v keeps single precision where the table has it, else it holds doubles. The usual length is that of most vectors (ties: the longer).
+    """
+    kind = next((f.dataType for f in rows.schema.fields if f.name == "embedding"), None)
+    single = getattr(getattr(kind, "elementType", None), "typeName", lambda: "")() == "float"
+    v = F.col("embedding").cast(f"array<{'float' if single else 'double'}>")
+    finite = F.expr("forall(v, c -> c IS NOT NULL AND NOT isnan(c) AND abs(c) < double('Infinity'))")
+    found = rows.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where(F.size("v") > 0).where(finite)
+    usual = found.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
+    return found.where(F.size("v") == (usual[0].d if usual else 0))
+
+
+def matrix(column: pa.Array, dim: int):
+    """The rows of a list column without nulls, as a numpy matrix."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import forest, frames, html, leaks, licenses, lines, packing, repeats, ring, secrets
+from . import forest, frames, html, leaks, licenses, lines, packing, repeats, ring, runs, secrets, whitening
 from . import sql
-from .common import table
+from .common import table, texts, words
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -78,3 +78,24 @@ def op9_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 def op10_token_frames(spark: SparkSession, folder: str) -> DataFrame:
     manifest = frames.write_frames(table(spark, folder, "documents"), tokenizer("byte_bpe_50k.json"), frames.fresh_folder(spark))
     return frames.read_frames(manifest)
+
+
+def with_periods(docs: DataFrame) -> DataFrame:
+    """Every tenth text by the checksum h of its doc_id repeats, from word g % n on, the words of one period (g: h / 10)."""
+    out = texts(docs).withColumn("_h", F.crc32(F.col("doc_id").cast("string").cast("binary")))
+    out = out.withColumn("_w", F.when(F.col("_h") % 10 == 0, words(F.col("text"))))
+    out = out.withColumn("_n", F.size("_w")).withColumn("_g", F.expr("_h div 10"))
+    out = out.withColumn("_a", F.expr("CASE WHEN _n > 0 THEN _g % _n END"))
+    out = out.withColumn("_p", F.expr("1 + (_n - _a) div (3 + _g % 8)"))
+    return out.select("doc_id", F.expr("""CASE WHEN _h % 10 = 0 AND _n > 0 THEN concat_ws(' ', transform(sequence(0, _n - 1),
+        i -> element_at(_w, cast(1 + if(i < _a, i, _a + (i - _a) % _p) AS int)))) ELSE text END""").alias("text"))
+
+
+@query("op12_grammar_runs")
+def op12_grammar_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return runs.digest(runs.find(with_periods(table(spark, folder, "documents"))))
+
+
+@query("op13_chebyshev_whitening")
+def op13_chebyshev_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings"))
