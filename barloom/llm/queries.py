@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import forest, frames, html, leaks, licenses, lines, packing, repeats, ring, runs, secrets, whitening
+from . import forest, frames, html, leaks, licenses, lines, packing, repeats, ring, runs, secrets, vantage, whitening
 from . import sql
 from .common import table, texts, words
 
@@ -80,6 +80,12 @@ def op10_token_frames(spark: SparkSession, folder: str) -> DataFrame:
     return frames.read_frames(manifest)
 
 
+@query("op11_vantage_points")
+def op11_vantage_points(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings")
+    return vantage.search(vantage.index(rows), rows.where("vec_id % 100 = 0"))
+
+
 def with_periods(docs: DataFrame) -> DataFrame:
     """Every tenth text by the checksum h of its doc_id repeats, from word g % n on, the words of one period (g: h / 10)."""
     out = texts(docs).withColumn("_h", F.crc32(F.col("doc_id").cast("string").cast("binary")))
