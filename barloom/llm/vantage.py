@@ -147,7 +147,7 @@ def index(rows: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     n, dim = found.agg(F.count("*"), F.max(F.size("v"))).first()
     shards = max(1, -(-n * (dim or 1) * 8 // shard_bytes))
 
-    def build(keys, group: pa.Table) -> pa.Table:
+    def build(keys: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
         ids = group.column("vec_id").to_numpy()
         by = np.argsort(ids)
@@ -177,7 +177,7 @@ def search(trees: DataFrame, queries: DataFrame, k: int = K, factor: float = FAC
     """query_id, rank (from 1), vec_id, score: the k nearest found of every query (vec_id, embedding), ties to the smaller vec_id.
 
     The rows of a query's own vec_id are no candidates. Queries take part by the rules of ``index``; if fewer than k candidates
-    are found, all are returned. Columns besides vec_id and embedding are left out. An empty table gives an empty result.
+    are found, all are returned. A distance whose square overflows a double is not found. Columns besides vec_id and embedding are left out. An empty table gives an empty result.
     """
     spark = trees.sparkSession
     single = "float" in dict(queries.dtypes).get("embedding", "")

@@ -27,27 +27,31 @@ COMPONENTS = 4
 GUARD, DEGREE = 28, 10
 TIGHT, LOOSE, ROUNDS = 1e-14, 1e-11, 500
 SCALE = 256
+#: Bits and number of the limbs that exact sums are added in.
+LIMB, LIMBS = 40, 5
 
 SCHEMA = "vec_id bigint, component int, n bigint, deviation bigint, whitened double, explained double, identity_error double"
 
 
 def _passed(fit: DataFrame, dim: int, step: Callable[[np.ndarray], np.ndarray], size: int, exact: bool = False) -> np.ndarray:
-    """The sum over the fit list of ``step``, which turns rows x into ``size`` numbers; exact: as whole numbers."""
+    """The sum over the fit list of ``step``, which turns rows x into ``size`` numbers; exact: whole numbers, added in limbs."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
             if batch.num_rows:
                 part = step(matrix(batch.column(0), dim))
                 total = part if total is None else total + part
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(range(size), pa.int32()), pa.array(
-                [str(t) for t in total.tolist()] if exact else total, pa.string() if exact else pa.float64())], ["i", "t"])
+        if total is None:
+            return
+        limbs = [[t >> LIMB * j & (1 << LIMB) - 1 if j < LIMBS - 1 else t >> LIMB * j for t in total.tolist()] for j in range(LIMBS)] if exact else [total]
+        for j, limb in enumerate(limbs):
+            yield pa.RecordBatch.from_arrays([pa.array(range(j * size, (j + 1) * size), pa.int32()),
+                                              pa.array(limb, pa.int64() if exact else pa.float64())], ["i", "t"])
 
-    parts = fit.select("x").mapInArrow(work, f"i int, t {'string' if exact else 'double'}")
-    total = F.sum(F.col("t").cast("decimal(38,0)") if exact else F.col("t"))
+    parts = fit.select("x").mapInArrow(work, f"i int, t {'bigint' if exact else 'double'}")
     out = np.zeros(size, object if exact else float)
-    for i, t in parts.groupBy("i").agg(total.alias("t")).collect():  # size rows
-        out[i] = int(t) if exact else t
+    for i, t in parts.groupBy("i").agg(F.sum(F.col("t").cast("decimal(38,0)") if exact else F.col("t"))).collect():  # size rows, by limb
+        out[i % size] += int(t) << LIMB * (i // size) if exact else t
     return out
 
 
