@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,6 +50,26 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Folders of the steps written since the outermost ``only_result`` began, one list a nesting level.
+_STEPS: list[list[str]] = []
+
+
+def only_result(spark: SparkSession, job: Callable[[], DataFrame]) -> DataFrame:
+    """The written result of ``job``; the steps that it wrote on the way are deleted."""
+    _STEPS.append([])
+    try:
+        out = cut_lineage(job())
+    finally:
+        steps = _STEPS.pop()
+        kept = steps.pop() if steps else None  # the result is the last one written
+        for path in steps:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        if _STEPS and kept:
+            _STEPS[-1].append(kept)
+    return out
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write once to the shared folder and go on from the written table.
 
@@ -58,4 +79,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/step-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
+    if _STEPS:
+        _STEPS[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
