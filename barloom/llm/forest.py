@@ -14,37 +14,34 @@ Candidates are thinned by a sketch of 192 one-byte minhashes (a similarity of 0.
 million), then confirmed by the exact size of the intersection: first each node's best candidates, then all pairs that
 still join two components.
 
-The forest only spares work: an exact join then finds every pair at the threshold that still lies in two components. Shingles
-are ordered by their count in a table of hashed counters, rarest first. The smallest shingle two such texts have in common
-lies in the first quarter of the larger set and in the first seventh of the smaller one, so only those are moved, without
-those whose counter says that one text has them. Of the shingles seen in two components, pairs are made in blocks, thinned by
-bounds that lose no pair (sizes, positions, and the distance of parity bitmaps), and confirmed on the full sets.
+A region of no more nodes than there are neighbours has all its pairs made. What may be missed lies in crowded regions that still
+hold two components, and for the nodes of these an exact join follows. Two nodes of different components can share only shingles
+that are seen in two components. Spark counts these; a node with fewer than three quarters of its set among them has no link. Nodes
+with the same such shingles and the same size are alike to all others in the same way, so they are one class, however many
+share a template. Classes are joined on their rarest shingles (the smallest one two similar sets have in common
+lies in the first quarter of the larger set and in the first seventh of the smaller one), in blocks, and confirmed.
 """
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.session import cut_lineage
+from barloom.session import cut_lineage, only_result
 
 from .common import slices, texts
 from .graph import components
 
 THRESHOLD, WORDS = 75, 5
 TREES, DEPTH, LEAST, NEIGHBOURS = 16, 6, 2, 4
-PIVOT_DEPTHS, PIVOTS = (2, 4, 6), 8
+PIVOT_DEPTHS = (2, 4, 6)
 SKETCH, SKETCH_LEAST = 192, 0.60
 #: Best candidates of a node that are confirmed first.
 FIRST = 2
-#: Hashed counters of shingles (they only order the shingles) and the pieces they travel in.
-COUNTERS, PIECE = 1 << 24, 1 << 14
-#: Bits of a parity bitmap, and rows of one shingle in one block of the exact join.
-BITS, BLOCK = 1536, 256
+#: Pivots that a node is compared with first, and classes of one shingle in one block of the exact join.
+TOP, BLOCK = 2, 256
 
 _MASK = (1 << 64) - 1
 _RANDOM = np.random.RandomState(20240229)
@@ -268,96 +265,44 @@ def _placed(rows: DataFrame, key: str, near: DataFrame) -> DataFrame:
     return rows.join(at, key, "left").withColumn("component", F.coalesce("_c", key)).drop("_c")
 
 
-def _needed(n: int) -> tuple[int, int]:
-    """How many shingles of a set of n the exact join looks at, as the larger set of a pair and as the smaller one."""
-    return n - -(-THRESHOLD * n // 100) + 1, n - -(-2 * THRESHOLD * n // (100 + THRESHOLD)) + 1
-
-
-def _counters(docs: DataFrame) -> np.ndarray:
-    """In how many rows the shingles of a counter occur, up to 255; shingles are only ordered by it."""
-    def run(batches):
-        counts = np.zeros(COUNTERS, np.uint8)
-        for batch in slices(batches, most=2 << 20):
-            found = shingle_sets(batch.column("text").to_pylist())
-            at, n = np.unique(np.concatenate(found) % np.uint64(COUNTERS), return_counts=True)
-            counts[at] = np.minimum(counts[at] + n, 255)
-        used = np.flatnonzero(counts.reshape(-1, PIECE).any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array([zlib.compress(counts[i * PIECE:(i + 1) * PIECE].tobytes(), 1) for i in used], pa.binary())],
-                                         names=["piece", "counts"])
-
-    def add(t):
-        total = np.zeros(PIECE, np.int64)
-        for x in t.column("counts").to_pylist():
-            total += np.frombuffer(zlib.decompress(x), np.uint8)
-        packed = zlib.compress(np.minimum(total, 255).astype(np.uint8).tobytes(), 1)
-        return pa.table({"piece": t.column("piece")[:1], "counts": pa.array([packed], pa.binary())})
-
-    form = "piece long, counts binary"
-    counts = np.zeros(COUNTERS, np.uint8)
-    for r in texts(docs).mapInArrow(run, form).groupBy("piece").applyInArrow(add, form).toLocalIterator():
-        counts[r.piece * PIECE:(r.piece + 1) * PIECE] = np.frombuffer(zlib.decompress(r.counts), np.uint8)
-    return counts
-
-
-def _prefixes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """rep, n, parity bitmap, and the rarest shingles with their places of every row with an id and a shingle."""
-    def run(batches):
-        for batch in slices(batches, most=2 << 20):
-            rows = []
-            for doc, s in zip(batch.column("doc_id").to_pylist(), shingle_sets(batch.column("text").to_pylist())):
-                if len(s):
-                    count = counts[s % np.uint64(COUNTERS)]
-                    first = np.argsort(count, kind="stable")[:_needed(len(s))[0]]  # ties in order of the hash
-                    at = np.flatnonzero(count[first] != 1)
-                    bits = np.packbits((np.bincount((s % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8))
-                    rows.append((doc, len(s), bits.tobytes(), s[first[at]].view(np.int64), at.astype(np.int32)))
-            if rows:
-                rep, n, bits, shingles, at = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array(rep, pa.int64()), pa.array(n, pa.int32()), pa.array(bits, pa.binary()),
-                                                  pa.array(shingles, pa.list_(pa.int64())), pa.array(at, pa.list_(pa.int32()))],
-                                                 names=["rep", "n", "bits", "shingles", "at"])
-
-    return texts(docs).where("doc_id IS NOT NULL").mapInArrow(run, "rep long, n int, bits binary, shingles array<bigint>, at array<int>")
-
-
-def _possible(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The pairs whose bitmaps differ in no more bits than the sets of two similar texts can differ in shingles."""
-    for side in ("u", "v"):
-        pairs = pairs.join(rows.select(F.col("rep").alias(side), F.col("n").cast("long").alias(f"n{side}"), F.col("bits").alias(f"b{side}")), side)
-
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BITS // 8) for c in ("bu", "bv"))
-                n = batch.column("nu").to_numpy() + batch.column("nv").to_numpy()
-                keep = np.unpackbits(a ^ b, axis=1).sum(axis=1, dtype=np.int64) <= n - 2 * -(-THRESHOLD * n // (100 + THRESHOLD))
-                yield pa.RecordBatch.from_arrays([pa.array(batch.column(c).to_numpy()[keep]) for c in ("u", "v")], names=["u", "v"])
-
-    return pairs.select("u", "v", "nu", "nv", "bu", "bv").mapInArrow(run, "u long, v long").distinct()
-
-
-def _open_links(docs: DataFrame, placed: DataFrame) -> DataFrame:
-    """All pairs (u, v) at the threshold whose ends lie in different components."""
-    rows = cut_lineage(_prefixes(docs, _counters(docs)))
-    own = rows.join(placed.select("rep", "component"), "rep").select("rep", "n", "component", F.explode(F.arrays_zip("shingles", "at")).alias("_s"))
-    own = own.select(F.col("_s.shingles").alias("shingle"), F.col("_s.at").alias("at"), "rep", "n", "component")
-    shared = cut_lineage(own.groupBy("shingle").agg(F.count("*").alias("_n"), F.min("component").alias("_a"), F.max("component").alias("_b"))
-                         .where("_a <> _b").select("shingle", F.ceil(F.col("_n") / BLOCK).cast("int").alias("blocks")))
-    seen = cut_lineage(own.join(shared, "shingle").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int")))
+def _open_links(docs: DataFrame, members: DataFrame, placed: DataFrame) -> DataFrame:
+    """Links (u, v) that join all nodes of crowded regions which are at the threshold and lie in different components."""
+    at = members.join(placed.select("rep", "component"), "rep")
+    regions = at.groupBy("region").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a <> _b").select("region")
+    open_nodes = cut_lineage(at.join(regions, "region").select("rep", "component").distinct())
+    rows = cut_lineage(_sets(docs, open_nodes.select("rep")).join(open_nodes, "rep"))
+    own = rows.select("rep", "component", F.explode("shingles").alias("shingle"))
+    shared = own.groupBy("shingle").agg(F.min("component").alias("_a"), F.max("component").alias("_b"), F.count("*").alias("df"))
+    seen = own.join(shared.where("_a <> _b").select("shingle", "df"), "shingle").groupBy("rep").agg(
+        F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("_s"))
+    least = F.ceil(F.col("n") * THRESHOLD / 100)
+    able = seen.join(rows.select("rep", "component", F.size("shingles").alias("n")), "rep").where(F.size("_s") >= least)
+    able = cut_lineage(able.select("rep", "component", "n", F.expr("transform(_s, x -> x.shingle)").alias("common"),
+                                   F.xxhash64("_s").alias("k1"), F.xxhash64(F.lit(1), "_s").alias("k2")))
+    keys = ["k1", "k2", "n"]
+    classes = able.groupBy(*keys).agg(F.min("rep").alias("cls"), F.min("component").alias("low"), F.max("component").alias("high"))
+    classes = cut_lineage(classes.join(able.select("rep", "common"), F.col("cls") == F.col("rep")).drop("rep").withColumn("f", F.size("common")))
+
+    within = classes.where(f"low <> high AND 100 * f >= {THRESHOLD} * (2 * n - f)").select(F.col("cls").alias("u"), F.col("cls").alias("v"))
+    ordered = classes.select("cls", "n", "f", "low", "high", F.posexplode("common").alias("at", "shingle")).where(F.col("at") <= F.col("f") - least)
+    crowd = ordered.groupBy("shingle").agg(F.count("*").alias("_n")).where("_n > 1").select("shingle", F.ceil(F.col("_n") / BLOCK).cast("int").alias("blocks"))
+    seen = cut_lineage(ordered.join(crowd, "shingle").withColumn("block", F.pmod(F.xxhash64("cls"), "blocks").cast("int")))
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    small = seen.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * (2 * THRESHOLD) / (100 + THRESHOLD)))
-    small = small.select("shingle", F.col("block").alias("i"), every.alias("j"), *(F.col(c).alias(f"{c}_u") for c in ("at", "rep", "n", "component")))
-    large = seen.select("shingle", every.alias("i"), F.col("block").alias("j"), *(F.col(c).alias(f"{c}_v") for c in ("at", "rep", "n", "component")))
+    names = ("cls", "n", "f", "low", "high", "at")
+    small = seen.where(F.col("at") <= F.col("f") - F.ceil(F.col("n") * (2 * THRESHOLD) / (100 + THRESHOLD)))
+    small = small.select("shingle", F.col("block").alias("i"), every.alias("j"), *(F.col(c).alias(f"{c}_u") for c in names))
+    large = seen.select("shingle", every.alias("i"), F.col("block").alias("j"), *(F.col(c).alias(f"{c}_v") for c in names))
     met = small.join(large, ["shingle", "i", "j"]).where(
-        "component_u <> component_v AND (n_u < n_v OR n_u = n_v AND rep_u < rep_v)"
-        f" AND 100 * n_u >= {THRESHOLD} * n_v AND {100 + THRESHOLD} * least(n_u - at_u, n_v - at_v) >= {THRESHOLD} * (n_u + n_v)")
-    pairs = met.select(F.least("rep_u", "rep_v").alias("u"), F.greatest("rep_u", "rep_v").alias("v")).distinct()
-    pairs = cut_lineage(_possible(pairs, rows))
-    sets = cut_lineage(_sets(docs, _ends(pairs)))
+        "(n_u < n_v OR n_u = n_v AND cls_u < cls_v) AND NOT (low_u = high_u AND low_v = high_v AND low_u = low_v)"
+        f" AND 100 * n_u >= {THRESHOLD} * n_v AND {100 + THRESHOLD} * least(f_u - at_u, f_v - at_v) >= {THRESHOLD} * (n_u + n_v)")
+    pairs = met.select(F.col("cls_u").alias("u"), F.col("cls_v").alias("v")).distinct()
     for side in ("u", "v"):
-        pairs = pairs.join(sets.select(F.col("rep").alias(side), F.col("shingles").alias(f"_{side}")), side)
-    pairs = pairs.select("u", "v", (F.size("_u") + F.size("_v")).alias("_n"), F.size(F.array_intersect("_u", "_v")).alias("_common"))
-    return pairs.where((100 + THRESHOLD) * F.col("_common") >= THRESHOLD * F.col("_n")).select("u", "v").distinct()
+        pairs = pairs.join(classes.select(F.col("cls").alias(side), F.col("n").alias(f"n{side}"), F.col("common").alias(f"_{side}")), side)
+    pairs = pairs.select("u", "v", "nu", "nv", F.size(F.array_intersect("_u", "_v")).alias("_common"))
+    joined = cut_lineage(pairs.where(100 * F.col("_common") >= THRESHOLD * (F.col("nu") + F.col("nv") - F.col("_common"))).select("u", "v").union(within))
+    # All members of a class that has a link are joined by it, whatever component each is in.
+    linked = _ends(joined).join(classes.select(F.col("cls").alias("rep"), *keys), "rep").select(F.col("rep").alias("u"), *keys)
+    return joined.where("u <> v").union(able.join(linked, keys).select("u", F.col("rep").alias("v")).where("u <> v"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -368,6 +313,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     equal text are one node, rows that share a ``doc_id`` as well. A null id never names a component (a component of null
     ids alone has a null id, and its rows stay). Other columns are ignored; an empty table gives no rows.
     """
+    return only_result(docs.sparkSession, lambda: _near_duplicates(docs))
+
+
+def _near_duplicates(docs: DataFrame) -> DataFrame:
     table = cut_lineage(signatures(docs))
     full = table.where("n_shingles > 0")
     groups = full.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))
@@ -378,24 +327,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     found = cut_lineage(_orders(nodes.withColumn("component", F.col("rep"))).mapInArrow(_crowds, _FOUND))
     weights = found.where("kind = 2").groupBy(F.col("x").alias("rep")).agg(F.sum("y").alias("weight"))
     members = found.where("kind = 1").select(F.col("x").alias("region"), F.col("y").alias("rep"))
-    # Spark limits the ranks before the shuffle, so a region of any size sends PIVOTS rows from each task.
-    pivots = cut_lineage(
-        members.join(weights, "rep").withColumn("r", F.row_number().over(Window.partitionBy("region").orderBy(F.desc("weight"), "rep")))
-        .where(F.col("r") <= PIVOTS).select("region", F.col("rep").alias("pivot"), "r"))
-    pivoted = members.join(pivots.where("r = 1"), "region").where("rep <> pivot")
-    pairs = cut_lineage(_alike(pivoted.select(F.least("rep", "pivot").alias("u"), F.greatest("rep", "pivot").alias("v")).distinct(), nodes))
-    links = cut_lineage(_confirm(_best(pairs), _sets(docs, _ends(pairs))))
-    near = components(links)
-
-    placed = cut_lineage(_placed(nodes, "rep", near))
-    pairs = _orders(placed).mapInArrow(_neighbours, _FOUND).select(F.col("x").alias("u"), F.col("y").alias("v"))
-    where = placed.select("rep", "component")
-    members = members.join(where, "rep")
-    pivots = pivots.join(where.select(F.col("rep").alias("pivot"), F.col("component").alias("other")), "pivot")
-    pivoted = members.join(pivots, (members["region"] == pivots["region"]) & (F.col("component") != F.col("other")))
-    pairs = pairs.union(pivoted.select(F.least("rep", "pivot").alias("u"), F.greatest("rep", "pivot").alias("v"))).distinct()
+    heaviest = members.join(weights, "rep").groupBy("region").agg(F.min(F.struct(-F.col("weight"), "rep")).alias("p")).select("region", F.col("p.rep").alias("pivot"))
+    pairs = members.join(heaviest, "region").where("rep <> pivot").groupBy("rep", "pivot").count()
+    pairs = pairs.withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("count"), "pivot"))).where(F.col("r") <= TOP)
+    pairs = pairs.select(F.least("rep", "pivot").alias("u"), F.greatest("rep", "pivot").alias("v")).distinct()
+    pairs = cut_lineage(_alike(pairs, nodes).select("u", "v", "nu", "nv"))
+    links = cut_lineage(_confirm(pairs, _sets(docs, _ends(pairs))))
+
+    placed = cut_lineage(_placed(nodes, "rep", components(links)))
+    pairs = _orders(placed).mapInArrow(_neighbours, _FOUND).select(F.col("x").alias("u"), F.col("y").alias("v")).distinct()
     pairs = cut_lineage(_alike(pairs, nodes))
-
     sets = cut_lineage(_sets(docs, _ends(pairs)))
     links = cut_lineage(links.union(_confirm(_best(pairs), sets)))
     near = components(links)
@@ -404,7 +345,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         rest = _placed(rest, side, near).withColumnRenamed("component", f"c{side}")
     links = cut_lineage(links.union(_confirm(rest.where("cu <> cv").select("u", "v", "nu", "nv"), sets)))
     near = cut_lineage(components(links))
-    missed = cut_lineage(_open_links(docs, _placed(nodes, "rep", near)))
+    missed = cut_lineage(_open_links(docs, members, _placed(nodes.select("rep"), "rep", near)))
     if not missed.isEmpty():
         near = components(links.union(missed))
 
