@@ -3,7 +3,8 @@
 Both vocabularies split a text into pieces before merging, and no merge crosses a piece. A text whose only white space
 is single spaces and line feeds between other characters is cut at these, where every piece rule of the two
 vocabularies cuts as well, and the ids of a piece are remembered. Pieces not seen before go to the library in one
-batch. All other texts go to the library whole. The ids are the library's in every case.
+batch. All other texts go to the library whole, and so do those that hold the string of a special token, which the library
+reads as that token wherever it stands.
 """
 
 from __future__ import annotations
@@ -27,13 +28,13 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         # A vocabulary that keeps white space has a space as first character of the piece after it.
         self.keeps_space = self.library([" a"]) != self.library(["a"])
         self.known: dict[str, bytes] = {}
         self.mark, self.between = ("\n", "\n") if self.keeps_space else ("\x02", " \x02 ")
         self.mark_id = np.frombuffer(self.library([self.mark])[0], "<u4")
-        assert len(self.mark_id) == 1
+        self.joins = len(self.mark_id) == 1
         self.stops = dict(zip(".,", self.library([".", ","])))
         if self.keeps_space:
             self.known["\n"] = self.mark_id.tobytes()
@@ -46,7 +47,9 @@ class Encoder:
         return [np.asarray(ids, "<u4").tobytes() for ids in self._ids(texts)]
 
     def pieces(self, text: str) -> list[str] | None:
-        """The pieces of a text, None if its white space is not as simple as above."""
+        """The pieces of a text, None if its white space is not as simple as above or it holds a special token."""
+        if any(t in text for t in self.special):
+            return None
         words = text.replace("\n", " ").split(" ")
         if words != text.split():
             return None
@@ -54,28 +57,32 @@ class Encoder:
             return text.replace(" ", "\x1f ").replace("\n", "\x1f\n\x1f").split("\x1f")
         return words
 
-    def learn(self, fresh: set[str]) -> dict[str, bytes]:
-        """Ids of pieces, many in one string."""
-        out, plain, ends = {}, [], []
-        for p in fresh:
-            if self.mark in p:
-                out[p] = self.library([p])[0]
-            elif p[-1:] in (".", ",") and p[-2:-1].isalpha():
-                ends.append(p)  # a stop after a letter is a piece of its own in both vocabularies
-                if p[:-1] not in self.known and p[:-1] not in fresh:
-                    plain.append(p[:-1])
-            else:
-                plain.append(p)
-        plain = list(dict.fromkeys(plain))
-        groups = [plain[i:i + JOINED] for i in range(0, len(plain), JOINED)]
+    def _joined(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces without the mark, many of them in one string; a group that does not come apart again is taken singly."""
+        if not self.joins:
+            return self.library(pieces)
+        out, groups = [], [pieces[i:i + JOINED] for i in range(0, len(pieces), JOINED)]
         for group, ids in zip(groups, self._ids([self.between.join(g) for g in groups])):
             ids = np.asarray(ids, "<u4")
             stops = np.append(np.flatnonzero(ids == self.mark_id[0]), len(ids)).tolist()
-            assert len(stops) == len(group)
+            if len(stops) != len(group):
+                out += self.library(group)
+                continue
             raw, start = ids.tobytes(), 0
-            for p, stop in zip(group, stops):
-                out[p] = raw[4 * start:4 * stop]
+            for stop in stops:
+                out.append(raw[4 * start:4 * stop])
                 start = stop + 1
+        return out
+
+    def learn(self, fresh: set[str]) -> dict[str, bytes]:
+        """Ids of pieces not seen before."""
+        marked = [p for p in fresh if self.mark in p]
+        out = dict(zip(marked, self.library(marked)))
+        # A stop after an ASCII letter is a piece of its own in both vocabularies; lower case may add a mark to other letters.
+        ends = [p for p in fresh if p[-1:] in (".", ",") and p[-2:-1].isascii() and p[-2:-1].isalpha() and self.mark not in p]
+        wanted = [p[:-1] for p in ends if p[:-1] not in self.known]
+        plain = list(dict.fromkeys([*fresh.difference(marked, ends), *wanted]))
+        out.update(zip(plain, self._joined(plain)))
         for p in ends:
             word = self.known.get(p[:-1])
             out[p] = (out[p[:-1]] if word is None else word) + self.stops[p[-1]]

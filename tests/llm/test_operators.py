@@ -166,7 +166,6 @@ def test_frames_brute(spark):
     import numpy as np
     path = tokenizer("byte_bpe_50k.json")
     enc = Tokenizer.from_file(path)
-    enc.encode_special_tokens = True
     docs = table(spark, SMALL, "documents")
     got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in
            frames.read_frames(frames.write_frames(docs, path, frames.fresh_folder(spark))).collect()}
