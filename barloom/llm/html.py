@@ -7,14 +7,17 @@ from them the composite text density, which lowers characters per tag where much
 
 A node's density sum adds the densities of its children. The node of largest sum is the core; the least density on the
 path from body to it is the threshold. The content is the core's nearest article or main element if it lies in one,
-else the core with those siblings up the path that reach the threshold and hold more text outside links than inside.
+else the core. Up the path (with an article: up to its main element, or its parent) siblings are added that are no menus and
+reach the threshold, or hold a good share of text outside links, or are headings above the content.
 Elements that are no running text by their kind (menus, buttons, scripts ...) and hidden ones are no part of the tree; blocks of
 links alone are no part of the content.
 
 A form, a header, and an element whose role, class or id names furniture (adverts, notices, comments ...) is only marked, as
-such words also name wrappers of whole pages. The core is sought outside of marked elements first; one that holds an article or main
-element is no furniture, nor, in pages without these, one that holds blocks and more than half of the text outside links. In the content a marked element is left out if
-half of its text is in links or its density is below the threshold.
+such words also name wrappers of whole pages. The largest marked element is a wrapper if hardly any text lies outside of all
+marked ones, or if it holds the only article or main element and most of the text; then what it holds is looked at in the same way.
+The core is sought outside of the other marked elements if there is text outside. In the content a form and an element named as
+advert, notice or reader comments is left out; of the other marked ones, those with half of their text in links or a density below the
+threshold, but for the header of the content.
 """
 
 from __future__ import annotations
@@ -38,7 +41,6 @@ BLOCK = frozenset(
 SKIPPED = frozenset(
     "head nav footer aside button select input label option datalist dialog menu search canvas svg object embed audio video "
     "map math applet".split()) | RAW
-MARKED = frozenset("header form".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar tablist".split())
 FURNITURE = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu menus "
@@ -46,6 +48,11 @@ FURNITURE = frozenset(
     "notice notices alert comment comments commentlist disqus reply replies respond discussion share sharing social follow "
     "subscribe subscription newsletter signup login popup modal overlay related recommended recommendations toolbar pagination pager "
     "skip skiplink hidden".split())
+#: Of these, names that are hardly ever those of a wrapper or of a part of the article.
+ALIEN = frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo cookie cookies consent gdpr notice notices comment "
+    "comments commentlist disqus reply replies respond subscribe subscription newsletter signup login popup".split())
+HEADINGS = frozenset("h1 h2 h3 hgroup header".split())
 # Tags that end an open element of the same group: paragraphs by any block, list items and cells by their like.
 CLOSES = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
 SCOPES = {"li": "ul ol menu", "dt": "dl", "dd": "dl", "tr": "table", "td": "tr table", "th": "tr table", "option": "select"}
@@ -58,7 +65,7 @@ _NAME = re.compile(r"[A-Za-z]+")
 class Node:
     __slots__ = ("tag", "parent", "children", "block", "chars", "tags", "link_chars", "link_tags", "density", "sum", "in_link", "texts", "marked")
 
-    def __init__(self, tag: str, parent, marked: bool = False):
+    def __init__(self, tag: str, parent, marked: int = 0):
         self.tag, self.parent, self.children, self.texts = tag, parent, [], []
         self.marked = marked
         self.in_link = tag == "a" or parent is not None and parent.in_link
@@ -66,21 +73,20 @@ class Node:
         self.tags, self.density, self.sum = 1, 0.0, 0.0
 
 
-def _furniture(tag: str, attributes: str) -> tuple[bool, bool]:
-    """Whether the element is no part of the tree, and whether it is marked."""
+def _furniture(tag: str, attributes: str) -> tuple[bool, int]:
+    """Whether the element is no part of the tree, and whether it is marked (2: as a form or by an alien name)."""
+    own = {"form": 2, "header": 1}.get(tag, 0)
     if tag in SKIPPED:
-        return True, False
+        return True, 0
     if not attributes.strip():
-        return False, tag in MARKED
+        return False, own
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
     if "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", "")):
-        return True, False
-    if tag in MARKED or found.get("role", "").lower() in ROLES:
-        return False, True
+        return True, 0
     if tag in ("html", "body", "article", "main"):
-        return False, False
+        return False, 0
     names = {w.lower() for key in ("class", "id") for w in _NAME.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", found.get(key, "")))}
-    return False, bool(names & FURNITURE)
+    return False, max(own, 2 if names & ALIEN else 1 if names & FURNITURE or found.get("role", "").lower() in ROLES else 0)
 
 
 def parse(page: str) -> tuple[Node, list[tuple[Node, int, str]]]:
@@ -190,22 +196,38 @@ def _menu(node: Node) -> bool:
     return node.link_tags >= 3 and 4 * node.link_chars >= 3 * node.chars and node.tag in BLOCK
 
 
+def _plain(node: Node) -> int:
+    return node.chars - node.link_chars
+
+
 def _named(order: list[Node]) -> set[int]:
     """Marked elements that are no wrappers, and all in them."""
     wraps: set[int] = set()
-    for node in order:
-        if node.tag in ("article", "main"):
-            up = node
-            while up is not None and id(up) not in wraps:
-                wraps.add(id(up))
-                up = up.parent
-    most = order[0].chars - order[0].link_chars
-    named: set[int] = set()
-    for node in order:
-        wrapper = id(node) in wraps or not wraps and 2 * (node.chars - node.link_chars) > most and any(x.tag in BLOCK for x in node.children)
-        if node.marked and not wrapper or node.parent is not None and id(node.parent) in named:
-            named.add(id(node))
-    return named
+    while True:
+        named: set[int] = set()
+        outer: list[Node] = []
+        for node in order:
+            within = node.parent is not None and id(node.parent) in named
+            if within or node.marked and id(node) not in wraps:
+                named.add(id(node))
+                if not within:
+                    outer.append(node)
+        if not outer:
+            return named
+        best = max(outer, key=_plain)
+        outside = _plain(order[0]) - sum(_plain(x) for x in outer)
+        whole = [x for x in order if x.tag in ("article", "main")]
+        only = any(_within(x, best) for x in whole) and not any(id(x) not in named for x in whole)
+        share = 20 if best.marked == 2 else 1 if only else 4
+        if _plain(best) <= share * outside or not any(x.tag in BLOCK for x in best.children):
+            return named
+        wraps.add(id(best))
+
+
+def _within(node: Node | None, other: Node) -> bool:
+    while node is not None and node is not other:
+        node = node.parent
+    return node is not None
 
 
 def main_text(page: str | None) -> str:
@@ -226,17 +248,32 @@ def main_text(page: str | None) -> str:
     while up is not None:
         path.append(up)
         up = up.parent
-    threshold = min(node.density for node in path)
-    whole = next((node for node in path if node.tag in ("article", "main")), None)
-    chosen = {id(whole or core)}
-    if whole is None:
-        for node, up in zip(path, path[1:]):
-            chosen |= {id(x) for x in up.children if x is not node and x.chars and x.density >= threshold and 2 * x.link_chars < x.chars}
+    first = next((i for i, node in enumerate(path) if node.tag in ("article", "main")), 0)
+    whole = path[first]
+    if whole.tag == "article":
+        top = next((i for i, node in enumerate(path) if i > first and node.tag == "main"), first + 1)
+    else:
+        top = first if whole.tag == "main" else len(path) - 1
+    threshold = min(node.density for node in path[:top + 1] if node.chars) if whole.tag == "article" and core.chars else min(node.density for node in path)
+    chosen = {id(whole)}
+    for node, up in zip(path[first:top], path[first + 1:top + 1]):
+        before = True
+        for x in up.children:
+            before &= x is not node
+            if x is node or not x.chars or id(x) in named or 2 * x.link_chars >= x.chars:
+                continue
+            # beside an article in its main element, text of about the article's characters per tag belongs to it
+            like = path[top].tag == "main" and top > first and 2 * _plain(x) * whole.tags >= _plain(whole) * x.tags
+            if like or x.density >= threshold or 2 * _plain(x) >= _plain(whole) and 4 * x.link_chars < x.chars or before and x.tag in HEADINGS:
+                chosen.add(id(x))
     inside: dict[int, bool] = {}
     for node in order:
         up = node.parent
         kept = id(node) in chosen or up is not None and inside[id(up)]
-        out = _menu(node) or node.marked and id(node) in named and node not in path and (2 * node.link_chars >= node.chars or node.density < threshold)
+        out = _menu(node)
+        if node.marked and id(node) in named and node not in path:
+            title = node.tag == "header" and node.marked == 1 and any(x.tag in HEADINGS for x in node.children)
+            out |= 2 * node.link_chars >= node.chars or node.marked == 2 or node.density < threshold and not title
         inside[id(node)] = kept and not (out and id(node) not in chosen)
     blocks: dict[int, list[str]] = {}
     for node, block, text in runs:
