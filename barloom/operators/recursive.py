@@ -1,13 +1,15 @@
 """Recursive indicators as parallel scans over chunks of one series.
 
-``y[t] = keep * y[t-1] + u[t]`` is linear: inside a chunk it is a weighted window sum, and a chunk as a
-whole maps its incoming value x to ``keep**n * x + local``. Only those two numbers per chunk are
-chained along a series. Parabolic SAR is not linear; its chunks are run from guessed states in
+``y[t] = keep * y[t-1] + u[t]`` is linear: a run of rows maps its incoming value x to ``a * x + b``, and such maps compose.
+Inside a block of rows, short enough for the powers of ``keep``, it is a weighted window sum. The maps of the blocks are composed
+in groups, those of the groups in the chunk, and those of the chunks along the series. Parabolic SAR is not linear; its chunks are run from guessed states in
 parallel and rerun until every guess equals what the chunk before really produced.
 """
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,29 +22,50 @@ W = SharedWindow()
 KEY = ["symbol"]
 
 
+#: Rows of a block at most, and blocks of a group: maps are composed one after the other within a group only.
+BLOCK_ROWS, GROUP = 256, 256
+#: Largest natural logarithm of a weight inside a block.
+WEIGHT = 200.0
+
+
+def _composed(maps: str, more: str = "") -> str:
+    """Folds an ordered array of maps (a, b): all of them as one, and for each the map of those before it (``seen``)."""
+    extra, kind = (f", '{more}', e.{more}", f", {more}: array<struct<a: double, b: double>>") if more else ("", "")
+    return (f"aggregate({maps}, named_struct('a', 1D, 'b', 0D, 'seen', cast(array() AS array<struct<a: double, b: double{kind}>>)), "
+            f"(s, e) -> named_struct('a', e.a * s.a, 'b', e.a * s.b + e.b, 'seen', array_append(s.seen, named_struct('a', s.a, 'b', s.b{extra}))))")
+
+
 def affine_scan(df: DataFrame, add: str, keep: float, out: str, key=("symbol",)) -> DataFrame:
     """``out[t] = keep * out[t-1] + add[t]`` from 0, NULL adds nothing. ``df`` has ``_chunk`` and ``_rn``.
 
-    The weighted sum spans ``keep ** -rows``, so one chunk must hold fewer than about 600 / -ln(keep)
-    rows; hourly and daily chunks hold at most 512 and 1,024.
+    Holds for any density of the series: no weight exceeds ``exp(WEIGHT)``, whatever number of rows a chunk has. Rows keep their
+    place in (key, chunk); one row a chunk is chained along the series.
     """
+    if not 0 <= keep <= 1:
+        raise ValueError("keep must lie in [0, 1]")
+    if keep == 0:
+        return df.withColumn(out, F.coalesce(c(add), F.lit(0.0)))
     keys = list(key)
-    w = ordered("_rn", key)
-    u = F.coalesce(c(add), F.lit(0.0))
+    rows = max(1, min(BLOCK_ROWS, int(WEIGHT / max(-math.log(keep), 1e-300))))
     df = df.withColumn("_at", c("_rn") - F.min("_rn").over(ordered("_rn", key).rowsBetween(START, 0)))
+    df = df.withColumns({"_block": F.expr(f"_at div {rows}"), "_at": c("_at") % rows})
     weight = F.pow(F.lit(keep), -c("_at").cast("double"))
-    df = df.withColumn("_local", F.sum(u * weight).over(w.rowsBetween(START, 0)) / weight)
-    ends = df.groupBy(*keys, "_chunk").agg(
-        F.count(F.lit(1)).cast("double").alias("n"), F.max_by("_local", "_rn").alias("local"))
-    chain = ends.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_chunk", "n", "local"))).alias("_c"))
-    start = F.struct(F.lit(0.0).alias("y"), F.expr("cast(array() as array<struct<_chunk: bigint, y: double>>)").alias("seen"))
-    step = lambda a, e: F.struct(
-        (F.pow(F.lit(keep), e["n"]) * a["y"] + e["local"]).alias("y"),
-        F.array_append(a["seen"], F.struct(e["_chunk"].alias("_chunk"), a["y"].alias("y"))).alias("seen"))
-    carries = chain.select(*keys, F.explode(F.aggregate("_c", start, step, lambda a: a["seen"])).alias("_e")).select(
-        *keys, c("_e._chunk").alias("_chunk"), c("_e.y").alias("_in"))
+    inside = ordered("_rn", [*keys, "_block"]).rowsBetween(START, 0)
+    df = df.withColumn("_local", F.sum(F.coalesce(c(add), F.lit(0.0)) * weight).over(inside) / weight)
+    blocks = df.groupBy(*keys, "_chunk", "_block").agg(F.count(F.lit(1)).alias("_n"), F.max_by("_local", "_rn").alias("b"))
+    blocks = blocks.withColumns({"a": F.pow(F.lit(keep), c("_n").cast("double")), "_group": F.expr(f"_block div {GROUP}")})
+    groups = blocks.groupBy(*keys, "_chunk", "_group").agg(F.sort_array(F.collect_list(F.struct("_block", "a", "b"))).alias("_m"))
+    groups = groups.select(*keys, "_chunk", "_group", F.expr(_composed("_m")).alias("_g"))
+    chunks = groups.groupBy(*keys, "_chunk").agg(F.sort_array(F.collect_list(F.struct("_group", "_g.a", "_g.b", c("_g.seen").alias("blocks")))).alias("_m"))
+    chunks = chunks.select(*keys, "_chunk", F.expr(_composed("_m", "blocks")).alias("_g"))
+    chain = chunks.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_chunk", "_g.a", "_g.b"))).alias("_m"))
+    entering = chain.select(*keys, F.expr(f"inline(arrays_zip(transform(_m, e -> e._chunk), transform({_composed('_m')}.seen, e -> e.b)))").alias("_chunk", "_in"))
+    carries = chunks.join(entering, [*keys, "_chunk"]).select(*keys, "_chunk", c("_g.seen").alias("_groups"), "_in")
     joined = df.join(carries, [*keys, "_chunk"])
-    return joined.withColumn(out, c("_local") + c("_in") * F.pow(F.lit(keep), c("_at") + 1)).drop("_at", "_local", "_in")
+    group = f"element_at(_groups, cast(_block div {GROUP} + 1 AS int))"
+    block = f"element_at({group}.blocks, cast(_block % {GROUP} + 1 AS int))"
+    start = F.expr(f"{block}.a * ({group}.a * _in + {group}.b) + {block}.b")
+    return joined.withColumn(out, c("_local") + start * F.pow(F.lit(keep), c("_at") + 1)).drop("_at", "_block", "_local", "_groups", "_in")
 
 
 def seeded(df: DataFrame, x: str, n: int, first: int, keep: float, gain: float, out: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Recursive indicators, causality and edge rows."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from barloom.operators import features as X
@@ -66,3 +67,58 @@ def test_zero_volume_gives_null_not_error(spark):
     bars = bars.withColumn("ts", F.timestamp_seconds(F.col("h") * 3600)).drop("h")
     row = X.features(bars, X.vwap, X.volumes, X.book_proxies, X.cci_williams, X.candles).orderBy(F.desc("ts")).first()
     assert row["vwap"] is None and row["volume_ratio"] is None and row["close_position"] == 0.5
+
+
+def loop_ema(x, n, first=None):
+    first = n - 1 if first is None else first
+    y = np.full(len(x), np.nan)
+    y[first] = x[first - n + 1:first + 1].mean()
+    for i in range(first + 1, len(x)):
+        y[i] = y[i - 1] + (x[i] - y[i - 1]) * 2 / (n + 1)
+    return y
+
+
+def dense(spark, seconds, n, seed=2):
+    import pandas as pd
+    rng = np.random.default_rng(seed)
+    close = 100 + np.cumsum(rng.normal(0, 0.1, n))
+    spread = np.abs(rng.normal(0, 0.05, n))
+    frame = pd.DataFrame({"symbol": "a", "ts": pd.Timestamp("2024-01-01") + pd.to_timedelta(np.arange(n) * seconds, "s"),
+                          "high": close + spread, "low": close - spread, "close": close})
+    return frame, spark.createDataFrame(frame)
+
+
+@pytest.mark.parametrize("seconds,n", [(300, 20000), (1, 60000)])
+@pytest.mark.parametrize("length", [2, 200])
+def test_ema_of_dense_series_equals_a_loop(spark, seconds, n, length):
+    """Five-minute and one-second bars in chunks cut for hourly ones."""
+    frame, bars = dense(spark, seconds, n)
+    got = R.ema(bars, length).orderBy("ts").toPandas()[f"ema_{length}"].astype(float)
+    np.testing.assert_allclose(got, loop_ema(frame.close.values, length), rtol=1e-11)
+
+
+def test_macd_rsi_adx_of_dense_series_equal_loops(spark):
+    frame, bars = dense(spark, 300, 8000)
+    c = frame.close.values
+    line = loop_ema(c, 12, 25) - loop_ema(c, 26)
+    signal = np.full(len(c), np.nan)
+    signal[25:] = loop_ema(line[25:], 9)
+    got = R.macd(bars).orderBy("ts").toPandas()
+    np.testing.assert_allclose(got.macd_signal.astype(float), signal, rtol=1e-8, atol=1e-11)
+
+    def wilder(u, start, seed, n=14):
+        y = np.full(len(u), np.nan)
+        y[start] = seed
+        for i in range(start + 1, len(u)):
+            y[i] = y[i - 1] * (n - 1) / n + u[i] / n
+        return y
+
+    d = np.diff(c, prepend=np.nan)
+    gain, loss = np.maximum(d, 0), np.maximum(-d, 0)
+    up, down = wilder(gain, 14, gain[1:15].mean()), wilder(loss, 14, loss[1:15].mean())
+    rsi = R.wilder_rsi(bars).orderBy("ts").toPandas().rsi.astype(float)
+    np.testing.assert_allclose(rsi, 100 * up / (up + down), rtol=1e-9)
+    before = np.concatenate(([np.nan], c[:-1]))
+    tr = np.maximum(frame.high - frame.low, np.maximum(np.abs(frame.high - before), np.abs(frame.low - before))).values
+    atr = R.wilder_atr_adx(bars).orderBy("ts").toPandas().atr.astype(float)
+    np.testing.assert_allclose(atr, wilder(tr, 14, tr[1:15].mean()), rtol=1e-9)
