@@ -1,8 +1,11 @@
 """Exact order statistics without a global sort or a group in one task.
 
-Rows are first combined per distinct value, so a value shared by a third of all rows is one row
-after the map side. Distinct values are then cut into magnitude buckets, a monotone function of
-the value alone; only the small bucket table is scanned as a whole.
+Rows are first combined per distinct value, so a value shared by a third of all rows is one row after the map side.
+Distinct values are then dealt to ranges whose ends come from counts (Spark samples every partition), whatever the
+distribution of the values; ranges are made finer until none holds more than ``SLICE`` values. Only the counts of the
+ranges are scanned as a whole.
+
+NULL and NaN take no part; infinite values are values like others.
 """
 
 from __future__ import annotations
@@ -10,37 +13,51 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.session import cut_lineage
+
 START = Window.unboundedPreceding
+#: Distinct values of one range at most.
+SLICE = 1_000_000
+
+
+def present(x: Column) -> Column:
+    return x.isNotNull() & ~F.isnan(x.cast("double"))
+
+
+def unpivoted(df: DataFrame, columns, keep=(), name: str = "feature", value: str = "x") -> DataFrame:
+    """One row a column: ``keep``, the column's name and its value, so that many columns are ranked in one pass."""
+    cells = F.array(*[F.struct(F.lit(k).alias(name), F.col(k).cast("double").alias(value)) for k in columns])
+    return df.select(*keep, F.inline(cells))
 
 
-def value_bucket(x: Column, steps: int = 1024) -> Column:
-    """Monotone bucket: ``steps`` slices per power of two, mirrored for negatives, 0 for zero."""
-    size = F.abs(x)
-    power = F.floor(F.log2(size))
-    slot = (power + 1100) * steps + F.floor(size / F.pow(F.lit(2.0), power) * steps) - steps
-    return F.when(x == 0, F.lit(0)).otherwise(F.signum(x) * slot).cast("bigint")
+def _sliced(values: DataFrame, order: list, most: int) -> DataFrame:
+    """The written values with ``_slice``, the number of their range, and no range of more than ``most`` values."""
+    out = cut_lineage(values.repartitionByRange(*order).withColumn("_slice", F.spark_partition_id()))
+    while True:
+        largest, n = out.groupBy("_slice").count().agg(F.max("count"), F.sum("count")).first()
+        if (largest or 0) <= most:
+            return out
+        parts = 2 * max(-(-n // most), out.agg(F.max("_slice")).first()[0] + 1)
+        out = cut_lineage(out.drop("_slice").repartitionByRange(parts, *order).withColumn("_slice", F.spark_partition_id()))
 
 
-def value_ranks(df: DataFrame, value: str, by=(), extra: dict | None = None) -> DataFrame:
+def value_ranks(df: DataFrame, value: str, by=(), extra: dict | None = None, most: int = SLICE) -> DataFrame:
     """One row per (by, value): ``cnt`` rows, ``below`` rows with a smaller value, ``n`` rows in all."""
     by = list(by)
     sums = [agg.alias(name) for name, agg in (extra or {}).items()]
-    values = (
-        df.where(F.col(value).isNotNull()).groupBy(*by, value)
-        .agg(F.count(F.lit(1)).alias("cnt"), *sums)
-        .withColumn("_bucket", value_bucket(F.col(value)))
-    )
+    values = df.where(present(F.col(value))).groupBy(*by, value).agg(F.count(F.lit(1)).alias("cnt"), *sums)
+    values = _sliced(values, [*by, value], most)
     series = Window.partitionBy(*by)
-    buckets = values.groupBy(*by, "_bucket").agg(F.sum("cnt").alias("_size")).select(
-        *by, "_bucket",
-        F.coalesce(F.sum("_size").over(series.orderBy("_bucket").rowsBetween(START, -1)), F.lit(0)).alias("_before"),
+    slices = values.groupBy(*by, "_slice").agg(F.sum("cnt").alias("_size")).select(
+        *by, "_slice",
+        F.coalesce(F.sum("_size").over(series.orderBy("_slice").rowsBetween(START, -1)), F.lit(0)).alias("_before"),
         F.sum("_size").over(series).alias("n"),
     )
-    inside = Window.partitionBy(*by, "_bucket").orderBy(value).rowsBetween(START, -1)
+    inside = Window.partitionBy(*by, "_slice").orderBy(value).rowsBetween(START, -1)
     return (
-        values.join(buckets, [*by, "_bucket"])
+        values.join(slices, [*by, "_slice"])
         .withColumn("below", F.col("_before") + F.coalesce(F.sum("cnt").over(inside), F.lit(0)))
-        .drop("_before", "_bucket")
+        .drop("_before", "_slice")
     )
 
 
@@ -58,7 +75,7 @@ def quantiles(df: DataFrame, value: str, probs: dict, by=()) -> DataFrame:
         low = F.max(F.when(holds(F.floor(place)), F.col(value)))
         high = F.max(F.when(holds(F.ceil(place)), F.col(value)))
         part = F.max(place - F.floor(place))
-        out.append((low + (high - low) * part).alias(name))
+        out.append(F.when(high == low, low).otherwise(low + (high - low) * part).alias(name))
     return ranked.groupBy(*by).agg(*out)
 
 
@@ -72,10 +89,29 @@ def auc(df: DataFrame, score: str, label: str, by=()) -> DataFrame:
     return ranked.groupBy(*by).agg(area.alias("auc"), F.sum("cnt").alias("n"), pos.alias("n_pos"))
 
 
+def holdout_auc(df: DataFrame, score: str, label: str, by=(), ts: str = "ts", train: float = 0.7, least: tuple = (500, 50, 10)) -> DataFrame:
+    """AUC over the last part of every group in time, and the direction (1, or -1 if the score ranks the other way round).
+
+    Only rows with both values count; the test part begins after the first ``int(train * n)`` of them. Without ``least`` rows, rows of
+    each class, and rows of each class in the test part, the result is NULL. ``ts`` is unique in a group.
+    """
+    by = list(by)
+    df = df.where(present(F.col(score)) & F.col(label).isNotNull()).withColumn("_at", F.unix_micros(F.col(ts).cast("timestamp")))
+    places = value_ranks(df, "_at", by).select(*by, "_at", "below", F.col("n").alias("_all"))
+    y = F.col(label).cast("double")
+    whole = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("_pos"))
+    test = df.join(places, [*by, "_at"]).where(F.col("below") >= F.floor(F.col("_all") * train))
+    out = whole.join(auc(test, score, label, by).select(*by, F.col("auc").alias("_auc"), F.col("n").alias("n_test"), F.col("n_pos").alias("_p")), by)
+    enough = lambda pos, n, k: (pos >= k) & (n - pos >= k)
+    ok = (F.col("n") >= least[0]) & enough(F.col("_pos"), F.col("n"), least[1]) & enough(F.col("_p"), F.col("n_test"), least[2])
+    return out.select(*by, "n", "n_test", F.when(ok, F.greatest("_auc", 1 - F.col("_auc"))).alias("auc"),
+                      F.when(ok, F.when(F.col("_auc") < 0.5, -1).otherwise(1)).alias("direction"))
+
+
 def spearman(df: DataFrame, x: str, y: str, by=()) -> DataFrame:
     """Correlation of average ranks per group."""
     by = list(by)
-    df = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, x, y)
+    df = df.where(present(F.col(x)) & present(F.col(y))).select(*by, x, y)
     pairs = df.groupBy(*by, x, y).agg(F.count(F.lit(1)).alias("_w"))
     rx = value_ranks(df, x, by).select(*by, x, average_rank().alias("_rx"))
     ry = value_ranks(df, y, by).select(*by, y, average_rank().alias("_ry"))

@@ -87,9 +87,10 @@ def validation_report(df: DataFrame, columns: list, label: str, min_rows: int =
 
 def clip_and_scale(df: DataFrame, columns: list, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Clip at exact quantiles, then standardize; bounds are one row per column."""
-    for x in columns:
-        cut = ranks.quantiles(df, x, {"a": low, "b": high}).select(F.struct("a", "b")).scalar()
-        df = df.withColumn(x, F.when(c(x).isNotNull(), F.greatest(cut["a"], F.least(cut["b"], c(x)))))
+    cuts = ranks.quantiles(ranks.unpivoted(df, columns), "x", {"a": low, "b": high}, ["feature"])
+    cut = cuts.agg(F.map_from_entries(F.collect_list(F.struct("feature", F.struct("a", "b"))))).scalar()  # one entry a column
+    edge = lambda x, side: F.element_at(cut, F.lit(x))[side]
+    df = df.withColumns({x: F.when(c(x).isNotNull(), F.greatest(edge(x, "a"), F.least(edge(x, "b"), c(x)))) for x in columns})
     moments = df.agg(F.struct(*[F.struct(F.avg(x).alias("m"), F.stddev_pop(x).alias("s")).alias(x) for x in columns]).alias("r")).scalar()
     return df.withColumns({x: F.try_divide(c(x) - moments[x]["m"], moments[x]["s"]) for x in columns})
 
@@ -127,13 +128,13 @@ def classification_report(df: DataFrame, prob: str, label: str, by=(), cut: floa
     return out.join(ranks.auc(df, prob, label, by).select(*by, "auc"), by) if by else out
 
 
-def mutual_information(df: DataFrame, feature: str, target: str, bins: int = 10) -> DataFrame:
-    """Mutual information of a decile-binned feature and a discrete target from one contingency table."""
-    cuts = ranks.quantiles(df, feature, {f"q{i}": i / bins for i in range(1, bins)})
-    edges = cuts.select(F.array(*[f"q{i}" for i in range(1, bins)])).scalar()
-    cells = df.where(c(feature).isNotNull() & c(target).isNotNull()).withColumn("_e", edges).withColumn(
-        "_b", F.size(F.filter("_e", lambda e: e < c(feature)))).groupBy("_b", target).agg(F.count(F.lit(1)).alias("_n"))
-    whole, by_bin, by_y = Window.partitionBy(F.lit(1)), Window.partitionBy("_b"), Window.partitionBy(target)
+def mutual_information(df: DataFrame, features: list, target: str, bins: int = 10) -> DataFrame:
+    """Mutual information of decile-binned features and a discrete target: one contingency table of all features."""
+    cells = ranks.unpivoted(df.where(c(target).isNotNull()), features, [target]).where(ranks.present(c("x")))
+    cuts = ranks.quantiles(cells, "x", {f"q{i}": i / bins for i in range(1, bins)}, ["feature"])
+    cells = cells.join(cuts.select("feature", F.array(*[f"q{i}" for i in range(1, bins)]).alias("_e")), "feature").withColumn(
+        "_b", F.size(F.filter("_e", lambda e: e < c("x")))).groupBy("feature", "_b", target).agg(F.count(F.lit(1)).alias("_n"))
+    whole, by_bin, by_y = (Window.partitionBy("feature", *more) for more in ((), ("_b",), (target,)))
     n = F.sum("_n").over(whole)
     term = c("_n") / n * F.ln(c("_n") * n / (F.sum("_n").over(by_bin) * F.sum("_n").over(by_y)))
-    return cells.select(term.alias("_t")).agg(F.lit(feature).alias("feature"), F.sum("_t").alias("mi"))
+    return cells.select("feature", term.alias("_t")).groupBy("feature").agg(F.sum("_t").alias("mi"))

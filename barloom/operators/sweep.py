@@ -17,7 +17,7 @@ from barloom.functions.rolling import c, div, flag
 from barloom.operators import trades as T
 from barloom.operators.chunks import HOURLY, Span, chunked, clean
 from barloom.operators.features import LOOKBACK, atr, scores
-from barloom.operators.ranks import quantiles
+from barloom.operators.ranks import quantiles, unpivoted
 from barloom.session import cut_lineage
 
 
@@ -85,10 +85,10 @@ def entry_signals(frame: DataFrame, thresholds: DataFrame, grid: Grid) -> DataFr
 
 def score_thresholds(frame: DataFrame, percentiles) -> DataFrame:
     """Exact per-symbol cut-offs of both scores, columns ``l_5``, ``s_5`` ..."""
-    name = lambda k, p: f"{k}_{int(round(p * 100))}"
-    longs = quantiles(frame, "long_prob", {name("l", p): 1 - p for p in percentiles}, ["symbol"])
-    shorts = quantiles(frame, "short_prob", {name("s", p): 1 - p for p in percentiles}, ["symbol"])
-    return longs.join(shorts, "symbol")
+    tall = unpivoted(frame, ["long_prob", "short_prob"], ["symbol"])
+    cuts = quantiles(tall, "x", {f"_{int(round(p * 100))}": 1 - p for p in percentiles}, ["symbol", "feature"])
+    side = lambda k, p: F.max(F.when(F.col("feature") == k, F.col(f"_{int(round(p * 100))}"))).alias(f"{k[0]}_{int(round(p * 100))}")
+    return cuts.groupBy("symbol").agg(*[side(k, p) for k in ("long_prob", "short_prob") for p in percentiles])
 
 
 RUN = ["symbol", "percentile", "direction", "hours", "tp_mult", "sl_mult", "exit_mode", "trail_mult", "hold", "fee_tier"]

@@ -211,12 +211,23 @@ def rank_auc_sql(x, by):
 
 @query("feature_auc", sql("bars", *LAB, ("out_", " UNION ALL ".join(rank_auc_sql(x, "symbol") for x in FEATS)), out=cols("out_", keys="symbol feature", ts="", ints="n", nums="auc")))
 def feature_auc(spark, folder):
-    df = labeled(spark, folder)
-    parts = [K.auc(df, x, "label", ["symbol"]).withColumn("feature", F.lit(x)) for x in FEATS]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return report(out, "symbol", "feature", "n", "auc")
+    tall = K.unpivoted(labeled(spark, folder), FEATS, ["symbol", "label"])
+    return report(K.auc(tall, "x", "label", ["symbol", "feature"]), "symbol", "feature", "n", "auc")
+
+
+HOLDOUT = [("tall", " UNION ALL ".join(f"SELECT symbol, ts, label, '{x}' AS feature, {x} AS x FROM f1 WHERE {x} IS NOT NULL" for x in FEATS)),
+           ("nn", "SELECT *, row_number() OVER (PARTITION BY symbol, feature ORDER BY ts) - 1 AS i, count(*) OVER w AS n, sum(label) OVER w AS p FROM tall WINDOW w AS (PARTITION BY symbol, feature)"),
+           ("te", "SELECT *, rank() OVER (PARTITION BY symbol, feature ORDER BY x) + (count(*) OVER (PARTITION BY symbol, feature, x) - 1) / 2 AS rk FROM nn WHERE i >= floor(n * 0.7::DOUBLE)"),
+           ("ag", "SELECT symbol, feature, max(n) AS n, count(*) AS n_test, max(p) AS p, sum(label) AS q, (sum(CASE WHEN label = 1 THEN rk ELSE 0 END) - sum(label) * (sum(label) + 1) / 2) / nullif(sum(label) * (count(*) - sum(label)), 0) AS a FROM te GROUP BY 1, 2"),
+           ("ok", "SELECT *, n >= 500 AND p >= 50 AND n - p >= 50 AND q >= 10 AND n_test - q >= 10 AS good FROM ag"),
+           ("out_", "SELECT symbol, feature, n, n_test, CASE WHEN good THEN greatest(a, 1 - a) END AS auc, CASE WHEN good THEN CASE WHEN a < 0.5 THEN -1 ELSE 1 END END AS direction FROM ok")]
+
+
+@query("feature_auc_holdout", sql("bars", *LAB, *HOLDOUT, out=cols("out_", keys="symbol feature", ts="", ints="n n_test direction", nums="auc")))
+def feature_auc_holdout(spark, folder):
+    """Each feature as a score on the last 30 % of its rows in time, with the direction in which it ranks."""
+    tall = K.unpivoted(labeled(spark, folder), FEATS, ["symbol", "ts", "label"])
+    return report(K.holdout_auc(tall, "x", "label", ["symbol", "feature"]), "symbol", "feature", "n", "n_test", "auc", "direction")
 
 
 def profile_sql(columns, target):
@@ -256,11 +267,7 @@ def spearman_lags(spark, folder):
     ("out_", " UNION ALL ".join(f"SELECT '{x}' AS feature, sum(n / t * ln(n * t / (nb * ny))) AS mi FROM (SELECT *, sum(n) OVER () AS t, sum(n) OVER (PARTITION BY b) AS nb, sum(n) OVER (PARTITION BY label) AS ny FROM (SELECT b, label, count(*) AS n FROM b_{x} GROUP BY 1, 2))" for x in FEATS)),
     out=cols("out_", keys="feature", ts="", nums="mi")))
 def binned_mi(spark, folder):
-    df = labeled(spark, folder)
-    out = A.mutual_information(df, FEATS[0], "label")
-    for x in FEATS[1:]:
-        out = out.unionByName(A.mutual_information(df, x, "label"))
-    return report(out)
+    return report(A.mutual_information(labeled(spark, folder), FEATS, "label"))
 
 
 @query("dataset_validation", sql("bars", *LAB, ("out_", "SELECT count(*) AS n_rows, sum((r IS NULL)::INT + (m12 IS NULL)::INT + (vr IS NULL)::INT + (rng IS NULL)::INT) AS n_nulls, 0 AS n_constant, count(DISTINCT label) AS n_labels, avg(label) AS positive_share, 0 AS valid FROM f1"),

@@ -15,11 +15,48 @@ def data(seed=3, n=900):
     return pd.DataFrame({"g": rng.choice(["a", "b"], len(x), p=[0.9, 0.1]), "x": x, "y": y, "label": (rng.random(len(x)) < 0.4).astype(int)})
 
 
-def test_value_bucket_is_monotone(spark):
-    xs = sorted([0.0, 1e-12, -1e-12, 1.0, np.nextafter(1.0, 0), np.nextafter(2.0, 0), 2.0, 3.7, -8.0, -7.99, 1e15, 512.0, 511.999999999])
-    rows = spark.createDataFrame([(float(x),) for x in xs], "x double").orderBy("x").select(K.value_bucket(F.col("x")).alias("b")).collect()
-    buckets = [r["b"] for r in rows]
-    assert buckets == sorted(buckets)
+def packed(n=6000):
+    """Values that agree in their leading bits, ties, and every kind of value that is no ordinary number."""
+    x = 0.5 + np.arange(n) * 2.0 ** -50
+    return pd.DataFrame({"g": "a", "x": np.concatenate([x, x[:50], [0.0, -0.0, 5e-324, -5e-324, 1e308, np.inf, np.inf, -np.inf]])})
+
+
+def test_packed_values_are_dealt_evenly(spark):
+    frame = packed()
+    values = spark.createDataFrame(frame).groupBy("g", "x").count().where("x between 0.4 and 0.6")
+    sizes = [r["count"] for r in K._sliced(values, ["g", "x"], 500).groupBy("_slice").count().collect()]
+    assert max(sizes) <= 500 and sum(sizes) == 6000 and len(sizes) >= 12
+    ranked = K.value_ranks(spark.createDataFrame(frame), "x", ["g"], most=500).orderBy("x").toPandas()
+    assert (ranked.below == ranked.cnt.cumsum() - ranked.cnt).all() and (ranked.n == len(frame)).all()
+
+
+def test_nan_takes_no_part_and_infinite_values_do(spark):
+    frame = packed(40)
+    whole = spark.createDataFrame(frame).unionByName(spark.createDataFrame([("a", float("nan")), ("a", None)], "g string, x double"))
+    got = K.quantiles(whole, "x", {"p10": 0.1, "p50": 0.5, "p100": 1.0}, ["g"]).first()
+    x = np.sort(frame.x.values)
+    assert (got.p10, got.p50) == tuple(np.percentile(x, [10, 50])) and got.p100 == np.inf
+    labels = whole.withColumn("label", F.when(F.col("x") > 0.5, 1).otherwise(0)).withColumn("y", F.col("x"))
+    assert K.auc(labels, "x", "label").first().auc == 1.0
+    assert abs(K.spearman(labels, "x", "y").first().rho - 1) < 1e-12
+    assert K.quantiles(whole.where("x is null"), "x", {"p": 0.5}).first().p is None
+
+
+def test_holdout_auc_and_direction(spark):
+    rng = np.random.default_rng(4)
+    n = 1000
+    label = (rng.random(n) < 0.5).astype(int)
+    frame = pd.DataFrame({"ts": pd.Timestamp("2024-01-01") + pd.to_timedelta(np.arange(n), "h"), "up": label + rng.normal(0, 1, n),
+                          "down": -label + rng.normal(0, 1, n), "label": label})
+    tall = K.unpivoted(spark.createDataFrame(frame), ["up", "down"], ["ts", "label"])
+    got = {r.feature: r for r in K.holdout_auc(tall, "x", "label", ["feature"]).collect()}
+    test = frame[700:]
+    for name, sign in (("up", 1), ("down", -1)):
+        pos, neg = test[test.label == 1][name].values * sign, test[test.label == 0][name].values * sign
+        assert got[name].direction == sign and got[name].n_test == 300
+        assert abs(got[name].auc - np.mean(pos[:, None] > neg[None])) < 1e-12
+    few = {r.feature: r for r in K.holdout_auc(tall.where("ts < '2024-01-10'"), "x", "label", ["feature"]).collect()}
+    assert few["up"].auc is None and few["up"].direction is None
 
 
 def test_quantiles_match_numpy(spark):
