@@ -70,7 +70,11 @@ def stream_static_join(spark, folder):
     return report(spark.read.parquet(path), "symbol", "ts", "alert", "move")
 
 
-@query("stream_features", sql("bars", CLOSED, ("out_", alias({"ma_20": full("avg", "close", 20), "ma_50": full("avg", "close", 50)}, "cb")), out=cols("out_", nums="close ma_20 ma_50")))
+#: Bars that the ordered jobs have released: all but those of the last six hours of the stream.
+RELEASED = ("cb", f"SELECT * FROM bars WHERE ts + INTERVAL 1 HOUR <= {DONE} AND ts + INTERVAL 6 HOURS <= (SELECT max(ts) FROM bars WHERE ts + INTERVAL 1 HOUR <= {DONE})")
+
+
+@query("stream_features", sql("bars", RELEASED, ("out_", alias({"ma_20": full("avg", "close", 20), "ma_50": full("avg", "close", 50)}, "cb")), out=cols("out_", nums="close ma_20 ma_50")))
 def stream_features(spark, folder):
     """Closed bars in, the batch feature pack out."""
     stream = J.table_stream(spark, bar_table(spark, folder), BAR_SCHEMA)
@@ -98,25 +102,54 @@ WALK = [("n_", f"SELECT *, row_number() OVER ({P}) AS rn FROM cb"),
 
 def closes(spark, folder):
     stream = J.table_stream(spark, bar_table(spark, folder), BAR_SCHEMA)
-    return J.run_to_table(J.positions(stream), "positions")
+    return J.on_time(spark.read.parquet(J.run_to_table(J.positions(stream), "positions")))
 
 
-@query("stream_positions", sql("bars", CLOSED, *WALK, out=cols("out_", keys="symbol reason", ts="entry_ts exit_ts", nums="entry_price pnl")).replace("WITH ", "WITH RECURSIVE ", 1))
+@query("stream_positions", sql("bars", RELEASED, *WALK, out=cols("out_", keys="symbol reason", ts="entry_ts exit_ts", nums="entry_price pnl")).replace("WITH ", "WITH RECURSIVE ", 1))
 def stream_positions(spark, folder):
-    return report(spark.read.parquet(closes(spark, folder)), "symbol", "reason", "entry_ts", "exit_ts", "entry_price", "pnl")
+    df = closes(spark, folder).withColumns({"entry_ts": F.timestamp_micros("entry_at"), "exit_ts": F.timestamp_micros("exit_at")})
+    return report(df, "symbol", "reason", "entry_ts", "exit_ts", "entry_price", "pnl")
+
+
+#: Every bar that closes above its open is an order of its volume's value, closed four hours later at the close of its bar.
+ORDERS = [("o1_", f"SELECT *, lead(close, 4) OVER ({P}) AS later, lead(ts, 4) OVER ({P}) AS cts FROM bars WHERE ts + INTERVAL 1 HOUR <= {DONE}"),
+          ("o2_", "SELECT symbol, ts, cts, 25 * (1 + volume % 200) AS val, 25 * (1 + volume % 200) * (later / close - 1) AS res FROM o1_ WHERE close > open AND later IS NOT NULL"),
+          ("o3_", "SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rn FROM o2_ WHERE ts + INTERVAL 6 HOURS <= (SELECT max(ts) FROM o2_)")]
+_PAST = "list_filter(w.fr, lambda f: f.cts <= n.ts)"
+_HELD = "list_filter(w.fr, lambda f: f.cts > n.ts)"
+_TODAY = f"list_filter(w.done || {_PAST}, lambda f: date_trunc('day', f.cts) = date_trunc('day', n.ts))"
+_SUM = "coalesce(list_sum(list_transform({}, lambda f: f.{})), 0)"
+_DECIDE = (f"CASE WHEN {_SUM.format(_TODAY, 'res')} <= -200 THEN 'daily loss' WHEN len({_TODAY}) >= 2 THEN 'daily trades' "
+           f"WHEN {_SUM.format(_HELD, 'val')} >= 8000 THEN 'exposure' ELSE 'ok' END")
+_SELF = "{'cts': n.cts, 'val': n.val, 'res': n.res}"
+GUARD = [("g_", f"""SELECT symbol, rn, ts, 'ok' AS decision, 0::DOUBLE AS day_pnl, 0::BIGINT AS day_trades, 0::DOUBLE AS exposure, [{{'cts': cts, 'val': val, 'res': res}}] AS fr, [{{'cts': cts, 'val': val, 'res': res}}][1:0] AS done FROM o3_ WHERE rn = 1
+  UNION ALL SELECT n.symbol, n.rn, n.ts, {_DECIDE}, {_SUM.format(_TODAY, 'res')}, len({_TODAY}), {_SUM.format(_HELD, 'val')},
+    CASE WHEN {_DECIDE} = 'ok' THEN list_append({_HELD}, {_SELF}) ELSE {_HELD} END, {_TODAY} FROM g_ w JOIN o3_ n ON n.symbol = w.symbol AND n.rn = w.rn + 1""")]
+
+
+@query("stream_daily_guard", sql("bars", *ORDERS, *GUARD, out=cols("g_", keys="symbol decision", ints="day_trades", nums="day_pnl:4 exposure:4")).replace("WITH ", "WITH RECURSIVE ", 1))
+def stream_daily_guard(spark, folder):
+    """Orders are admitted or refused one by one before they are filled; refused ones change nothing."""
+    from pyspark.sql import Window
+    w = Window.partitionBy("symbol").orderBy("ts")
+    bars = spark.read.parquet(bar_table(spark, folder)).withColumns({"later": F.lead("close", 4).over(w), "close_at": F.unix_micros(F.lead("ts", 4).over(w))})
+    value = 25 * (1 + c("volume") % 200)
+    orders = cut_lineage(bars.where("close > open AND later IS NOT NULL").select("symbol", "ts", value.alias("value"), "close_at", (value * (c("later") / c("close") - 1)).alias("pnl")))
+    stream = J.table_stream(spark, orders.inputFiles()[0].rsplit("/", 1)[0], orders.schema)
+    out = J.on_time(spark.read.parquet(J.run_to_table(J.daily_guard(stream), "guard")))
+    return report(out.withColumn("ts", F.timestamp_micros("at")), "symbol", "decision", "ts", "day_trades", "day_pnl:4", "exposure:4")
 
 
-@query("stream_daily_guard")
-def stream_daily_guard(spark, folder):
-    path = closes(spark, folder)
-    fills = J.table_stream(spark, path, J.POSITION_OUT).withColumn("ts", c("exit_ts"))
-    out = J.run_to_table(J.daily_guard(fills, 0.2, 5), "guard")
-    return report(spark.read.parquet(out), "symbol", "ts", "n_trades", "halted", "pnl")
+REGIME = "CASE WHEN (close - open) / nullif(open, 0) > 0.3 THEN 'bull' WHEN (close - open) / nullif(open, 0) < -0.3 THEN 'bear' ELSE 'sideways' END"
 
 
-@query("stream_regimes")
+@query("stream_regimes", sql("bars", RELEASED, ("r1_", f"SELECT symbol, ts, {REGIME} AS regime FROM cb"),
+    ("r2_", f"SELECT *, lag(regime, 1) OVER ({P}) AS b, lag(regime, 2) OVER ({P}) AS a FROM r1_"),
+    ("out_", "SELECT symbol, ts, regime, CASE WHEN a IS NOT NULL AND a = b THEN a WHEN regime = a OR regime = b THEN regime ELSE regime END AS steady_regime FROM r2_"),
+    out=cols("out_", keys="symbol regime steady_regime")))
 def stream_regimes(spark, folder):
     bars = J.table_stream(spark, bar_table(spark, folder), BAR_SCHEMA)
     move = F.try_divide(c("close") - c("open"), c("open"))
     rows = bars.withColumn("regime", F.when(move > 0.3, "bull").when(move < -0.3, "bear").otherwise("sideways"))
-    return report(spark.read.parquet(J.run_to_table(J.steady_regimes(rows), "regimes")), "symbol", "ts", "regime", "steady_regime")
+    out = J.on_time(spark.read.parquet(J.run_to_table(J.steady_regimes(rows), "regimes")))
+    return report(out.withColumn("ts", F.timestamp_micros("at")), "symbol", "regime", "steady_regime", "ts")

@@ -9,13 +9,12 @@ from __future__ import annotations
 
 import uuid
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from barloom.operators.features import LOOKBACK, build
 from barloom.session import ensure_utc, shared_folder
+from barloom.streaming.ordered import HOUR, in_order, on_time, too_late
 
 LATENESS = "10 minutes"
 
@@ -91,88 +90,122 @@ def book_averages(books: DataFrame, late: str = LATENESS) -> DataFrame:
     return out.select("symbol", F.col("w.start").alias("ts"), "n", "avg_spread", "avg_imbalance")
 
 
-def daily_guard(fills: DataFrame, max_loss: float, max_trades: int, late: str = "1 day") -> DataFrame:
-    """Daily result and trade count per symbol, and whether trading must stop for the day."""
-    out = fills.withWatermark("ts", late).groupBy("symbol", F.window("ts", "1 day").alias("w")).agg(
-        F.sum("pnl").alias("pnl"), F.count(F.lit(1)).alias("n_trades"))
-    halted = (F.col("pnl") <= -max_loss) | (F.col("n_trades") >= max_trades)
-    return out.select("symbol", F.col("w.start").alias("ts"), "pnl", "n_trades", halted.cast("int").alias("halted"))
+ORDER_OUT = "at bigint, decision string, value double, pnl double, day_pnl double, day_trades bigint, exposure double"
+ORDER_STATE = "day bigint, pnl double, trades bigint, frees array<struct<at: bigint, value: double, pnl: double>>"
+DAY = 86_400_000_000
 
 
-def serve_features(bars: DataFrame, pack, name: str = "features", bar_seconds: int = 3600, idle: int = 8) -> str:
-    """Features of newly closed bars by the batch expressions over a trailing slice of the bar table.
+def guard_step(balance: float, max_loss: float, max_trades: int, max_exposure: float, least_balance: float):
+    """Decides every order before it is filled, from what the fills before it have led to.
 
-    Every micro-batch stores its bars, reads back only the time range the pack can reach, and writes the
-    features of its own bars. Batch folders are overwritten on replay, so results are exactly once.
-    ``idle`` widens the range for missing bars; if rows are still short of the look-back, all history is read.
+    An order has a time, a value, and the time and result of its close. A fill counts against the exposure until it closes, and
+    its result and one trade count on the day it closes; a refused order changes nothing.
     """
-    spark = bars.sparkSession
-    base = f"{shared_folder(spark)}/serve-{name}-{uuid.uuid4().hex}"
-    schema = bars.schema
-    reach = LOOKBACK[pack.__name__]
+    def step(kept: list, rows: list) -> tuple[list, list]:
+        day, pnl, trades, frees = kept[0] if kept else (-1, 0.0, 0, [])
+        total, frees, out = balance, sorted(tuple(x) for x in frees), []
+        for at, value, close_at, result in rows:
+            while frees and frees[0][0] <= at:
+                end, _, won = frees.pop(0)
+                if end // DAY != day:
+                    day, pnl, trades = end // DAY, 0.0, 0
+                pnl, trades = pnl + won, trades + 1
+            if at // DAY != day:
+                day, pnl, trades = at // DAY, 0.0, 0
+            held = sum(x[1] for x in frees)
+            decision = ("daily loss" if pnl <= -max_loss else "daily trades" if trades >= max_trades
+                        else "exposure" if held >= max_exposure * total else "balance" if total < least_balance else "ok")
+            out.append((at, decision, value, result, pnl, trades, held))
+            if decision == "ok":
+                frees = sorted([*frees, (close_at, value, result)])
+        return [(day, pnl, trades, frees)], out
+
+    return step
+
+
+def daily_guard(orders: DataFrame, balance: float = 10_000.0, max_loss: float = 200.0, max_trades: int = 2, max_exposure: float = 0.8,
+                least_balance: float = 100.0, **times) -> DataFrame:
+    """symbol, at, decision and the day's state before each order (symbol, ts, value, close_at, pnl); see ``guard_step``."""
+    return in_order(orders, guard_step(balance, max_loss, max_trades, max_exposure, least_balance), "value double, close_at bigint, pnl double",
+                    ORDER_STATE, ORDER_OUT, **times)
 
-    def handle(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{base}/bars/batch={number}")
-        edge = batch.agg(F.min("ts")).first()[0]
-        if edge is None:
-            return
-        stored = spark.read.parquet(f"{base}/bars").select(*schema.names)
-        since = F.lit(edge) - F.make_dt_interval(secs=F.lit(reach * bar_seconds * idle))
-        fresh = spark.read.schema(schema).parquet(f"{base}/bars/batch={number}").select("symbol", "ts")
-        recent = stored.where(F.col("ts") >= since)
-        short = recent.where(F.col("ts") < F.lit(edge)).groupBy("symbol").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") < reach).limit(1).count()
-        frame = build(stored if short else recent, pack).drop("_chunk", "_rn")
-        frame.join(fresh, ["symbol", "ts"], "left_semi").write.mode("overwrite").parquet(f"{base}/features/batch={number}")
-
-    (bars.writeStream.foreachBatch(handle).option("checkpointLocation", f"{base}/progress")
-     .trigger(availableNow=True).start().awaitTermination())
-    return f"{base}/features"
 
+def recent_step(reach: int):
+    """Gives out the last ``reach`` rows (fresh 0) before the released ones (fresh 1), and keeps as many."""
+    def step(kept: list, rows: list) -> tuple[list, list]:
+        out = [(*x, 0) for x in kept] + [(*x, 1) for x in rows]
+        return [*kept, *rows][-reach:] if reach else [], out
 
-POSITION_OUT = "symbol string, entry_ts timestamp, exit_ts timestamp, entry_price double, exit_price double, reason string, pnl double"
-POSITION_STATE = "entry_ts timestamp, entry_price double, last_ts timestamp"
+    return step
 
 
-def positions(bars: DataFrame, stop: float = 0.05, target: float = 0.10) -> DataFrame:
-    """One open long per symbol in keyed state: stop and target are tested on every bar, closes are emitted.
+BAR = "open double, high double, low double, close double, volume double"
 
-    A bar closing above its open enters when flat. Bars of one key arrive in any order inside a batch and
-    are sorted; a bar older than the last one seen is ignored.
+
+def serve_features(bars: DataFrame, pack, name: str = "features", idle: int = 400 * 24 * HOUR, **times) -> str:
+    """Features of newly closed bars by the batch expressions over a ring buffer of the bars before them.
+
+    The last bars that the pack can reach are a list state of each symbol, dropped after ``idle`` milliseconds without bars; no bar is
+    read twice from a table. Bars are taken in event-time order (see ``ordered``). Late ones are in the folder beside
+    the features. Batch folders are overwritten on replay, so results are exactly once.
     """
+    base = f"{shared_folder(bars.sparkSession)}/serve-{name}-{uuid.uuid4().hex}"
+    values = [x.split()[0] for x in BAR.split(", ")]
 
-    def step(key, frames, state: GroupState):
-        entry_ts, price, last = state.get if state.exists else (None, None, None)
+    def handle(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()
+        too_late(batch).write.mode("overwrite").parquet(f"{base}/late/batch={number}")
+        rows = on_time(batch).groupBy("symbol", "at").agg(F.max("fresh").alias("fresh"), *[F.first(x).alias(x) for x in values])
+        frame = build(rows.select("symbol", F.timestamp_micros("at").alias("ts"), *values, "fresh"), pack).drop("_chunk", "_rn")
+        frame.where("fresh = 1").drop("fresh").write.mode("overwrite").parquet(f"{base}/features/batch={number}")
+        batch.unpersist()
+
+    stream = in_order(bars, recent_step(LOOKBACK[pack.__name__]), BAR, f"at bigint, {BAR}", f"at bigint, {BAR}, fresh int", idle=idle, **times)
+    (stream.writeStream.foreachBatch(handle).option("checkpointLocation", f"{base}/progress")
+     .trigger(availableNow=True).start().awaitTermination())
+    return f"{base}/features"
+
+
+POSITION_OUT = "entry_at bigint, exit_at bigint, entry_price double, exit_price double, reason string, pnl double"
+
+
+def position_step(stop: float, target: float):
+    def step(kept: list, rows: list) -> tuple[list, list]:
+        entry, price = kept[0] if kept else (None, None)
         out = []
-        for row in pd.concat(list(frames)).sort_values("ts").itertuples():
-            if last is not None and row.ts <= last:
-                continue
-            last = row.ts
+        for at, open_, high, low, close in rows:
             if price is not None:
-                hit = "SL" if row.low <= price * (1 - stop) else "TP" if row.high >= price * (1 + target) else None
+                hit = "SL" if low <= price * (1 - stop) else "TP" if high >= price * (1 + target) else None
                 if hit:
                     left = price * (1 - stop) if hit == "SL" else price * (1 + target)
-                    out.append((key[0], entry_ts, row.ts, price, left, hit, left / price - 1))
-                    entry_ts = price = None
-            elif row.close > row.open:
-                entry_ts, price = row.ts, row.close
-        state.update((entry_ts, price, last))
-        yield pd.DataFrame(out, columns=["symbol", "entry_ts", "exit_ts", "entry_price", "exit_price", "reason", "pnl"])
+                    out.append((entry, at, price, left, hit, left / price - 1))
+                    entry = price = None
+            elif close > open_:
+                entry, price = at, close
+        return [(entry, price)] if price is not None else [], out
 
-    return bars.groupBy("symbol").applyInPandasWithState(step, POSITION_OUT, POSITION_STATE, "append", GroupStateTimeout.NoTimeout)
+    return step
 
 
-def steady_regimes(rows: DataFrame) -> DataFrame:
-    """Majority of the last three regimes per symbol, kept in state."""
+def positions(bars: DataFrame, stop: float = 0.05, target: float = 0.10, **times) -> DataFrame:
+    """One open long per symbol: stop and target are tested on every bar in time order, closes are emitted.
 
-    def step(key, frames, state: GroupState):
-        seen = list(state.get[0]) if state.exists else []
-        out = []
-        for row in pd.concat(list(frames)).sort_values("ts").itertuples():
-            seen = [*seen, row.regime][-3:]
-            major = [r for r in seen if seen.count(r) * 2 > 3]
-            out.append((key[0], row.ts, row.regime, major[0] if major else row.regime))
-        state.update((seen,))
-        yield pd.DataFrame(out, columns=["symbol", "ts", "regime", "steady_regime"])
-
-    return rows.groupBy("symbol").applyInPandasWithState(
-        step, "symbol string, ts timestamp, regime string, steady_regime string", "seen array<string>", "append", GroupStateTimeout.NoTimeout)
+    A bar closing above its open enters when flat. Bars may arrive in any order within ``late``; later ones are given out
+    with ``late_at``.
+    """
+    return in_order(bars, position_step(stop, target), "open double, high double, low double, close double", "entry_at bigint, price double",
+                    POSITION_OUT, **times)
+
+
+def regime_step(kept: list, rows: list) -> tuple[list, list]:
+    out, seen = [], [x[0] for x in kept]
+    for at, regime in rows:
+        seen = [*seen, regime][-3:]
+        major = [r for r in seen if seen.count(r) * 2 > 3]
+        out.append((at, regime, major[0] if major else regime))
+    return [(r,) for r in seen], out
+
+
+def steady_regimes(rows: DataFrame, **times) -> DataFrame:
+    """Majority of the last three regimes per symbol in time order, kept in state."""
+    return in_order(rows, regime_step, "regime string", "regime string", "at bigint, regime string, steady_regime string", **times)
