@@ -138,3 +138,18 @@ def order_problem(quantity: Column, price: Column, max_value: float = 3000.0, mi
         F.when(quantity <= 0, "quantity").when(price <= 0, "price")
         .when(value > max_value, "too large").when(value < min_value, "too small")
     )
+
+
+def admitted(trades, max_loss: float = 200.0, max_trades: int = 2):
+    """Decision on every trade (symbol, ts, entry_rn, pnl) in turn, from the admitted ones of its day; one row a trade.
+
+    A day's trades of one symbol are folded as one short array: no more than its bars.
+    """
+    day = trades.groupBy("symbol", F.date_trunc("day", "ts").alias("_day")).agg(F.sort_array(F.collect_list(F.struct("entry_rn", "ts", "pnl"))).alias("_t"))
+    return day.selectExpr("symbol", f"""inline(aggregate(_t,
+        named_struct('pnl', 0D, 'n', 0L, 'rows', cast(array() AS array<struct<ts: timestamp, decision: string, day_trades: bigint, day_pnl: double>>)),
+        (s, t) -> named_struct(
+            'pnl', s.pnl + if(s.pnl <= {-max_loss}D OR s.n >= {max_trades}, 0D, t.pnl), 'n', s.n + if(s.pnl <= {-max_loss}D OR s.n >= {max_trades}, 0L, 1L),
+            'rows', array_append(s.rows, named_struct('ts', t.ts, 'decision',
+                CASE WHEN s.pnl <= {-max_loss}D THEN 'daily loss' WHEN s.n >= {max_trades} THEN 'daily trades' ELSE 'ok' END, 'day_trades', s.n, 'day_pnl', s.pnl))),
+        s -> s.rows))""")

@@ -510,11 +510,14 @@ def regime_pack(df):
 
 @pack(50)
 def trend_regime(df):
-    """24-bar least-squares slope as percent of price, cut into down / flat / up."""
+    """Bull or bear if both the change over 24 bars and their least-squares slope (by the mean close) point that way."""
     frame = past(W, 24)
-    slope = F.when(F.count("close").over(frame) == 24, F.regr_slope(c("close"), c("_rn")).over(frame))
-    df = df.withColumn("slope_pct", div(slope, "close") * 100)
-    return df.withColumn("trend", F.when(c("slope_pct") > 0.1, "bull").when(c("slope_pct") < -0.1, "bear").otherwise("sideways"))
+    whole = F.count("close").over(frame) == 24
+    df = df.withColumns({
+        "change_24": F.when(whole, div("close", F.first("close").over(frame)) - 1),
+        "slope_24": F.when(whole, div(F.regr_slope(c("close"), c("_rn")).over(frame), F.avg("close").over(frame)))})
+    return df.withColumn("trend", F.when((c("change_24") < -0.02) & (c("slope_24") < -0.0001), "bear").when(
+        (c("change_24") > 0.02) & (c("slope_24") > 0.0001), "bull").otherwise("sideways"))
 
 
 @pack(170)

@@ -43,6 +43,12 @@ class Grid:
         axes = (self.barriers, self.percentiles, self.fees, self.exits, self.directions, self.holds, self.hours, self.sizings)
         return reduce(lambda n, a: n * len(a), axes, 1)
 
+    def entry_rows(self) -> list:
+        return [(p, d, h, a, b) for p in self.percentiles for d in self.directions for h, a, b in self.hours]
+
+    def exit_rows(self) -> list:
+        return [(tp, sl, m, t, h, f, fee, slip) for tp, sl in self.barriers for m, t in self.exits for h in self.holds for f, fee, slip in self.fees]
+
 
 SMALL = Grid(barriers=((2.0, 1.0), (3.0, 1.5)), percentiles=(0.10, 0.20), fees=(("maker", 0.02, 0.01),),
              exits=(("fixed", 1.0), ("trailing", 0.75)), directions=("both", "short"), holds=(12,),
@@ -66,11 +72,11 @@ def scored_frame(bars: DataFrame, hold: int, span: Span = HOURLY) -> DataFrame:
 def entry_signals(frame: DataFrame, thresholds: DataFrame, grid: Grid) -> DataFrame:
     """One row per entry, side and signal configuration; the stronger side wins a conflict."""
     names = {p: f"{int(round(p * 100))}" for p in grid.percentiles}
-    rows = [(p, d, h, a, b) for p in grid.percentiles for d in grid.directions for h, a, b in grid.hours]
+    rows = [(i, *r) for i, r in enumerate(grid.entry_rows())]
     low = names[max(grid.percentiles)]
     df = frame.join(thresholds, "symbol").where(
         (c("atr_14") > 0) & ((c("long_prob") >= c(f"l_{low}")) | (c("short_prob") >= c(f"s_{low}"))))
-    df = df.withColumn("_g", _axis(rows, ["percentile", "direction", "hours", "skip_from", "skip_to"])).select("*", "_g.*")
+    df = df.withColumn("_g", _axis(rows, ["e", "percentile", "direction", "hours", "skip_from", "skip_to"])).select("*", "_g.*")
     cut = lambda kind: reduce(
         lambda a, p: F.when(c("percentile") == p, c(f"{kind}_{names[p]}")).otherwise(a), grid.percentiles, F.lit(None).cast("double"))
     df = df.withColumns({
@@ -91,47 +97,56 @@ def score_thresholds(frame: DataFrame, percentiles) -> DataFrame:
     return cuts.groupBy("symbol").agg(*[side(k, p) for k in ("long_prob", "short_prob") for p in percentiles])
 
 
-RUN = ["symbol", "percentile", "direction", "hours", "tp_mult", "sl_mult", "exit_mode", "trail_mult", "hold", "fee_tier"]
-CONFIG = [*RUN[1:], "kelly", "vol_scale"]
+#: Numbers of a run's entry rule, exit rule and size rule; rows are shuffled by these and named at the end.
+RUN = ["symbol", "e", "x"]
+ENTRY, EXIT, SIZE = ["percentile", "direction", "hours"], ["tp_mult", "sl_mult", "exit_mode", "trail_mult", "hold", "fee_tier"], ["kelly", "vol_scale"]
+CONFIG = [*ENTRY, *EXIT, *SIZE]
 
 
-def sweep_trades(bars: DataFrame, grid: Grid, span: Span = HOURLY) -> DataFrame:
-    """Every trade of every configuration, with compounded capital and the drawdown stop applied."""
+def named(df: DataFrame, grid: Grid) -> DataFrame:
+    """The settings of each run instead of its numbers."""
+    for number, names, rows in (("e", ENTRY, grid.entry_rows()), ("x", EXIT, grid.exit_rows()), ("z", SIZE, list(grid.sizings))):
+        at = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, r)]) for r in rows])
+        df = df.withColumn("_s", F.element_at(at, c(number) + 1)).withColumns({n: c(f"_s.{n}") for n in names}).drop("_s", number)
+    return df
+
+
+def _numbered_trades(bars: DataFrame, grid: Grid, span: Span) -> DataFrame:
     hold = max(grid.holds)
     frame = cut_lineage(scored_frame(bars, hold, span))
     slim = frame.select("symbol", "long_prob", "short_prob", "atr_pct")
-    entries = cut_lineage(entry_signals(frame.drop("_future"), score_thresholds(slim, grid.percentiles), grid))
+    entries = cut_lineage(entry_signals(frame.drop("_future"), score_thresholds(slim, grid.percentiles), grid).select("symbol", "entry_rn", "side", "e"))
 
-    exit_rows = [(tp, sl, m, t, h, f, fee, slip)
-                 for tp, sl in grid.barriers for m, t in grid.exits for h in grid.holds for f, fee, slip in grid.fees]
     candidates = entries.select("symbol", "entry_rn", "side").distinct().join(
         frame.select("symbol", "entry_rn", "ts", "close", "atr_14", "atr_pct", "_future"), ["symbol", "entry_rn"])
-    candidates = candidates.withColumn("_x", _axis(
-        exit_rows, ["tp_mult", "sl_mult", "exit_mode", "trail_mult", "hold", "fee_tier", "fee", "slip"])).select("*", "_x.*").drop("_x")
+    candidates = candidates.withColumn("_x", _axis([(i, *r) for i, r in enumerate(grid.exit_rows())], ["x", *EXIT, "fee", "slip"])).select("*", "_x.*").drop("_x")
     candidates = candidates.withColumns({
         "entry_price": c("close") * (1 + c("side") * c("slip") / 100), "atr_entry": c("atr_14"),
         "cost": 2 * (c("fee") + c("slip")) / 100,
     })
     exits = T.resolve_exits(candidates).select(
-        "symbol", "entry_rn", "side", "ts", "atr_pct", "entry_price", "atr_entry", "cost", "bars_held", "reason",
-        "gross_ret", "funding_ret", "tp_mult", "sl_mult", "exit_mode", "trail_mult", "hold", "fee_tier")
-    runs = cut_lineage(entries.select("symbol", "entry_rn", "side", "percentile", "direction", "hours").join(
-        exits, ["symbol", "entry_rn", "side"]))
-    taken = T.one_at_a_time(runs, RUN, hold, grid.cooldown).where("bars_held is not null")
+        "symbol", "entry_rn", "side", "x", "ts", "atr_pct", "entry_price", "atr_entry", "sl_mult", "cost", "bars_held", "reason", "gross_ret", "funding_ret")
+    # Rows of a run meet by its numbers first; what the trades look like is joined to those that are taken.
+    runs = cut_lineage(exits)
+    taken = T.one_at_a_time(entries.join(runs.select("symbol", "entry_rn", "side", "x", "bars_held"), ["symbol", "entry_rn", "side"]), RUN, hold, grid.cooldown)
+    taken = taken.where("bars_held is not null").drop("bars_held").join(runs, ["symbol", "entry_rn", "side", "x"])
 
     median = quantiles(slim, "atr_pct", {"atr_median": 0.5}, ["symbol"])
-    sized = taken.join(median, "symbol").withColumn("_z", _axis(list(grid.sizings), ["kelly", "vol_scale"])).select("*", "_z.*").drop("_z")
+    sized = taken.join(median, "symbol").withColumn("_z", _axis([(i, *r) for i, r in enumerate(grid.sizings)], ["z", *SIZE])).select("*", "_z.*").drop("_z")
     kelly = T.half_kelly(F.lit(grid.win_rate), F.lit(grid.payoff))
     risk = F.when(c("kelly"), kelly).otherwise(grid.risk) * F.when(
         c("vol_scale"), T.volatility_scale(c("atr_pct"), c("atr_median"))).otherwise(1.0)
     sized = sized.withColumn("share", T.risk_fraction(risk)).withColumn(
-        "growth", c("share") * (c("gross_ret") + c("funding_ret") - c("cost")))
-    key = ["symbol", *CONFIG]
-    curve = cut_lineage(T.trade_equity(cut_lineage(sized), "growth", key, grid.capital))
-    curve = curve.withColumn("pnl", c("capital") - div("capital", 1 + c("growth")))
-    return clean(T.stop_at_drawdown(curve, key, capital=grid.capital))
+        "growth", c("share") * (c("gross_ret") + c("funding_ret") - c("cost"))).drop("sl_mult", *SIZE)
+    return clean(T.account_curve(cut_lineage(sized), "growth", [*RUN, "z"], grid.capital))
+
+
+def sweep_trades(bars: DataFrame, grid: Grid, span: Span = HOURLY) -> DataFrame:
+    """Every trade of every configuration, with compounded capital and the drawdown stop applied."""
+    return named(_numbered_trades(bars, grid, span), grid)
 
 
 def sweep(bars: DataFrame, grid: Grid = Grid(), span: Span = HOURLY) -> DataFrame:
     """One row of statistics per symbol and configuration."""
-    return T.trade_stats(sweep_trades(bars, grid, span), ["symbol", *CONFIG], grid.capital)
+    stats = T.trade_stats(_numbered_trades(bars, grid, span), [*RUN, "z"], grid.capital)
+    return named(stats, grid).select("symbol", *CONFIG, *[x for x in stats.columns if x not in (*RUN, "z")])

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barloom.functions.rolling import ahead, c, div, flag, lag, lead
 from barloom.operators.chunks import HOURLY, SharedWindow, Span, chunked, owned, prefix
@@ -163,30 +168,95 @@ def resolve_exits(df: DataFrame) -> DataFrame:
     ).drop("_exit", "_tp", "_sl", "_gap", "_future")
 
 
+class _Parts:
+    """Whole (run, part) groups of an Arrow table sorted by row number, and for every entry the next one it leaves free."""
+
+    PLACE = 1 << 40  # row numbers are below it
+
+    def __init__(self, table: pa.Table):
+        self.first = np.flatnonzero(table["_first"].to_numpy(zero_copy_only=False))
+        self.end = np.append(self.first[1:], table.num_rows)
+        self.group = np.repeat(np.arange(len(self.first)), self.end - self.first)
+        self.rn, self.free = (table[x].to_numpy(zero_copy_only=False).astype(np.int64) for x in ("entry_rn", "_free"))
+        self.order = self.group * self.PLACE + self.rn
+        self.next = self.find(self.group, self.free)
+
+    def find(self, group: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """The first entry of a group at or after a row number; the number of entries if there is none."""
+        at = np.searchsorted(self.order, group * self.PLACE + np.minimum(place, self.PLACE - 1))
+        return np.where(at < self.end[group], at, len(self.rn))
+
+    def leaving(self) -> np.ndarray:
+        """The row from which the account is free after the part, if it takes the entry: links are doubled until all have ended."""
+        here = np.arange(len(self.rn))
+        last = np.where(self.next < len(here), self.next, here)
+        while True:
+            further = last[last]
+            if np.array_equal(further, last):
+                return self.free[last]
+            last = further
+
+    def taken(self, free: np.ndarray) -> np.ndarray:
+        """Which entries are taken if the account of each group is free from row ``free``; all groups go on hand in hand."""
+        kept = np.zeros(len(self.rn), bool)
+        at = self.find(np.arange(len(self.first)), free)
+        while len(at := at[at < len(kept)]):
+            kept[at] = True
+            at = self.next[at]
+        return kept
+
+
+def _by_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole groups: a row with ``_first`` begins one, and a group may reach over batches."""
+    held: list = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        begins = np.flatnonzero(batch.column("_first").to_numpy(zero_copy_only=False))
+        if len(begins):
+            if held or begins[-1]:
+                yield pa.Table.from_batches([*held, batch.slice(0, begins[-1])]).combine_chunks()
+            held = [batch.slice(begins[-1])]
+        else:
+            held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def one_at_a_time(entries: DataFrame, key, max_hold: int, cooldown: int = 0) -> DataFrame:
     """Keep the entries a trader holding one position at a time would take.
 
-    ``entry_rn`` and ``bars_held`` (NULL: never closes) say when each entry frees the account. The
-    account state at a chunk edge is "free from row x", and x is less than ``max_hold`` + cooldown
-    rows past the edge, so each chunk is folded for every possible state in parallel, the chunk
-    results are chained, and each chunk is replayed with its true state.
+    ``entry_rn`` and ``bars_held`` (NULL: never closes) say when each entry frees the account. Every entry links to the next one
+    after that row; links are doubled inside parts of ROWS_PER_PART rows. The account state at the edge of a part is "free from row
+    x", and x is less than ``max_hold`` + cooldown rows past the edge, so a part is a table of that many states. These tables are
+    chained along a run, and each part is gone through with its true state. The work is linear in the entries.
     """
-    key = list(key)
+    key, names = list(key), entries.columns
     reach = max_hold + cooldown + 1
+    group = [*key, "_part"]
     free = F.coalesce(c("entry_rn") + c("bars_held") + 1 + cooldown, F.lit(NEVER))
-    payload = [x for x in entries.columns if x not in key and x != "entry_rn"]
-    parts = (
-        entries.withColumn("_part", F.floor(c("entry_rn") / F.lit(ROWS_PER_PART)).cast("bigint"))
-        .withColumn("_item", F.struct(c("entry_rn").cast("bigint").alias("rn"), free.cast("bigint").alias("free"), F.struct(*payload).alias("row")))
-        .groupBy(*key, "_part").agg(F.array_sort(F.collect_list("_item"), lambda a, b: (a["rn"] - b["rn"]).cast("int")).alias("_items"))
-    )
-    edge = c("_part") * ROWS_PER_PART
-    after = F.transform(
-        F.sequence(F.lit(0), F.lit(reach)),
-        lambda o: F.aggregate("_items", (edge + o).cast("bigint"),
-                              lambda a, e: F.when(e["rn"] >= a, e["free"]).otherwise(a)))
-    summary = parts.select(*key, F.struct(c("_part").alias("part"), after.alias("after")).alias("_s"))
-    chain = summary.groupBy(*key).agg(F.sort_array(F.collect_list("_s")).alias("_chain"))
+    placed = entries.withColumns({
+        "entry_rn": c("entry_rn").cast("bigint"), "_free": free.cast("bigint"),
+        "_part": F.floor(c("entry_rn") / F.lit(ROWS_PER_PART)).cast("bigint")})
+    first = F.row_number().over(Window.partitionBy(*group).orderBy("entry_rn")) == 1
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _by_groups(batches):
+            parts = _Parts(table)
+            out = parts.leaving()
+            groups = np.arange(len(parts.first))
+            edge = parts.rn[parts.first] // ROWS_PER_PART * ROWS_PER_PART
+            states = edge[:, None] + np.arange(reach + 1)
+            at = parts.find(np.repeat(groups, reach + 1), states.ravel())
+            after = np.where(at < len(out), out[np.minimum(at, len(out) - 1)], states.ravel())
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(groups) + 1) * (reach + 1), pa.int32()), pa.array(after))
+            rows = table.select(group).take(pa.array(parts.first))
+            yield from rows.append_column("after", lists).to_batches()
+
+    slim = placed.select(*group, "entry_rn", "_free").withColumn("_first", first)
+    fields = [f for f in placed.schema.fields if f.name in group]
+    summary = slim.mapInArrow(summed, T.StructType([*sorted(fields, key=lambda f: group.index(f.name)), T.StructField("after", T.ArrayType(T.LongType()))]))
+    chain = summary.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(c("_part").alias("part"), "after"))).alias("_chain"))
     start = F.struct(F.lit(0).cast("bigint").alias("free"), F.expr("cast(array() as array<struct<part: bigint, free: bigint>>)").alias("seen"))
 
     def link(a, s):
@@ -196,16 +266,16 @@ def one_at_a_time(entries: DataFrame, key, max_hold: int, cooldown: int = 0) ->
         return F.struct(left.alias("free"), seen.alias("seen"))
 
     states = chain.select(*key, F.explode(F.aggregate("_chain", start, link, lambda a: a["seen"])).alias("_s")).select(
-        *key, c("_s.part").alias("_part"), c("_s.free").alias("_free"))
-
-    joined = parts.join(states, [*key, "_part"])
-    begin = F.struct(c("_free").alias("free"), F.slice("_items", 1, 0).alias("kept"))
+        *key, c("_s.part").alias("_part"), c("_s.free").alias("_in"))
 
-    def replay(a, e):
-        return F.when(e["rn"] >= a["free"], F.struct(e["free"].alias("free"), F.array_append(a["kept"], e).alias("kept"))).otherwise(a)
+    def gone_through(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _by_groups(batches):
+            parts = _Parts(table)
+            kept = parts.taken(table["_in"].to_numpy(zero_copy_only=False).astype(np.int64)[parts.first])
+            yield from table.select(names).filter(pa.array(kept)).to_batches()
 
-    kept = joined.select(*key, F.explode(F.aggregate("_items", begin, replay, lambda a: a["kept"])).alias("_e"))
-    return kept.select(*key, c("_e.rn").alias("entry_rn"), "_e.row.*")
+    joined = placed.join(states, group).withColumn("_first", first)
+    return joined.mapInArrow(gone_through, placed.select(*names).schema)
 
 
 # --- sizing, equity, statistics -------------------------------------------------------------
@@ -243,6 +313,34 @@ def stop_at_drawdown(df: DataFrame, key, limit: float = 0.10, capital: float = 2
     return df.where("_earlier = 0").withColumn("dd", (c("peak") - c("capital")) / (c("peak") + 1e-10)).drop("_broke", "_earlier")
 
 
+def account_curve(trades: DataFrame, growth: str, key, capital: float = 25_000.0, limit: float = 0.10, order: str = "entry_rn") -> DataFrame:
+    """``capital``, ``pnl``, ``peak`` and ``dd`` of each trade, up to and including the first that breaches the drawdown limit.
+
+    Equals ``trade_equity`` followed by ``stop_at_drawdown`` with one scan for both: a part of a run is the sum of its log factors and
+    their highest running sum, and these compose. A factor of zero or less is a breach, so nothing after it matters. ``trades`` is
+    read twice: give a written table.
+    """
+    key = list(key)
+    rows = trades.withColumn("_chunk", F.floor(c(order) / F.lit(ROWS_PER_PART)).cast("bigint")).withColumn("_f", 1 + c(growth))
+    log = F.when(c("_f") > 0, F.ln("_f")).otherwise(0.0)
+    w = Window.partitionBy(*key, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_sum", F.sum(log).over(w)).withColumn("_top", F.max("_sum").over(w))
+    parts = rows.groupBy(*key, "_chunk").agg(F.max_by("_sum", order).alias("_s"), F.max("_sum").alias("_t"))
+    before = Window.partitionBy(*key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("_in", F.coalesce(F.sum("_s").over(before), F.lit(0.0)))
+    parts = parts.withColumn("_high", F.greatest(F.coalesce(F.max(c("_in") + c("_t")).over(before), F.lit(0.0)), F.lit(0.0)))
+    rows = rows.join(parts.select(*key, "_chunk", "_in", "_high"), [*key, "_chunk"])
+    rows = rows.withColumns({
+        "capital": capital * F.exp(c("_in") + c("_sum")) * F.when(c("_f") > 0, 1.0).otherwise(c("_f")),
+        "peak": capital * F.exp(F.greatest(c("_high"), c("_in") + c("_top")))})
+    rows = rows.withColumn("_broke", F.when(c("capital") < c("peak") * (1 - limit), c(order)))
+    broke = rows.groupBy(*key).agg(F.min("_broke").alias("_stop"))
+    rows = rows.join(broke, key).where(c("_stop").isNull() | (c(order) <= c("_stop")))
+    return rows.withColumns({
+        "pnl": c("capital") - F.when(c("_f") != 0, c("capital") / c("_f")), "dd": (c("peak") - c("capital")) / (c("peak") + 1e-10),
+    }).drop("_chunk", "_f", "_sum", "_top", "_in", "_high", "_broke", "_stop")
+
+
 def trade_stats(trades: DataFrame, key, capital: float = 25_000.0, order: str = "entry_rn") -> DataFrame:
     """Per run: counts by side and reason, win rate, profit factor, drawdown, Sharpe."""
     won, lost = F.when(c("pnl") > 0, c("pnl")), F.when(~(c("pnl") > 0), c("pnl"))

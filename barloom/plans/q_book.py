@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barloom.functions import book as K
@@ -16,26 +15,25 @@ LARGE = 80.0
 
 
 def snapshots(spark, folder):
-    """One snapshot per symbol and hour: levels of 0.2% around the mean price, sizes from that hour's ticks.
+    """One snapshot per symbol and hour from all its ticks: levels of 0.2% around the mean price, sizes summed.
 
-    The 50 levels come from the newest ticks; per-hour top-n keeps every group small.
+    A tick rests at the level that its number names. Ticks are summed per level before they move, so a snapshot has LEVELS levels at most,
+    however many ticks an hour has.
     """
-    hour = F.date_trunc("hour", "ts")
-    ticks = B.ticks(spark, folder).withColumn("ts", hour)
-    newest = Window.partitionBy("symbol", "ts").orderBy(F.desc("ord"))
-    levels = ticks.withColumn("i", F.row_number().over(newest)).where(F.col("i") <= LEVELS)
-    mids = ticks.groupBy("symbol", "ts").agg((F.avg("price") * 10).alias("mid"))
-    rows = levels.join(mids, ["symbol", "ts"])
-    size = {-1: c("qty"), 1: (c("qty") * 7) % 101}
-    side = lambda s: F.sort_array(F.collect_list(F.struct("i", (c("mid") * F.exp(s * 0.002 * c("i"))).alias("price"), size[s].alias("qty"))))
-    strip = lambda xs: F.transform(xs, lambda x: F.struct(x["price"].alias("price"), x["qty"].alias("qty")))
-    return rows.groupBy("symbol", "ts").agg(side(-1).alias("b"), side(1).alias("a")).select(
-        "symbol", "ts", strip(c("b")).alias("bids"), strip(c("a")).alias("asks"))
+    ticks = B.ticks(spark, folder).withColumn("ts", F.date_trunc("hour", "ts"))
+    levels = ticks.groupBy("symbol", "ts", (c("ord") % LEVELS + 1).alias("i")).agg(
+        F.sum("qty").alias("bid"), F.sum((c("qty") * 7) % 101).alias("ask"), F.sum("price").alias("_p"), F.count(F.lit(1)).alias("_n"))
+    books = levels.groupBy("symbol", "ts").agg(
+        F.sort_array(F.collect_list(F.struct("i", "bid", "ask"))).alias("_l"), (F.sum("_p") / F.sum("_n") * 10).alias("mid"))
+    side = lambda s, size: F.transform("_l", lambda x: F.struct((c("mid") * F.exp(s * 0.002 * x["i"])).alias("price"), x[size].alias("qty")))
+    return books.select("symbol", "ts", side(-1, "bid").alias("bids"), side(1, "ask").alias("asks"))
 
 
 BOOK = [("tk", "SELECT symbol, date_trunc('hour', ts) AS ts, ord, price, qty FROM ticks"),
-        ("lv", f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol, ts ORDER BY ord DESC) AS i, avg(price) OVER (PARTITION BY symbol, ts) * 10 AS mid FROM tk) WHERE i <= {LEVELS}"),
-        ("bk", "SELECT symbol, ts, i, qty, (qty * 7) % 101 AS aq, mid * exp(-0.002::DOUBLE * i) AS bp, mid * exp(0.002::DOUBLE * i) AS ap, (mid * exp(-0.002::DOUBLE) + mid * exp(0.002::DOUBLE)) / 2 AS m FROM lv")]
+        ("md", "SELECT symbol, ts, avg(price) * 10 AS mid FROM tk GROUP BY 1, 2"),
+        ("lv", f"SELECT symbol, ts, ord % {LEVELS} + 1 AS lvl, sum(qty) AS qty, sum((qty * 7) % 101) AS aq FROM tk GROUP BY 1, 2, 3"),
+        ("bl", "SELECT lv.*, row_number() OVER (PARTITION BY lv.symbol, lv.ts ORDER BY lvl) AS i, mid * exp(-0.002::DOUBLE * lvl) AS bp, mid * exp(0.002::DOUBLE * lvl) AS ap FROM lv JOIN md USING (symbol, ts)"),
+        ("bk", "SELECT *, (max(bp) OVER (PARTITION BY symbol, ts) + min(ap) OVER (PARTITION BY symbol, ts)) / 2 AS m FROM bl")]
 
 
 def booked(name, exprs, ints="", nums=""):

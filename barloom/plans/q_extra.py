@@ -78,7 +78,7 @@ def custom_rolling(spark, folder):
 @query("sweep_rollup")
 def sweep_rollup(spark, folder):
     """Runs and profitable runs by every combination of direction and exit mode."""
-    runs = cut_lineage(S.sweep(bars_with_funding(spark, folder), S.SMALL))
+    runs = cut_lineage(S.sweep(bars_with_funding(spark, folder), S.Grid()))
     df = runs.cube("direction", "exit_mode").agg(
         F.count(F.lit(1)).alias("n_runs"), F.sum(flag(c("profit_factor") > 1)).alias("n_profitable"), F.avg("win_rate").alias("win_rate"),
         F.max_by("tp_mult", "profit_factor").alias("best_target"))
@@ -89,6 +89,6 @@ def sweep_rollup(spark, folder):
 def sweep_top(spark, folder):
     """Best three configurations per symbol by profit factor among runs with enough trades."""
     from pyspark.sql import Window
-    runs = cut_lineage(S.sweep(bars_with_funding(spark, folder), S.SMALL)).where("n_trades >= 10")
+    runs = cut_lineage(S.sweep(bars_with_funding(spark, folder), S.Grid())).where("n_trades >= 10")
     w = Window.partitionBy("symbol").orderBy(F.desc_nulls_last("profit_factor"), *S.CONFIG)
     return report(runs.withColumn("place", F.row_number().over(w)).where("place <= 3").select("symbol", "place", *S.CONFIG, "n_trades", "profit_factor"))

@@ -267,9 +267,9 @@ packed("regime_pack", X.regime_pack, steps=[*RSI_STEPS, RG], body=alias({
 
 packed("trend_regime", X.trend_regime, keys="symbol trend", steps=[
     ("n", alias({"rn": f"row_number() OVER ({P}) - 1"})),
-    ("s", alias({"slope_pct": f"CASE WHEN {roll('count', 'close', 24)} = 24 THEN regr_slope(close, rn) OVER ({P} ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) END / close * 100"}, "n"))],
-    body=alias({"trend": "CASE WHEN slope_pct > 0.1 THEN 'bull' WHEN slope_pct < -0.1 THEN 'bear' ELSE 'sideways' END"}, "s"),
-    nums="slope_pct")
+    ("s", f"SELECT *, CASE WHEN count(close) OVER w = 24 THEN close / first_value(close) OVER w - 1 END AS change_24, CASE WHEN count(close) OVER w = 24 THEN regr_slope(close, rn) OVER w / avg(close) OVER w END AS slope_24 FROM n WINDOW w AS ({P} ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)")],
+    body=alias({"trend": "CASE WHEN change_24 < -0.02 AND slope_24 < -0.0001 THEN 'bear' WHEN change_24 > 0.02 AND slope_24 > 0.0001 THEN 'bull' ELSE 'sideways' END"}, "s"),
+    nums="change_24 slope_24")
 
 packed("interactions", X.interactions, steps=[*IMB, ("rr", f"SELECT *, ln(close / {lag('close')}) AS r, 0.5 * ln(high / low) ^ 2 - {2 * math.log(2) - 1} * ln(close / open) ^ 2 AS g FROM bs"),
     ("i", alias({"imb": "(bv - sv) / (bv + sv + 1e-10)", "gm": full("avg", "g", 24),

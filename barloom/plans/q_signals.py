@@ -149,19 +149,18 @@ def risk_levels(spark, folder):
                             G.position_size(F.lit(10_000.0), c("close"), c("long_prob")).alias("quantity")), "symbol", "regime", "ts", "stop_price:7", "target_price:7", "quantity")
 
 
-ADMIT = [("tx", "SELECT *, ts + bars_held * INTERVAL 1 HOUR AS xts, date_trunc('day', ts)::TIMESTAMP AS day FROM tq"),
-         ("ad", "SELECT *, coalesce(sum(pnl) OVER w, 0) AS day_pnl, count(*) OVER w AS day_trades FROM tx WINDOW w AS (PARTITION BY symbol, day ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"),
-         ("out_", "SELECT symbol, ts, CASE WHEN day_pnl <= -200 THEN 'daily loss' WHEN day_trades >= 2 THEN 'daily trades' ELSE 'ok' END AS decision, day_trades, day_pnl FROM ad")]
+_DECIDED = "CASE WHEN {p} <= -200 THEN 'daily loss' WHEN {n} >= 2 THEN 'daily trades' ELSE 'ok' END"
+ADMIT = [("tx", "SELECT symbol, ts, pnl, date_trunc('day', ts) AS day, row_number() OVER (PARTITION BY symbol, date_trunc('day', ts) ORDER BY rn) AS i FROM tq"),
+         ("ad", f"""SELECT symbol, day, i, ts, 'ok' AS decision, 0::BIGINT AS day_trades, 0::DOUBLE AS day_pnl, 1::BIGINT AS n, pnl::DOUBLE AS p FROM tx WHERE i = 1
+  UNION ALL SELECT t.symbol, t.day, t.i, t.ts, {_DECIDED.format(p='a.p', n='a.n')}, a.n, a.p, a.n + ({_DECIDED.format(p='a.p', n='a.n')} = 'ok')::INT, a.p + CASE WHEN {_DECIDED.format(p='a.p', n='a.n')} = 'ok' THEN t.pnl ELSE 0 END
+  FROM ad a JOIN tx t ON t.symbol = a.symbol AND t.day = a.day AND t.i = a.i + 1""")]
 
 
-@query("trade_admission", equity_sql(*ADMIT, out=cols("out_", keys="symbol decision", ints="day_trades", nums="day_pnl:3")))
+@query("trade_admission", equity_sql(*ADMIT, out=cols("ad", keys="symbol decision", ints="day_trades", nums="day_pnl:3")))
 def trade_admission(spark, folder):
-    from pyspark.sql import Window
+    """Admission by the day's result and trades so far; a refused trade changes neither."""
     trades, _ = one_run(spark, folder)
-    w = Window.partitionBy("symbol", F.date_trunc("day", "ts")).orderBy("entry_rn").rowsBetween(Window.unboundedPreceding, -1)
-    df = trades.withColumns({"day_pnl": F.coalesce(F.sum("pnl").over(w), F.lit(0.0)), "day_trades": F.count(F.lit(1)).over(w)})
-    decision = F.when(c("day_pnl") <= -200, "daily loss").when(c("day_trades") >= 2, "daily trades").otherwise("ok")
-    return report(df.withColumn("decision", decision), "symbol", "decision", "ts", "day_trades", "day_pnl:3")
+    return report(G.admitted(trades), "symbol", "decision", "ts", "day_trades", "day_pnl:3")
 
 
 @query("order_validation", sql("ticks", ("out_", "SELECT symbol, CASE WHEN qty <= 0 THEN 'quantity' WHEN price <= 0 THEN 'price' WHEN qty * price > 3000 THEN 'too large' WHEN qty * price < 5 THEN 'too small' ELSE 'ok' END AS verdict, count(*) AS n FROM ticks GROUP BY 1, 2"),

@@ -279,17 +279,26 @@ def sweep_small(spark, folder):
     return report(S.sweep(bars_with_funding(spark, folder), S.SMALL))
 
 
+@query("sweep_full")
+def sweep_full(spark, folder):
+    """All 7,680 configurations, every symbol."""
+    return report(S.sweep(bars_with_funding(spark, folder), S.Grid()))
+
+
 # --- MAE/MFE grid ---------------------------------------------------------------------------
 
-SL_RANGE = (1.0, 2.0, 3.0, 5.0, 8.0)
-TP_RANGE = (2.0, 3.0, 4.0, 6.0, 10.0)
+# Stops and targets of the grid, in percent, and those of the grid by volatility.
+SL_RANGE = (0.5, 1.0, 1.5, 2.0, 2.5, 3.0, 3.5, 4.0, 4.5, 5.0, 6.0, 7.0, 8.0)
+TP_RANGE = (1.0, 1.5, 2.0, 2.5, 3.0, 4.0, 5.0, 6.0, 7.0, 8.0, 10.0, 12.0, 15.0)
+VOL_SL = (1.0, 1.5, 2.0, 2.5, 3.0, 3.5, 4.0, 5.0)
+VOL_TP = (2.0, 3.0, 4.0, 5.0, 6.0, 7.0, 8.0, 10.0)
 GRID_INTS = "total_trades wins losses premature_stops"
 GRID_NUMS = "sl_pct tp_pct reward_risk win_rate profit_factor expectancy premature_pct total_profit total_loss net_profit"
 
 
-def grid_sql(key):
+def grid_sql(key, stops=SL_RANGE, targets=TP_RANGE):
     k = f"{key}, " if key else ""
-    return [("gv", f"SELECT {k}sl_pct, tp_pct, mae <= -sl_pct AS lost, mae > -sl_pct AND mfe >= tp_pct AS won, mae <= -sl_pct AND mfe >= tp_pct AS early FROM exc, (SELECT unnest({list(SL_RANGE)})::DOUBLE AS sl_pct), (SELECT unnest({list(TP_RANGE)})::DOUBLE AS tp_pct) WHERE mae IS NOT NULL"),
+    return [("gv", f"SELECT {k}sl_pct, tp_pct, mae <= -sl_pct AS lost, mae > -sl_pct AND mfe >= tp_pct AS won, mae <= -sl_pct AND mfe >= tp_pct AS early FROM exc, (SELECT unnest({list(stops)})::DOUBLE AS sl_pct), (SELECT unnest({list(targets)})::DOUBLE AS tp_pct) WHERE mae IS NOT NULL"),
             ("gc", f"SELECT {k}sl_pct, tp_pct, sum(won::INT) AS wins, sum(lost::INT) AS losses, sum(early::INT) AS premature_stops FROM gv GROUP BY ALL"),
             ("gr", """SELECT *, wins + losses AS total_trades, tp_pct / sl_pct AS reward_risk, wins / (wins + losses) AS win_rate,
   CASE WHEN losses > 0 THEN wins * tp_pct / (losses * sl_pct) ELSE 0 END AS profit_factor, wins / (wins + losses) * tp_pct - (1 - wins / (wins + losses)) * sl_pct AS expectancy,
@@ -308,10 +317,10 @@ VOLQ = [("ra", alias({"tr": TR}, "bars")), ("rb", alias({"ap": f"{full('avg', 't
         ("exc", f"SELECT r.*, CASE WHEN ap < lo THEN 'low' WHEN ap < hi THEN 'normal' WHEN ap >= hi THEN 'high' END AS regime, " + EXC[1].split("*, ", 1)[1].replace("FROM bars", "FROM rb r JOIN rq USING (symbol)").replace(P, P.replace("symbol", "r.symbol")))]
 
 
-@query("sltp_by_vol", sql("bars", *VOLQ, *grid_sql("regime"), ("out_", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY regime ORDER BY expectancy DESC, sl_pct, tp_pct) AS p FROM gr WHERE regime IS NOT NULL) WHERE p = 1"),
+@query("sltp_by_vol", sql("bars", *VOLQ, *grid_sql("regime", VOL_SL, VOL_TP), ("out_", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY regime ORDER BY expectancy DESC, sl_pct, tp_pct) AS p FROM gr WHERE regime IS NOT NULL) WHERE p = 1"),
     out=cols("out_", keys="regime", ts="", ints="total_trades wins losses", nums="sl_pct tp_pct win_rate profit_factor expectancy")))
 def sltp_by_vol(spark, folder):
     from barloom.operators.labels import excursions
     bars = X.features(B.stored_bars(spark, folder), X.atr)
-    best = T.best_by_regime(T.sltp_grid(T.volatility_buckets(excursions(bars)), SL_RANGE, TP_RANGE, ["regime"]))
+    best = T.best_by_regime(T.sltp_grid(T.volatility_buckets(excursions(bars)), VOL_SL, VOL_TP, ["regime"]))
     return report(best, "regime", "total_trades", "wins", "losses", "sl_pct", "tp_pct", "win_rate", "profit_factor", "expectancy")

@@ -117,3 +117,42 @@ def test_partial_exit_takes_half(spark):
     df = df.withColumns({"tp_mult": F.lit(5.0), "sl_mult": F.lit(1.0), "hold": F.lit(5), "trail_mult": F.lit(1.0)})
     row = T.with_partial(df).first()
     assert row["partial_taken"] == 1 and row["reason"] == "SL" and abs(row["total_ret"] - 0.01) < 1e-12
+
+
+def test_one_position_of_many_runs_equals_a_loop(spark):
+    """Links over several parts, entries that never close, empty parts, and runs that reach over Arrow batches."""
+    rng = np.random.default_rng(8)
+    rows, want = [], set()
+    for run in range(60):
+        at = np.unique(rng.integers(0, 512 * 6, rng.integers(1, 900)))
+        at = at[(at < 900) | (at > 2000)] if run % 3 else at
+        held = rng.integers(1, 19, len(at)).astype(object)
+        if run % 7 == 0 and len(at):
+            held[-1] = None
+        free = 0
+        for a, h in zip(at.tolist(), held.tolist()):
+            rows.append((run, a, h, f"t{a}"))
+            if a >= free:
+                want.add((run, a, h, f"t{a}"))
+                free = a + h + 1 + 2 if h else 1 << 50
+    df = spark.createDataFrame(rows, "run int, entry_rn long, bars_held int, tag string").repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "97")
+    try:
+        got = {(r.run, r.entry_rn, r.bars_held, r.tag) for r in T.one_at_a_time(df, ["run"], 18, 2).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == want
+    assert T.one_at_a_time(df.where("false"), ["run"], 18, 2).collect() == []
+
+
+def test_account_curve_equals_two_scans(spark):
+    rng = np.random.default_rng(9)
+    rows = [(run, int(a), float(g)) for run in range(20) for a, g in zip(np.sort(rng.choice(4000, 300, replace=False)), rng.normal(0.001, 0.02, 300))]
+    rows += [(99, 1, 0.5), (99, 700, -1.5), (99, 1400, 0.3), (98, 5, -1.0), (98, 6, 0.1)]
+    df = spark.createDataFrame(rows, "run int, entry_rn long, growth double").cache()
+    two = T.stop_at_drawdown(T.trade_equity(df, "growth", ["run"], 25_000.0), ["run"])
+    pick = lambda x: {(r.run, r.entry_rn): (r.capital, r.peak, r.dd) for r in x.select("run", "entry_rn", "capital", "peak", "dd").collect()}
+    one, other = pick(T.account_curve(df, "growth", ["run"])), pick(two)
+    assert one.keys() == other.keys() and len(one) < len(rows)
+    for k, v in one.items():
+        np.testing.assert_allclose(v, other[k], rtol=1e-9, atol=1e-6)
