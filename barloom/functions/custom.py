@@ -26,3 +26,30 @@ def rolling_apply(fn: Callable[[pd.Series], float], x, n: int, w) -> Column:
 def per_chunk(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str, key=("symbol",)) -> DataFrame:
     """An ordered user kernel on every chunk of a chunked frame; halo rows give it its warm-up."""
     return df.groupBy(*key, "_chunk").applyInPandas(lambda part: fn(part.sort_values("_rn")), schema)
+
+
+def ordered_kernel(df: DataFrame, kernel: type, schema: str, key, order) -> DataFrame:
+    """A sequential user kernel as a table function: one instance per ``key``, rows come in ``order`` one by one.
+
+    ``kernel.eval(row)`` yields output tuples and keeps its state in the instance, so a key costs the memory of its state, not of its rows.
+    A key is one task's work: choose one that bounds it, such as symbol and day.
+    """
+    return F.udtf(kernel, returnType=schema)(df.asTable().partitionBy(*key).orderBy(*order))
+
+
+def cusum(limit: float) -> type:
+    """Kernel of two running sums of ``r``, one above and one below zero; leaving the band is an event and restarts that sum."""
+    class Cusum:
+        def __init__(self):
+            self.up = self.down = 0.0
+
+        def eval(self, row):
+            self.up, self.down = max(0.0, self.up + row["r"]), min(0.0, self.down + row["r"])
+            if self.up > limit:
+                self.up = 0.0
+                yield row["symbol"], row["ts"], 1
+            elif self.down < -limit:
+                self.down = 0.0
+                yield row["symbol"], row["ts"], -1
+
+    return Cusum

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from barloom.functions.rolling import ahead, c, div, flag, lag, lead
 from barloom.operators.chunks import HOURLY, SharedWindow, Span, chunked, owned, prefix
+from barloom.session import cut_lineage
 
 W = SharedWindow()
 NEVER = 9_000_000_000_000_000_000
@@ -357,6 +358,16 @@ def trade_stats(trades: DataFrame, key, capital: float = 25_000.0, order: str =
     )
 
 
+def return_stats(trades: DataFrame, key, order: str = "entry_rn") -> DataFrame:
+    """Per run, on the returns ``growth`` of its trades: count, win rate, averages, profit factor, drawdown, reasons and log of the growth."""
+    won, lost = F.when(c("growth") > 0, c("growth")), F.when(~(c("growth") > 0), c("growth"))
+    return trades.groupBy(*key).agg(
+        F.count(F.lit(1)).alias("n_trades"), F.avg(flag(c("growth") > 0)).alias("win_rate"), F.avg("growth").alias("avg_ret"),
+        F.avg(won).alias("avg_win"), F.avg(lost).alias("avg_loss"), F.try_divide(F.sum(won), F.abs(F.sum(lost))).alias("profit_factor"),
+        F.sum(F.ln(1 + c("growth"))).alias("log_growth"), (F.max("dd") * 100).alias("max_dd"),
+        *[F.sum(flag(c("reason") == x)).alias(f"n_{x.lower()}") for x in ("TP", "SL", "TIMEOUT")])
+
+
 # --- excursion grids ------------------------------------------------------------------------
 
 def sltp_grid(moves: DataFrame, stops, targets, by=()) -> DataFrame:
@@ -413,6 +424,51 @@ def hysteresis(df: DataFrame, stop: float = 0.05, target: float = 0.10, leave: f
     return df.select("symbol", "ts", first["reason"].alias("reason"), first["k"].alias("bars_held"), (div(first["price"], "close") - 1).alias("gross_ret"))
 
 
+# Upper ATR share of the close, stop and target share; above the last ones, the wide pair.
+ATR_STOPS = ((0.0025, 0.05, 0.02), (0.005, 0.05, 0.03))
+WIDE_STOPS = (0.08, 0.04)
+
+
+def hysteresis_trades(df: DataFrame, enter: float = 0.55, leave: float = 0.45, hold: int = 72, fee: float = 0.0006) -> DataFrame:
+    """Trades of one position at a time that enters above ``enter`` and leaves at stop, target or below ``leave``.
+
+    ``df`` has one row a bar: symbol, ts, entry_rn, close, ``p``, ``atr_share`` (sets stop and target) and ``_next``, the following
+    ``hold`` bars. After ``hold`` bars a position is closed at the close (TIMEOUT); one that the end of the series leaves open is closed
+    at the last close (EOD). ``growth`` pays the fee on both fills.
+    """
+    low_share, share = F.lit(WIDE_STOPS[0]), F.lit(WIDE_STOPS[1])
+    for below, stop, target in reversed(ATR_STOPS):
+        low_share = F.when(c("atr_share") < below, stop).otherwise(low_share)
+        share = F.when(c("atr_share") < below, target).otherwise(share)
+    df = df.where(c("p") > enter).withColumns({"_low": c("close") * (1 - low_share), "_high": c("close") * (1 + share)})
+
+    def outcome(x, i):
+        why = F.when(x["low"] <= c("_low"), "SL").when(x["high"] >= c("_high"), "TP").when(x["p"] < leave, "SIGNAL").when(i + 1 >= hold, "TIMEOUT")
+        price = F.when(x["low"] <= c("_low"), c("_low")).when(x["high"] >= c("_high"), c("_high")).otherwise(x["close"])
+        return F.struct(why.alias("reason"), price.alias("price"), (i + 1).alias("k"))
+
+    last = F.when(F.size("_next") > 0, F.try_element_at("_next", F.lit(-1))["close"]).otherwise(c("close"))
+    open_end = F.struct(F.lit("EOD").alias("reason"), last.alias("price"), F.size("_next").alias("k"))
+    ends = F.filter(F.transform("_next", outcome), lambda x: x["reason"].isNotNull())
+    df = df.withColumn("_x", F.coalesce(F.try_element_at(ends, F.lit(1)), open_end))
+    exits = df.select("symbol", "ts", "entry_rn", F.lit(1).alias("side"), c("close").alias("entry_price"), c("_x.reason").alias("reason"),
+                      c("_x.k").alias("bars_held"), c("_x.price").alias("exit_price"))
+    exits = exits.withColumn("gross_ret", div("exit_price", "entry_price") - 1)
+    exits = exits.withColumn("growth", (1 - fee) * (1 - fee) * (1 + c("gross_ret")) - 1)
+    return one_at_a_time(cut_lineage(exits), ["symbol"], hold)
+
+
+def label_trades(df: DataFrame, prob: str, threshold: float, tp: float = 2.0, sl: float = 1.0, cost: float = 0.0019) -> DataFrame:
+    """Every labelled bar whose score is above the threshold, paid by its barrier label: target, stop or nothing, less ``cost``.
+
+    ``tp`` and ``sl`` are the ATR multiples that made ``tb_label``; ``cost`` is fee and slippage of both fills. Trades may overlap.
+    """
+    share = div("atr_14", "close")
+    move = F.when(c("tb_label") == 1, tp * share).when(c("tb_label") == -1, -sl * share).otherwise(0.0)
+    return df.where((c(prob) > threshold) & c("tb_label").isNotNull()).withColumns({
+        "side": F.lit(1), "reason": F.when(c("tb_label") == 1, "TP").when(c("tb_label") == -1, "SL").otherwise("TIMEOUT"), "growth": move - cost})
+
+
 def with_partial(df: DataFrame, share: float = 0.5) -> DataFrame:
     """Resolve exits where ``share`` leaves at +``trail_mult`` ATR and the stop moves to the entry.
 

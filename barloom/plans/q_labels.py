@@ -11,6 +11,7 @@ from barloom.operators import splits as V
 from barloom.plans.q_features import RET, TRS, alias
 from barloom.plans.registry import query, report
 from barloom.plans.sqltext import P, cols, full, lead, sql
+from barloom.session import cut_lineage
 from barloom.sources import bars as B
 
 HORIZONS = (1, 2, 4, 6, 8, 12, 24, 48)
@@ -179,7 +180,11 @@ def class_weights(spark, folder):
     return report(V.class_weights(L.horizon_label(B.stored_bars(spark, folder))), "symbol", "ts", "label", "class_weight")
 
 
-@query("stratified_split")
+@query("stratified_split", sql("bars", ("f", alias({"fwd_ret": f"ln({lead('close', 4)} / close)"})),
+    ("l", "SELECT symbol, ts, (fwd_ret > 0)::INT AS label FROM f WHERE fwd_ret IS NOT NULL"),
+    ("h", "SELECT *, md5(symbol || '|' || epoch_us(ts) || '|' || label || '|42') AS h FROM l"),
+    ("r", "SELECT *, row_number() OVER (PARTITION BY label ORDER BY h) AS p, count(*) OVER (PARTITION BY label) AS n FROM h"),
+    ("out_", "SELECT symbol, ts, label, CASE WHEN p <= (n * 20 + 50) // 100 THEN 'test' ELSE 'train' END AS split FROM r"),
+    out=cols("out_", keys="symbol split", ints="label")))
 def stratified_split(spark, folder):
-    df = V.stratified_split(L.horizon_label(B.stored_bars(spark, folder)))
-    return report(df.groupBy("symbol", "label", "split").agg(F.count(F.lit(1)).alias("n_rows")))
+    return report(V.stratified_split(cut_lineage(L.horizon_label(B.stored_bars(spark, folder)))), "symbol", "split", "ts", "label")

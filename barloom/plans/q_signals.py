@@ -13,7 +13,6 @@ from barloom.operators import sweep as S
 from barloom.operators import trades as T
 from barloom.operators.chunks import chunked, clean, owned, prefix
 from barloom.plans.q_features import alias
-from barloom.plans.q_labels import barrier_sql
 from barloom.plans.q_sources import bars_with_funding
 from barloom.plans.q_trades import entries_sql, equity_sql, exits_df, exits_sql, one_run, recursive, score_steps
 from barloom.plans.registry import query, report
@@ -196,18 +195,26 @@ def account_rules(spark, folder):
     return report(T.account_rules(cut_lineage(trades)), "symbol", "days", "most_trades", "within_drawdown", "max_trailing_dd:3", "best_day_share:4", "worst_day:3")
 
 
-@query("label_outcomes", barrier_sql("long").split("\nSELECT symbol, strftime")[0]
-       + """, sc AS (SELECT l.symbol, l.ts, l.close, l.atr, o.tb_label, row_number() OVER (PARTITION BY l.symbol ORDER BY l.ts) - 1 AS rn FROM l JOIN out_ o ON o.symbol = l.symbol AND o.ts = l.ts WHERE o.tb_label IS NOT NULL),
-w_ AS (SELECT *, CASE tb_label WHEN 1 THEN 'TP' WHEN -1 THEN 'SL' ELSE 'TIMEOUT' END AS outcome, CASE tb_label WHEN 1 THEN 2 * atr / close WHEN -1 THEN -atr / close ELSE 0 END - 0.0006::DOUBLE AS ret FROM sc WHERE hour(ts) % 6 = 0),
-z_ AS (SELECT symbol, outcome, count(*) AS n, avg(ret) AS avg_ret, sum(ret) AS total_ret FROM w_ GROUP BY 1, 2)
-""" + cols("z_", keys="symbol outcome", ts="", ints="n", nums="avg_ret total_ret"))
-def label_outcomes(spark, folder):
-    """Label-driven backtest: every sixth hour is entered, the label decides the result."""
+LABELLED = [
+    *score_steps(), ("lb", alias({"n_": "count(*) OVER (PARTITION BY symbol)"}, "s2")),
+    ("lh", """SELECT a.symbol, a.rn, min(CASE WHEN b.high >= a.close + 2 * a.atr THEN b.rn - a.rn END) AS t, min(CASE WHEN b.low <= a.close - a.atr THEN b.rn - a.rn END) AS s
+  FROM lb a JOIN lb b ON a.symbol = b.symbol AND b.rn BETWEEN a.rn + 1 AND a.rn + 23 WHERE a.atr > 0 GROUP BY 1, 2"""),
+    ("ll", "SELECT lb.*, CASE WHEN h.s IS NOT NULL AND (h.t IS NULL OR h.s <= h.t) THEN 'SL' WHEN h.t IS NOT NULL THEN 'TP' ELSE 'TIMEOUT' END AS reason FROM lb LEFT JOIN lh h ON h.symbol = lb.symbol AND h.rn = lb.rn WHERE lb.atr > 0 AND lb.rn + 24 <= lb.n_"),
+    ("gr", "SELECT symbol, ts, rn, 1 AS side, reason, CASE reason WHEN 'TP' THEN 2 * atr / close WHEN 'SL' THEN -atr / close ELSE 0 END - 0.0019::DOUBLE AS growth FROM ll WHERE long_prob > 0.55")]
+
+
+def labelled_trades(spark, folder):
     from barloom.operators.labels import triple_barrier
-    df = triple_barrier(B.stored_bars(spark, folder)).where("tb_label is not null and hour(ts) % 6 = 0")
-    move = F.when(c("tb_label") == 1, 2 * div("atr_14", "close")).when(c("tb_label") == -1, -div("atr_14", "close")).otherwise(0.0)
-    df = df.withColumns({"ret": move - 0.0006, "outcome": F.when(c("tb_label") == 1, "TP").when(c("tb_label") == -1, "SL").otherwise("TIMEOUT")})
-    return report(df.groupBy("symbol", "outcome").agg(F.count(F.lit(1)).alias("n"), F.avg("ret").alias("avg_ret"), F.sum("ret").alias("total_ret")))
+    scored = cut_lineage(X.features(B.stored_bars(spark, folder), X.scores).select("symbol", "ts", "open", "high", "low", "close", "long_prob"))
+    return T.label_trades(cut_lineage(A.clean_numbered(triple_barrier(scored))), "long_prob", 0.55)
+
+
+@query("label_outcomes", sql("bars", *LABELLED, ("z_", "SELECT symbol, reason AS outcome, count(*) AS n, avg(growth) AS avg_ret, sum(growth) AS total_ret FROM gr GROUP BY 1, 2"),
+    out=cols("z_", keys="symbol outcome", ts="", ints="n", nums="avg_ret total_ret")))
+def label_outcomes(spark, folder):
+    """Label-driven backtest: every bar above the score threshold is entered, the label decides the result."""
+    df = labelled_trades(spark, folder)
+    return report(df.groupBy("symbol", c("reason").alias("outcome")).agg(F.count(F.lit(1)).alias("n"), F.avg("growth").alias("avg_ret"), F.sum("growth").alias("total_ret")))
 
 
 @query("mark_to_market", recursive(sql("bars", *score_steps(), *entries_sql(0.2), *exits_sql(2.0, 1.0, 12, "fixed", 1.0),

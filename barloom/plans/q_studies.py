@@ -39,7 +39,7 @@ def hourly(spark, folder):
     return cut_lineage(clean(chunked(bars, before=1).withColumn("ret", F.try_divide("close", F.lag("close").over(X.W())) - 1)))
 
 
-@query("hour_effect", sql("bars", R1, ("h", "SELECT *, hour(ts - INTERVAL 5 HOURS) AS eastern_hour FROM r1"), stats_sql("h", "eastern_hour"),
+@query("hour_effect", sql("bars", R1, ("h", "SELECT *, hour(timezone('America/New_York', timezone('UTC', ts))) AS eastern_hour FROM r1"), stats_sql("h", "eastern_hour"),
     out=cols("out_", keys="", ts="", ints="eastern_hour n", nums=NUMS)))
 def hour_effect(spark, folder):
     df = hourly(spark, folder).withColumn("eastern_hour", F.hour(F.from_utc_timestamp("ts", "America/New_York")))
