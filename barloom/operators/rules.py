@@ -9,12 +9,14 @@ week return, pc previous close, c1..c5 and o1 later closes and open, dow1..dow3
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.rolling import c, div, flag
 from barloom.operators import trades as T
-from barloom.operators.chunks import DAILY, SharedWindow, bucket_of, chunked, clean, prefix
+from barloom.operators.chunks import DAILY, SharedWindow, bucket_of, chunked, clean, owned, prefix
 from barloom.session import cut_lineage
 
 W = SharedWindow()
@@ -229,20 +231,90 @@ def trailing_hold(daily: DataFrame, days: int = 5) -> DataFrame:
     return clean(df.withColumn("trail_exit", F.coalesce("_x.out", F.element_at("_days", -1)["close"])))
 
 
-def throttled(trades: DataFrame, capital: float = 25_000.0, full_size: float = 5.0, small: float = 2.0, limit: float = 0.3) -> DataFrame:
-    """Size depends on the equity path, so the sparse trade list (at most one per day) is folded per series."""
-    item = F.struct("ts", "pnl_pct")
-    lists = trades.groupBy("symbol").agg(F.array_sort(F.collect_list(item)).alias("_t"))
-    row = "array<struct<ts: timestamp, pnl_pct: double, size: double, equity: double>>"
-    start = F.struct(F.lit(capital).alias("eq"), F.lit(capital).alias("peak"), F.expr(f"cast(array() as {row})").alias("out"))
-
-    def step(a, t):
-        size = F.when((a["peak"] - a["eq"]) / a["peak"] * 100 > limit, small).otherwise(full_size)
-        eq = a["eq"] * (1 + size / 100 * t["pnl_pct"] / 100)
-        made = F.struct(t["ts"].alias("ts"), t["pnl_pct"].alias("pnl_pct"), size.alias("size"), eq.alias("equity"))
-        return F.struct(eq.alias("eq"), F.greatest(a["peak"], eq).alias("peak"), F.array_append(a["out"], made).alias("out"))
-
-    return lists.select("symbol", F.explode(F.aggregate("_t", start, step, lambda a: a["out"])).alias("_r")).select("symbol", "_r.*")
+class _Pieces:
+    """Effect of consecutive trades on (equity, peak) as a function of their ratio: piecewise constant factors.
+
+    From ratio ``low`` of a piece up to the next one, equity is multiplied by ``gain`` and the peak becomes at least the first equity
+    times ``top``. Every trade splits a piece at most at the ratio where the throttle sets in and where the peak is passed.
+    """
+
+    def __init__(self, full_size: float, small: float, limit: float):
+        self.sizes, self.edge = (full_size / 100, small / 100), 1 - limit / 100
+        self.low, self.gain, self.top = np.zeros(1), np.ones(1), np.zeros(1)
+
+    def add(self, result: float) -> None:
+        high = np.append(self.low[1:], np.inf)
+        with np.errstate(divide="ignore"):
+            cuts = np.stack([self.low, self.edge / self.gain, 1 / self.top])
+        cuts = np.clip(cuts, self.low, np.minimum(high, 2.0))
+        cuts.sort(axis=0)
+        low, of = cuts.T.ravel(), np.repeat(np.arange(len(self.low)), 3)
+        middle = (low + np.append(low[1:], 2.0)) / 2
+        gain, top = self.gain[of], self.top[of]
+        ratio = middle * gain / np.maximum(1.0, middle * top)
+        gain = gain * (1 + np.where(ratio < self.edge, self.sizes[1], self.sizes[0]) * result / 100)
+        top = np.maximum(top, gain)
+        wide = low < np.append(low[1:], 2.0)
+        low, gain, top = low[wide], gain[wide], top[wide]
+        new = np.append(True, (gain[1:] != gain[:-1]) | (top[1:] != top[:-1]))
+        self.low, self.gain, self.top = low[new], gain[new], top[new]
+
+
+def throttled(trades: DataFrame, capital: float = 25_000.0, full_size: float = 5.0, small: float = 2.0, limit: float = 0.3,
+              buckets: int = DAILY.bucket_seconds * DAILY.width) -> DataFrame:
+    """Size each trade by the drawdown before it: ``small`` beyond ``limit`` percent, else ``full_size``; ``equity`` after it.
+
+    The state is (equity, peak), and what a time chunk of trades does to it depends on their ratio alone. Every chunk is summed up as
+    a table of pieces, these are chained along a series, and each chunk is gone through from its true state. ``trades`` is read
+    twice: give a written table.
+    """
+    rows = trades.select("symbol", "ts", "pnl_pct").withColumn("_chunk", bucket_of("ts", buckets))
+
+    def summed(part: pd.DataFrame) -> pd.DataFrame:
+        pieces = _Pieces(full_size, small, limit)
+        for x in part.sort_values("ts")["pnl_pct"]:
+            pieces.add(x)
+        return pd.DataFrame({"symbol": part["symbol"].iloc[:1].values, "_chunk": part["_chunk"].iloc[:1].values,
+                             "low": [pieces.low], "gain": [pieces.gain], "top": [pieces.top]})
+
+    def chained(part: pd.DataFrame) -> pd.DataFrame:
+        part, eq, peak, states = part.sort_values("_chunk"), capital, capital, []
+        for low, gain, top in zip(part["low"], part["gain"], part["top"]):
+            states.append((eq, peak))
+            at = np.searchsorted(low, eq / peak, side="right") - 1
+            eq, peak = eq * gain[at], max(peak, eq * top[at])
+        return part[["symbol", "_chunk"]].assign(_eq=[s[0] for s in states], _peak=[s[1] for s in states])
+
+    def gone_through(part: pd.DataFrame) -> pd.DataFrame:
+        part, sizes, curve = part.sort_values("ts"), [], []
+        eq, peak = part["_eq"].iloc[0], part["_peak"].iloc[0]
+        for x in part["pnl_pct"]:
+            sizes.append(small if (peak - eq) / peak * 100 > limit else full_size)
+            eq *= 1 + sizes[-1] / 100 * x / 100
+            peak = max(peak, eq)
+            curve.append(eq)
+        return part[["symbol", "ts", "pnl_pct"]].assign(size=sizes, equity=curve)
+
+    tables = rows.groupBy("symbol", "_chunk").applyInPandas(summed, "symbol string, _chunk long, low array<double>, gain array<double>, top array<double>")
+    states = tables.groupBy("symbol").applyInPandas(chained, "symbol string, _chunk long, _eq double, _peak double")
+    return rows.join(states, ["symbol", "_chunk"]).groupBy("symbol", "_chunk").applyInPandas(
+        gone_through, "symbol string, ts timestamp, pnl_pct double, size double, equity double")
+
+
+def trailing_trades(frame: DataFrame, daily: DataFrame, days: int = 5) -> DataFrame:
+    """Rule E10: mean reversion, left by the trailing stop of ``trailing_hold`` or after ``days`` days."""
+    held = trailing_hold(daily, days).select("symbol", "ts", "trail_exit")
+    return rule_trades(frame.where(MR).join(held, ["symbol", "ts"]), [("E10", MR, "open", "trail_exit", 1, "5")])
+
+
+def red_runs(daily: DataFrame) -> DataFrame:
+    """Candles in a row that closed below their open before each day, and the sum of their moves in percent."""
+    red = c("close") < c("open")
+    own = F.when(red, div(c("close") - c("open"), "open") * 100).otherwise(0.0)
+    df = cut_lineage(prefix(owned(chunked(daily, span=DAILY)), {"_sum": ("sum", own)}))
+    df = prefix(df, {"_calm": ("last", F.when(~red, F.struct(c("_rn").alias("rn"), c("_sum").alias("sum"))))}, inclusive=False)
+    return df.select("symbol", "ts", (c("_rn") - 1 - F.coalesce(c("_calm.rn"), F.lit(-1))).alias("red_run"),
+                     (c("_sum") - own - F.coalesce(c("_calm.sum"), F.lit(0.0))).alias("red_move"))
 
 
 # --- intraday rules -------------------------------------------------------------------------
@@ -253,24 +325,26 @@ def intraday_prices(bars: DataFrame) -> DataFrame:
     first = lambda a, b: F.min_by("open", F.when((minute >= a) & (minute < b), c("ts")))
     last = lambda a, b: F.max_by("close", F.when((minute >= a) & (minute < b), c("ts")))
     return bars.groupBy("symbol", F.date_trunc("day", "ts").alias("day")).agg(
-        first(540, 570).alias("pre_first"), last(540, 570).alias("pre_last"), first(570, 600).alias("open_930"),
-        last(570, 600).alias("at_10"), last(600, 630).alias("at_1030"), last(570, 630).alias("hour_end"),
-        last(630, 960).alias("day_end"), last(900, 960).alias("at_15"),
+        first(540, 570).alias("pre_first"), last(540, 570).alias("pre_last"), last(565, 566).alias("at_925"),
+        F.count_if((minute >= 540) & (minute < 570)).alias("pre_bars"), first(570, 600).alias("open_930"), first(570, 571).alias("bar_930"),
+        last(570, 600).alias("at_10"), last(600, 630).alias("at_1030"), last(625, 636).alias("near_1030"), last(600, 660).alias("hour_10_close"),
+        last(570, 630).alias("hour_end"), last(630, 960).alias("day_end"), last(900, 960).alias("at_15"),
         F.max(F.when((minute >= 570) & (minute < 585), c("high"))).alias("or_high"),
         F.min(F.when((minute >= 570) & (minute < 585), c("low"))).alias("or_low"),
+        F.count_if((minute >= 570) & (minute < 585)).alias("or_bars"), F.count_if((minute >= 585) & (minute < 960)).alias("rest_bars"),
     ).withColumnRenamed("day", "ts")
 
 
 INTRADAY_RULES = [
     ("S1", "pre_last > 0", "pre_last", "at_1030", 1, "5"),
-    ("S2", "open_930 > 0", "open_930", "at_1030", 1, "5"),
-    ("S10", "pre_last > pre_first", "open_930", "at_1030", 1, "5"),
-    ("S10", "pre_last < pre_first", "open_930", "at_1030", -1, "5"),
-    ("S10b", "pre_last > pre_first", "open_930", "at_1030", -1, "5"),
-    ("S10b", "pre_last < pre_first", "open_930", "at_1030", 1, "5"),
-    ("S11", "st <= -3", "pre_last", "at_1030", 1, "5"),
+    ("S2", "bar_930 > 0", "bar_930", "near_1030", 1, "5"),
+    ("S10", "pre_bars > 1 AND pre_last > pre_first", "bar_930", "near_1030", 1, "5"),
+    ("S10", "pre_bars > 1 AND pre_last <= pre_first", "bar_930", "near_1030", -1, "5"),
+    ("S10b", "pre_bars > 1 AND pre_last > pre_first", "bar_930", "near_1030", -1, "5"),
+    ("S10b", "pre_bars > 1 AND pre_last <= pre_first", "bar_930", "near_1030", 1, "5"),
+    ("S11", "st <= -3", "at_925", "near_1030", 1, "5"),
     ("S15", MW, "open_930", "at_1030", 1, "5"),
-    ("S17", "vx < 20", "open_930", "at_1030", 1, "5"),
+    ("S17", "vx < 20", "open_930", "hour_10_close", 1, "5"),
     ("S18", "at_10 < open_930 * 0.997", "at_10", "day_end", 1, "5"),
     ("S22", "pre_last > 0", "pre_last", "day_end", 1, "5"),
     ("S23", "hour_end > open_930 * 1.005", "at_1030", "at_15", -1, "5"),
@@ -284,7 +358,7 @@ def range_breaks(bars: DataFrame) -> DataFrame:
     """First break of the 9:30-9:45 range (up tested first within a bar), held to the day end."""
     minute = F.hour("ts") * 60 + F.minute("ts")
     day = bars.withColumn("day", F.date_trunc("day", "ts"))
-    prices = intraday_prices(bars).select("symbol", c("ts").alias("day"), "or_high", "or_low", "day_end").where("or_high is not null")
+    prices = intraday_prices(bars).select("symbol", c("ts").alias("day"), "or_high", "or_low", "day_end", "or_bars", "rest_bars").where("or_bars > 1 and rest_bars > 4")
     rest = day.where((minute >= 585) & (minute < 960)).join(prices, ["symbol", "day"])
     side = F.when(c("high") > c("or_high"), 1).when(c("low") < c("or_low"), -1)
     broke = rest.withColumn("side", side).where("side is not null").groupBy("symbol", "day").agg(
@@ -321,8 +395,9 @@ EDGES = [
 ]
 
 
-def edge_score(frame: DataFrame) -> DataFrame:
-    """Active edges, their reasons and total size per day."""
+def edge_score(frame: DataFrame, runs: DataFrame) -> DataFrame:
+    """Active edges, their reasons and total size per day; the streak is that of red candles (``red_runs``)."""
+    frame = frame.join(runs, ["symbol", "ts"]).withColumns({"st": -c("red_run"), "drop_": F.abs("red_move")})
     hits = F.array_compact(F.array(*[
         F.when(F.expr(cond), F.struct(F.lit(name).alias("edge"), F.expr(size).cast("double").alias("size"))) for name, cond, size in EDGES]))
     df = frame.withColumn("_h", hits)

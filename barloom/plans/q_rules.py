@@ -96,11 +96,40 @@ def top_configs(spark, folder):
     return report(best, "symbol", "rule", "n_trades", "profit_factor")
 
 
-@query("edge_score", sql("daily vix", *FRAME, ("eg", "SELECT symbol, ts, " + ", ".join(f"CASE WHEN {cond} THEN '{n}' END AS e{i}, CASE WHEN {cond} THEN CAST({size} AS DOUBLE) ELSE 0 END AS z{i}" for i, (n, cond, size) in enumerate(R.EDGES)) + " FROM rf"),
-    ("out_", "SELECT symbol, ts, concat_ws('|', " + ", ".join(f"e{i}" for i in range(6)) + ") AS reasons, " + " + ".join(f"(e{i} IS NOT NULL)::INT" for i in range(6)) + " AS n_edges, " + " + ".join(f"z{i}" for i in range(6)) + " AS total_size FROM eg"),
-    out=cols("out_", keys="symbol reasons", ints="n_edges", nums="total_size")))
+RED = [("q1", "SELECT symbol, ts, (close < open)::INT AS red, (close - open) / open * 100 AS m, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rn FROM daily"),
+       ("q2", f"SELECT *, coalesce(max(CASE WHEN red = 0 THEN rn END) OVER ({P}), 0) AS calm FROM q1"),
+       ("q3", "SELECT *, rn - calm AS run, sum(CASE WHEN red = 1 THEN m ELSE 0 END) OVER (PARTITION BY symbol, calm ORDER BY ts) AS move FROM q2"),
+       ("q4", f"SELECT symbol, ts, -coalesce({lag('run')}, 0) AS st, abs(coalesce({lag('move')}, 0)) AS drop_ FROM q3"),
+       ("q5", "SELECT rf.* EXCLUDE (st, drop_), q4.st, q4.drop_ FROM rf JOIN q4 USING (symbol, ts)"),
+       ("q6", """SELECT symbol, ts, CASE WHEN st <= -3 AND vx < 25 THEN CASE WHEN drop_ >= 5 THEN 10 WHEN drop_ >= 3 THEN 7 ELSE 4 END END AS a,
+  CASE WHEN (dow = 0 OR dow = 2) AND vx < 20 THEN CASE WHEN sma200 IS NULL OR close_prev > sma200 THEN 4 ELSE 3 END END AS b, CASE WHEN vx < 15 THEN 2 END AS c,
+  CASE WHEN st <= -3 AND gap < -0.3 AND vx < 30 THEN 3 END AS d, CASE WHEN td <= 3 AND vx < 20 THEN 2 END AS e, CASE WHEN st <= -3 AND vx >= 20 AND vx < 25 AND NOT (st <= -3 AND vx < 25) THEN 2 END AS f FROM q5"""),
+       ("out_", """SELECT symbol, ts, concat_ws('|', CASE WHEN a > 0 THEN 'MEAN REVERSION' END, CASE WHEN b > 0 THEN 'MON/WED' END, CASE WHEN c > 0 THEN 'CALM MARKET' END, CASE WHEN d > 0 THEN 'GAP DOWN BOUNCE' END,
+  CASE WHEN e > 0 THEN 'MONTH-START FLOW' END, CASE WHEN f > 0 THEN 'VIX SWEET SPOT' END) AS reasons, (a > 0 IS TRUE)::INT + (b > 0 IS TRUE)::INT + (c > 0 IS TRUE)::INT + (d > 0 IS TRUE)::INT + (e > 0 IS TRUE)::INT + (f > 0 IS TRUE)::INT AS n_edges,
+  coalesce(a, 0) + coalesce(b, 0) + coalesce(c, 0) + coalesce(d, 0) + coalesce(e, 0) + coalesce(f, 0) AS total_size FROM q6""")]
+
+
+@query("edge_score", sql("daily vix", *FRAME, *RED, out=cols("out_", keys="symbol reasons", ints="n_edges", nums="total_size")))
 def edge_score(spark, folder):
-    return report(R.edge_score(frame(spark, folder)), "symbol", "reasons", "ts", "n_edges", "total_size")
+    runs = cut_lineage(R.red_runs(B.stored_daily(spark, folder)))
+    return report(R.edge_score(frame(spark, folder), runs), "symbol", "reasons", "ts", "n_edges", "total_size")
+
+
+# E10 by hand: five days from the entry, the stop follows half of the best gain and is not tested on the first day
+TRAIL = [("e1", "SELECT symbol, ts, open AS paid, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rn, high, low, close, st <= -3 AND vx < 25 AS go FROM rf"),
+         ("e2", """SELECT symbol, ts, rn, paid, 0 AS d, greatest(paid, high) AS best, CASE WHEN high > paid THEN greatest(paid * 0.99::DOUBLE, paid + 0.5 * (high - paid)) ELSE paid * 0.99::DOUBLE END AS stop,
+    NULL::DOUBLE AS hit, close FROM e1 WHERE go
+  UNION ALL SELECT e.symbol, e.ts, e.rn, e.paid, e.d + 1, greatest(e.best, b.high), CASE WHEN b.high > e.best THEN greatest(e.stop, e.paid + 0.5 * (b.high - e.paid)) ELSE e.stop END,
+    CASE WHEN b.low <= CASE WHEN b.high > e.best THEN greatest(e.stop, e.paid + 0.5 * (b.high - e.paid)) ELSE e.stop END THEN CASE WHEN b.high > e.best THEN greatest(e.stop, e.paid + 0.5 * (b.high - e.paid)) ELSE e.stop END END, b.close
+  FROM e2 e JOIN e1 b ON b.symbol = e.symbol AND b.rn = e.rn + e.d + 1 WHERE e.d < 4 AND e.hit IS NULL"""),
+         ("e3", "SELECT symbol, ts, any_value(paid) AS entry_price, coalesce(arg_max(hit, d), arg_max(close, d)) AS exit_price FROM e2 GROUP BY 1, 2"),
+         ("out_", "SELECT *, (exit_price * 0.9999::DOUBLE - entry_price * 1.0001::DOUBLE) / (entry_price * 1.0001::DOUBLE) * 100 AS pnl_pct FROM e3")]
+
+
+@query("trailing_rule_trades", sql("daily vix", *FRAME, *TRAIL, out=cols("out_", nums="entry_price:7 exit_price:7 pnl_pct:5")).replace("WITH ", "WITH RECURSIVE ", 1))
+def trailing_rule_trades(spark, folder):
+    trades = R.trailing_trades(frame(spark, folder), B.stored_daily(spark, folder))
+    return report(trades, "symbol", "ts", "entry_price:7", "exit_price:7", "pnl_pct:5")
 
 
 MR_TRADES = [("mt", f"SELECT symbol, ts, (close * 0.9999::DOUBLE / (open * 1.0001::DOUBLE) - 1) * 100 AS pnl_pct FROM rf WHERE {R.MR}")]
