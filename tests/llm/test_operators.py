@@ -5,6 +5,7 @@ import hashlib
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -195,6 +196,37 @@ def test_lines_reject_furniture_and_keep_prose(spark):
     assert got[1].kept and not got[2].kept and got[3].kept and got[3].clean_text == prose
 
 
+def test_licenses_read_the_order(spark):
+    rng = np.random.default_rng(4)
+    notice = licenses.NOTICES["mpl-2.0"].split()
+    turned = [w for k in range(len(notice) // 5, -1, -1) for w in notice[5 * k:5 * k + 5]]  # every four-gram within a piece, pieces backwards
+    gaps = [w for i, w in enumerate(notice) for w in ([w, "really"] if i == 12 else [w]) if i != 20]
+    whole = " ".join(licenses.WHOLE["isc"].split())
+    docs = spark.createDataFrame([(1, " ".join(notice)), (2, " ".join(turned)), (3, "so. " + " ".join(gaps) + " end"), (4, whole), (5, None)],
+                                 "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan(docs).collect()}
+    assert [got[i].labels for i in range(1, 6)] == ["mpl-2.0", "", "mpl-2.0", "isc", ""]
+    assert got[4].n_spans == 2 and got[4].score == 1.0
+    for _ in range(200):
+        a, b = ([str(x) for x in rng.integers(0, 6, rng.integers(1, 30))] for _ in "ab")
+        table = np.zeros((len(a) + 1, len(b) + 1), int)
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1, j + 1] = table[i, j] + 1 if x == y else max(table[i, j + 1], table[i + 1, j])
+        assert licenses.common_in_order(a, b) == table[-1, -1]
+
+
+def test_licenses_base_places_over_the_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = {r.doc_id: r for r in licenses.scan(docs).collect()}
+    for d in docs.collect():
+        text = "".join(ch.lower() if "A" <= ch <= "Z" else ch for ch in d.text or "")
+        words = [w for w in re.split(licenses.NOT_WORD, text) if w]
+        at = [i for phrase in licenses.BASE for i in range(len(words)) if words[i:i + len(phrase.split())] == phrase.split()]
+        r = got[d.doc_id]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(words), len(at), min(at, default=None), max(at, default=None))
+
+
 def test_licenses_base(spark):
     docs = spark.createDataFrame([(1, "Text under CC-BY terms. All rights   reserved"), (2, "The GENERAL public License"), (3, "all rights are reserved")],
                                  "doc_id long, text string")
