@@ -52,15 +52,26 @@ GROUP_PATTERNS = {"returns": "ret", "trend": "ma_", "volatility": "vol", "fundin
 
 
 def feature_catalog(df: DataFrame) -> DataFrame:
-    """Every column with its feature group, whether it is kept and whether it looks ahead."""
-    numeric = set(numeric_columns(df))
+    """Every column with its group, whether it looks ahead, its null share, and whether it is kept: a varying number that is no price, label or look-ahead."""
+    numeric = numeric_columns(df)
     rows = []
     for name in df.columns:
         ahead = any(p in name for p in LOOKAHEAD_PATTERNS)
         kept = name in numeric and name not in EXCLUDED_PATTERNS and not any(p in name for p in EXCLUDED_PATTERNS[5:])
         group = next((g for g, p in GROUP_PATTERNS.items() if p in name), "other")
         rows.append((name, group, kept and not ahead, ahead))
-    return df.sparkSession.createDataFrame(rows, "name string, feature_group string, kept boolean, lookahead boolean")
+    names = df.sparkSession.createDataFrame(rows, "name string, feature_group string, wanted boolean, lookahead boolean")
+    found = column_profile(df, numeric).select(c("feature").alias("name"), "null_share", F.coalesce(c("low") < c("high"), F.lit(False)).alias("varies"))
+    return names.join(found, "name", "left").select(
+        "name", "feature_group", (c("wanted") & F.coalesce("varies", F.lit(False))).alias("kept"), "lookahead", "null_share")
+
+
+def feature_differences(df: DataFrame, wanted: list) -> DataFrame:
+    """``missing`` and ``present`` of the wanted features, comma-joined by name; a column without any value is missing."""
+    held = column_profile(df, numeric_columns(df)).where("null_share < 1").select("feature", F.lit(True).alias("_held"))
+    want = df.sparkSession.createDataFrame([(x,) for x in wanted], "feature string").join(held, "feature", "left")
+    named = lambda cond: F.array_join(F.array_sort(F.collect_list(F.when(cond, c("feature")))), ",")
+    return want.agg(named(c("_held").isNull()).alias("missing"), named(c("_held")).alias("present"))
 
 
 def column_profile(df: DataFrame, columns: list, target: str | None = None) -> DataFrame:

@@ -35,8 +35,9 @@ def training(spark, folder):
     return cut_lineage(V.numbered(cut_lineage(df.select("symbol", "ts", *FEATURES, "target", "label", "short_label", "regime"))))
 
 
-def folds(spark, folder, n=2):
-    return cut_lineage(V.purged_walk_forward(training(spark, folder), n_splits=n, test_pct=0.2, purge=12, min_train=50))
+def folds(spark, folder):
+    """All seven folds of a tenth of each series."""
+    return cut_lineage(V.purged_walk_forward(training(spark, folder), n_splits=7, test_pct=0.1, purge=12, min_train=100))
 
 
 @query("walk_forward_gbt")

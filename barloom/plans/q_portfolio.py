@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from barloom.functions import custom as U
 from barloom.functions.rolling import ahead, c, div, flag, full as full_, lag as lag_, lead as lead_
 from barloom.operators import features as X
+from barloom.operators import ranks as K
+from barloom.operators import recursive as R
 from barloom.operators import stats as A
 from barloom.operators import trades as T
 from barloom.operators.chunks import chunked, clean
-from barloom.plans.q_features import RSI, alias, listed
+from barloom.plans.q_features import HUR, RSI, TR, alias, listed
+from barloom.plans.q_recursive import ADX, rec
 from barloom.plans.q_signals import LABELLED, labelled_trades
 from barloom.plans.q_studies import hourly
 from barloom.plans.q_trades import STAT_INTS, STAT_NUMS, STATS, exits_sql, recursive, score_steps
@@ -169,6 +174,35 @@ def day_parts(spark, folder):
     return report(out, "part", "n", "mean", "median", "std", "volatility", "pos_share", "t_stat", "avg_volume")
 
 
+MASKS = {"trending adx": "adx > 25", "ranging adx": "adx < 20", "trending hurst": "hurst_exp > 0.55", "reverting hurst": "hurst_exp < 0.45",
+         "high volatility": "atr_pct > q75", "low volatility": "atr_pct < q25"}
+MASKED = [
+    *ADX[:-1], ("ax", ADX[-1][1]), *[(f"h{n}", re.sub(r"FROM (n|t)$", r"FROM h\1", body)) for n, body in HUR[:-1]],
+    ("hx", re.sub(r"FROM h$", "FROM hh", HUR[-1][1])), ("vx_", alias({"tr": TR})),
+    ("vy_", alias({"atr_pct": f"{full('avg', 'tr', 14)} / close * 100", "mom": f"ln(close / {lag('close', 12)})", "fwd": f"{lead('close', 8)} / close - 1"}, "vx_")),
+    ("vz_", "SELECT v.*, a.adx, h.hurst_exp FROM vy_ v LEFT JOIN ax a USING (symbol, ts) LEFT JOIN hx h USING (symbol, ts) WHERE mom IS NOT NULL AND fwd IS NOT NULL"),
+    ("vq_", "SELECT quantile_cont(atr_pct, 0.25) AS q25, quantile_cont(atr_pct, 0.75) AS q75 FROM vz_"),
+    ("vm_", " UNION ALL ".join(f"SELECT '{n}' AS regime, mom, (fwd > 0)::INT AS label FROM vz_, vq_ WHERE {cond}" for n, cond in MASKS.items())),
+    ("vr_", "SELECT *, rank() OVER (PARTITION BY regime ORDER BY mom) + (count(*) OVER (PARTITION BY regime, mom) - 1) / 2 AS rk FROM vm_"),
+    ("vo_", "SELECT regime, count(*) AS n, (sum(CASE WHEN label = 1 THEN rk ELSE 0 END) - sum(label) * (sum(label) + 1) / 2) / (sum(label) * (count(*) - sum(label))) AS auc FROM vr_ GROUP BY 1")]
+
+
+@query("regime_masks", rec("bars", *MASKED, out=cols("vo_", keys="regime", ts="", ints="n", nums="auc")))
+def regime_masks(spark, folder):
+    """How well momentum ranks the next eight bars in trending, ranging, reverting, calm and wild markets."""
+    bars = B.stored_bars(spark, folder)
+    df = X.atr(chunked(bars, before=16, after=8))
+    df = clean(df.withColumns({"mom": F.ln(div("close", lag_("close", 12, X.W))), "fwd": div(lead_("close", 8, X.W), "close") - 1}))
+    df = df.where("mom is not null and fwd is not null").select("symbol", "ts", "mom", "fwd", "atr_pct")
+    df = df.join(cut_lineage(R.wilder_atr_adx(bars).select("symbol", "ts", "adx")), ["symbol", "ts"], "left")
+    df = cut_lineage(df.join(cut_lineage(X.hurst_exponent(bars).select("symbol", "ts", "hurst_exp")), ["symbol", "ts"], "left"))
+    cut = K.quantiles(df, "atr_pct", {"q25": .25, "q75": .75}).select(F.struct("q25", "q75")).scalar()
+    df = df.withColumn("_q", cut).select("*", "_q.*")
+    hits = F.array_compact(F.array(*[F.when(F.expr(cond), F.lit(name)) for name, cond in MASKS.items()]))
+    rows = cut_lineage(df.select("mom", flag(c("fwd") > 0).alias("label"), F.explode(hits).alias("regime")))
+    return report(K.auc(rows, "mom", "label", ["regime"]), "regime", "n", "auc")
+
+
 # --- a user's ordered kernel ----------------------------------------------------------------
 
 CUSUM = [("c0", f"SELECT symbol, ts, date_trunc('day', ts) AS day, coalesce(ln(close / {lag('close')}), 0) AS r FROM bars"),

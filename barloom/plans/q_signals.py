@@ -334,11 +334,10 @@ def feature_catalog(spark, folder):
     return report(catalog(X.features(B.stored_bars(spark, folder), X.returns, X.averages, X.volatility)))
 
 
-@query("feature_differences")
+@query("feature_differences", sql("bars", ("m_", alias({"ret_1": f"ln(close / {lag('close')})", "ret_4": f"ln(close / {lag('close', 4)})"})),
+    ("n_", "SELECT unnest(['ret_1', 'ret_4', 'rsi_14', 'hurst_exp']) AS feature, unnest([count(ret_1), count(ret_4), 0, 0]) AS n FROM m_"),
+    out="SELECT string_agg(feature, ',' ORDER BY feature) FILTER (WHERE n = 0) AS missing, string_agg(feature, ',' ORDER BY feature) FILTER (WHERE n > 0) AS present FROM n_"))
 def feature_differences(spark, folder):
-    """Features a model expects and a frame lacks, and the reverse."""
-    frame = X.features(B.stored_bars(spark, folder), X.returns).columns
-    want = F.array(*[F.lit(x) for x in ("ret_1", "ret_4", "rsi_14", "hurst_exp")])
-    have = F.array(*[F.lit(x) for x in frame])
-    row = spark.range(1).select(F.array_except(want, have).alias("missing"), F.array_intersect(want, have).alias("present"))
-    return row.select(F.array_join("missing", ",").alias("missing"), F.array_join("present", ",").alias("present"))
+    """Features a model expects and a frame holds values of, and those it lacks."""
+    from barloom.operators.stats import feature_differences as differences
+    return differences(X.features(B.stored_bars(spark, folder), X.returns), ["ret_1", "ret_4", "rsi_14", "hurst_exp"])
