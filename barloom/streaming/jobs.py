@@ -142,14 +142,21 @@ def recent_step(reach: int):
 BAR = "open double, high double, low double, close double, volume double"
 
 
-def serve_features(bars: DataFrame, pack, name: str = "features", idle: int = 400 * 24 * HOUR, **times) -> str:
+def serve_features(bars: DataFrame, pack, name: str = "features", idle: int = 400 * 24 * HOUR, late: int = 6 * HOUR,
+                   horizon: int = 30 * 24 * HOUR) -> str:
     """Features of newly closed bars by the batch expressions over a ring buffer of the bars before them.
 
     The last bars that the pack can reach are a list state of each symbol, dropped after ``idle`` milliseconds without bars; no bar is
     read twice from a table. Bars are taken in event-time order (see ``ordered``). Late ones are in the folder beside
-    the features. Batch folders are overwritten on replay, so results are exactly once.
+    the features. Batch folders are overwritten on replay, so results are exactly once. When all available bars are read, those that
+    still wait for ``late`` are served too: a row of the folder of marks moves the watermark past them, and the job goes on from its
+    checkpoint.
     """
-    base = f"{shared_folder(bars.sparkSession)}/serve-{name}-{uuid.uuid4().hex}"
+    spark = bars.sparkSession
+    base = f"{shared_folder(spark)}/serve-{name}-{uuid.uuid4().hex}"
+    marks, bars = f"{base}/marks", bars.withColumn("_mark", F.lit(False))
+    spark.createDataFrame([], bars.schema).write.parquet(marks)
+    bars = bars.unionByName(table_stream(spark, marks, bars.schema))
     values = [x.split()[0] for x in BAR.split(", ")]
 
     def handle(batch: DataFrame, number: int) -> None:
@@ -160,9 +167,21 @@ def serve_features(bars: DataFrame, pack, name: str = "features", idle: int = 40
         frame.where("fresh = 1").drop("fresh").write.mode("overwrite").parquet(f"{base}/features/batch={number}")
         batch.unpersist()
 
-    stream = in_order(bars, recent_step(LOOKBACK[pack.__name__]), BAR, f"at bigint, {BAR}", f"at bigint, {BAR}, fresh int", idle=idle, **times)
-    (stream.writeStream.foreachBatch(handle).option("checkpointLocation", f"{base}/progress")
-     .trigger(availableNow=True).start().awaitTermination())
+    stream = in_order(bars, recent_step(LOOKBACK[pack.__name__]), BAR, f"at bigint, {BAR}", f"at bigint, {BAR}, fresh int",
+                      late=late, horizon=horizon, idle=idle, mark="_mark")
+
+    def run() -> str | None:
+        job = stream.writeStream.foreachBatch(handle).option("checkpointLocation", f"{base}/progress").trigger(availableNow=True).start()
+        job.awaitTermination()
+        return job.lastProgress["eventTime"].get("watermark") if job.lastProgress else None
+
+    watermark = run()
+    if watermark:
+        # one millisecond after the newest bar, as watermarks have no finer part
+        ahead = F.timestamp_millis(F.unix_millis(F.to_timestamp(F.lit(watermark))) + horizon + late + 1)
+        row = {"ts": ahead, "_mark": F.lit(True)}
+        spark.range(1).select(*[row.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in bars.schema]).write.mode("append").parquet(marks)
+        run()
     return f"{base}/features"
 
 

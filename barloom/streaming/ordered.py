@@ -82,19 +82,22 @@ class InOrder(StatefulProcessor):
 
 
 def in_order(rows: DataFrame, step: Step, waiting: str, kept: str, out: str, key: str = "symbol", ts: str = "ts",
-             late: int = 6 * HOUR, horizon: int = 30 * 24 * HOUR, idle: int = 0) -> DataFrame:
+             late: int = 6 * HOUR, horizon: int = 30 * 24 * HOUR, idle: int = 0, mark: str | None = None) -> DataFrame:
     """``key``, the columns of ``out`` and ``late_at`` (set for rows that came too late, with the other columns null).
 
     ``waiting`` names the columns that a row keeps (DDL), ``kept`` a row of the list state, all times in microseconds. Times are in
     milliseconds: ``late`` is how far files may be out of order, ``horizon`` (not less) how long late rows are still given out,
-    ``idle`` (0: never) after what silence of a key its kept rows go.
+    ``idle`` (0: never) after what silence of a key its kept rows go. Rows with ``mark`` (a boolean column) only move the watermark.
     """
     if horizon < late:
         raise ValueError("horizon must not be less than late")
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     fields = [x.split()[0] for x in waiting.split(", ")]
     names = [key, *[x.split()[0] for x in out.split(", ")], "late_at"]
-    timed = rows.withWatermark(ts, f"{horizon} milliseconds").select(key, ts, F.unix_micros(F.col(ts)).alias("at"), *fields)
+    timed = rows.withWatermark(ts, f"{horizon} milliseconds")
+    if mark:  # a filter that reads the event time stays above the watermark
+        timed = timed.where(~(F.col(mark) & F.col(ts).isNotNull()))
+    timed = timed.select(key, ts, F.unix_micros(F.col(ts)).alias("at"), *fields)
     return timed.groupBy(key).transformWithState(
         InOrder(step, fields, waiting, kept, names, late, horizon, idle), f"{key} string, {out}, late_at bigint", "append", "eventTime")
 

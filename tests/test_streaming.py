@@ -57,6 +57,21 @@ def test_served_features_equal_batch(spark, walk):
     assert served.count() == bars.count() and served.exceptAll(batch).count() == 0
 
 
+def test_the_newest_bars_are_served_too(spark):
+    """Bars that still wait for late files when all files are read, in files whose bars are out of order."""
+    path = fresh_path(spark, "newest")
+    bar = lambda symbol, h: (symbol, (pd.Timestamp("2024-01-01") + pd.Timedelta(h, "h")).to_pydatetime(), 10.0, 11.0, 9.0, 10.0 + h, 1.0)
+    for hours in ((0, 1, 2, 5, 30, 33), (31, 32, 34, 36), (35,)):
+        rows = [bar(s, h) for s in ("a", "c") for h in hours] + ([bar("b", 36)] if 36 in hours else [])
+        spark.createDataFrame(rows, BARS).coalesce(1).write.mode("append").parquet(path)
+    bars = spark.read.schema(spark.createDataFrame([], BARS).schema).parquet(path)
+    out = J.serve_features(J.table_stream(spark, path, bars.schema, 1), X.averages)
+    served = spark.read.parquet(out).select("symbol", "ts", "close", F.round("ma_20", 8), F.round("ma_50", 8))
+    batch = X.features(bars, X.averages).select("symbol", "ts", "close", F.round("ma_20", 8), F.round("ma_50", 8))
+    assert served.count() == bars.count() == 23 and served.exceptAll(batch).count() == 0
+    assert spark.read.parquet(out.replace("/features", "/late")).count() == 0
+
+
 BARS = "symbol string, ts timestamp, open double, high double, low double, close double, volume double"
 DAY = 24 * HOUR
 
