@@ -2,9 +2,10 @@
 
 Both vocabularies split a text into pieces before merging, and no merge crosses a piece. A text whose only white space
 is single spaces and line feeds between other characters is cut at these, where every piece rule of the two
-vocabularies cuts as well, and the ids of a piece are remembered. Pieces not seen before go to the library in one
-batch. All other texts go to the library whole, and so do those that hold the string of a special token, which the library
-reads as that token wherever it stands.
+vocabularies cuts as well; Arrow cuts the texts of a call and numbers their distinct words, so that each is looked up once
+a call, and the ids of a word are remembered. Words not seen before go to the library in one batch. All other texts go
+to the library whole, and so do those that hold the string of a special token, which the library reads as that token
+wherever it stands.
 """
 
 from __future__ import annotations
@@ -12,8 +13,13 @@ from __future__ import annotations
 import os
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Remembered pieces per worker process. It bounds memory (about 200 MB); results do not depend on it.
+#: Texts whose white space is not as simple as above, for RE2.
+ODD_SPACE = r"\A[ \n]|[ \n]\z|[ \n][ \n]|[{}]".format("".join(
+    rf"\x{{{i:x}}}" for i in range(0x3001) if chr(i).isspace() and chr(i) not in " \n"))
+#: Remembered words per worker process. It bounds memory (about 200 MB); results do not depend on it.
 CACHE_PIECES = 1_000_000
 #: Unseen pieces joined into one string for the library, with a separator between that is a piece of its own.
 JOINED = 50
@@ -36,8 +42,6 @@ class Encoder:
         self.mark_id = np.frombuffer(self.library([self.mark])[0], "<u4")
         self.joins = len(self.mark_id) == 1
         self.stops = dict(zip(".,", self.library([".", ","])))
-        if self.keeps_space:
-            self.known["\n"] = self.mark_id.tobytes()
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
@@ -46,16 +50,12 @@ class Encoder:
     def library(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(ids, "<u4").tobytes() for ids in self._ids(texts)]
 
-    def pieces(self, text: str) -> list[str] | None:
-        """The pieces of a text, None if its white space is not as simple as above or it holds a special token."""
-        if any(t in text for t in self.special):
-            return None
-        words = text.replace("\n", " ").split(" ")
-        if words != text.split():
-            return None
-        if self.keeps_space:
-            return text.replace(" ", "\x1f ").replace("\n", "\x1f\n\x1f").split("\x1f")
-        return words
+    def odd(self, texts: pa.Array) -> list[bool]:
+        """Which texts have white space that is not as simple as above or hold a special token."""
+        out = pc.match_substring_regex(texts, ODD_SPACE)
+        for t in self.special:
+            out = pc.or_(out, pc.match_substring(texts, t))
+        return out.to_pylist()
 
     def _joined(self, pieces: list[str]) -> list[bytes]:
         """Ids of pieces without the mark, many of them in one string; a group that does not come apart again is taken singly."""
@@ -74,37 +74,64 @@ class Encoder:
                 start = stop + 1
         return out
 
-    def learn(self, fresh: set[str]) -> dict[str, bytes]:
-        """Ids of pieces not seen before."""
-        marked = [p for p in fresh if self.mark in p]
-        out = dict(zip(marked, self.library(marked)))
+    def _tokens(self, words: list[str]) -> list[bytes]:
+        """Ids of words. A vocabulary that keeps white space has a space before each, or where it stands, the line feed."""
+        pieces = [w[1:] if w[0] == "\n" else " " + w for w in words] if self.keeps_space else words
+        marked = [i for i, p in enumerate(pieces) if self.mark in p]
+        alone = dict(zip(marked, self.library([pieces[i] for i in marked])))
+        joined = iter(self._joined([p for i, p in enumerate(pieces) if i not in alone]))
+        out = [alone[i] if i in alone else next(joined) for i in range(len(pieces))]
+        if not self.keeps_space:
+            return out
+        start = self.mark_id.tobytes()
+        return [start + ids if w[0] == "\n" else ids for w, ids in zip(words, out)]
+
+    def learn(self, fresh: list[str]) -> dict[str, bytes]:
+        """Ids of words not seen before."""
         # A stop after an ASCII letter is a piece of its own in both vocabularies; lower case may add a mark to other letters.
-        ends = [p for p in fresh if p[-1:] in (".", ",") and p[-2:-1].isascii() and p[-2:-1].isalpha() and self.mark not in p]
-        wanted = [p[:-1] for p in ends if p[:-1] not in self.known]
-        plain = list(dict.fromkeys([*fresh.difference(marked, ends), *wanted]))
-        out.update(zip(plain, self._joined(plain)))
-        for p in ends:
-            word = self.known.get(p[:-1])
-            out[p] = (out[p[:-1]] if word is None else word) + self.stops[p[-1]]
+        ends = [w for w in fresh if w[-1:] in (".", ",") and w[-2:-1].isascii() and w[-2:-1].isalpha() and (self.keeps_space or self.mark not in w)]
+        wanted = [w[:-1] for w in ends if w[:-1] not in self.known]
+        plain = list(dict.fromkeys([*set(fresh).difference(ends), *wanted]))
+        out = dict(zip(plain, self._tokens(plain)))
+        for w in ends:
+            word = self.known.get(w[:-1])
+            out[w] = (out[w[:-1]] if word is None else word) + self.stops[w[-1]]
         return out
 
+    def _by_words(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts of simple white space; a vocabulary that keeps it has the line feed at the start of the word after it."""
+        if self.keeps_space:
+            cut = ["\n" + t.replace("\n", " \n") for t in texts]
+        else:
+            cut = [t.replace("\n", " ") for t in texts]
+        lists = pc.split_pattern(pa.array(cut, pa.large_string()), " ")
+        of = lists.flatten().dictionary_encode()
+        words = of.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = list(map(self.known.get, words))
+        fresh = [i for i, x in enumerate(ids) if x is None]
+        if fresh:
+            learned = self.learn([words[i] for i in fresh])
+            for i in fresh:
+                ids[i] = learned[words[i]]
+            if len(self.known) + len(learned) <= CACHE_PIECES:
+                self.known.update(learned)
+        # the ids of every word in place: words lie one after the other in flat
+        flat, size = np.frombuffer(b"".join(ids), "<u4"), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        at = of.indices.to_numpy()
+        first, n = (np.cumsum(size) - size)[at], size[at]
+        stop = np.cumsum(n)
+        out = flat[np.repeat(first - (stop - n), n) + np.arange(stop[-1])]
+        bounds = np.concatenate([[0], stop])[lists.offsets.to_numpy()].tolist()
+        skip = len(self.mark_id) if self.keeps_space else 0  # the line feed set before the first word
+        return [out[a + skip:b].tobytes() for a, b in zip(bounds, bounds[1:])]
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        known = self.known
-        cut = [self.pieces(t) if t else [] for t in texts]
-        fresh = set().union(*[pieces for pieces in cut if pieces]).difference(known)
-        extra = self.learn(fresh) if fresh else {}
-        if extra and len(known) + len(extra) <= CACHE_PIECES:
-            known.update(extra)
-            extra = {}
-        whole = iter(self.library([t for t, pieces in zip(texts, cut) if pieces is None]))
-        out = []
-        for pieces in cut:
-            if pieces is None:
-                out.append(next(whole))
-            elif extra:
-                out.append(b"".join([known[p] if p in known else extra[p] for p in pieces]))
-            else:
-                out.append(b"".join(map(known.__getitem__, pieces)))
+        out = [b""] * len(texts)
+        odd = self.odd(pa.array(texts, pa.large_string()))
+        for of, ids in ((self.library, [i for i, t in enumerate(texts) if odd[i]]), (self._by_words, [i for i, t in enumerate(texts) if t and not odd[i]])):
+            if ids:
+                for i, x in zip(ids, of([texts[i] for i in ids])):
+                    out[i] = x
         return out
 
 

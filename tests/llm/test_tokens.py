@@ -30,6 +30,36 @@ def test_ids_are_those_of_the_library(name):
             assert a == b, repr(t)
 
 
+class Counted(dict):
+    """Counts what is looked up."""
+    n = 0
+
+    def get(self, *a):
+        self.n += 1
+        return super().get(*a)
+
+    def __getitem__(self, k):
+        self.n += 1
+        return super().__getitem__(k)
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_a_word_is_looked_up_once_a_call(name):
+    own = tokens.Encoder(queries.tokenizer(name))
+    texts = ["Alpha beta, gamma\nalpha" + " beta, gamma." * 500, "beta, " * 200 + "end"]
+    want = own.library(texts)
+    assert own.encode(texts) == want
+    own.known = Counted(own.known)
+    assert own.encode(texts) == want and own.known.n <= 10
+
+
+def test_white_space_that_goes_to_the_library():
+    own = tokens.Encoder(queries.tokenizer("byte_bpe_50k.json"))
+    space = [chr(i) for i in range(0x110000) if chr(i).isspace()]
+    texts = ["a" + c + "b" for c in space] + ["", "a", "a b\nc", " a", "a ", "\na", "a\n", "a  b", "a \nb", "a\n\nb", "a<|endoftext|>b"]
+    assert own.odd(tokens.pa.array(texts)) == [c not in " \n" for c in space] + [False] * 3 + [True] * 8
+
+
 def test_pieces_and_their_places(spark):
     """Every id of every document is in one piece, sequences have no gap, and only documents over the limit are cut."""
     from tokenizers import Tokenizer
